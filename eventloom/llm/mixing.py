@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged, table
+from .common import WORD, shuffle_width, staged, table
 
 #: Words in a block.
 BLOCK = 512
@@ -39,7 +39,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEATS = 2
 #: Draws that one task numbers.
-DRAW_CHUNK = 65536
+DRAW_CHUNK = 8192
 #: Fixed constants of the order and of the permutations (primes).
 ID_PRIME, ORDER_STEP, ORDER_PRIME = 1000003, 48271, 65521
 STEP_PRIMES = (2147483647, 2147483629, 2147483587)
@@ -123,7 +123,7 @@ def draw_blocks(plan: DataFrame, seed: int = 17) -> DataFrame:
     chunks = (
         plan.filter("draws > 0")
         .withColumn("chunk", F.explode(F.expr(f"sequence(0L, (draws - 1) div {DRAW_CHUNK})")))
-        .repartition("rank", "chunk")
+        .repartition(shuffle_width(plan.sparkSession), "rank", "chunk")
     )
     first = F.col("chunk") * DRAW_CHUNK
     draws = chunks.withColumn(

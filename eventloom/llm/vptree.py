@@ -31,11 +31,11 @@ from pyspark.sql.window import Window
 
 from .common import staged, table
 
-SHARD_ROWS = 8192
-LEAF_ROWS = 64
-QUERY_BLOCK = 256
+SHARD_ROWS = 4096
+LEAF_ROWS = 128
+QUERY_BLOCK = 1024
 #: Pruning factor of the production query. Recall against brute force is measured in the tests.
-FACTOR = 1.15
+FACTOR = 5.0
 NEAREST = 10
 SLACK = 1e-9
 

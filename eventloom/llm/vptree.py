@@ -149,7 +149,7 @@ def nearest(
     rows = staged(usable(df, id_col, vector_col), "vectors")
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    asked = usable(queries, id_col, vector_col).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    asked = usable(queries, id_col, vector_col).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def search(key, ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         trees = {m.shape[1]: VantageTree(i, m, leaf_rows) for i, m in stacks(ours)}

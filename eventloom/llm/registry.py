@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, vptree
+from . import exact_dedup, mixing, packing, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_vantage_neighbours": vptree.op4_vantage_neighbours,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, toxicity, vptree
+from . import exact_dedup, licenses, mixing, packing, quality, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_vantage_neighbours": vptree.op4_vantage_neighbours,
     "op5_pack_sequences": packing.op5_pack_sequences,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }

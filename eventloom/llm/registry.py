@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, packing, quality, toxicity, vptree
+from . import exact_dedup, licenses, mixing, near_join, packing, quality, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_vantage_neighbours": vptree.op4_vantage_neighbours,
     "op5_pack_sequences": packing.op5_pack_sequences,
+    "op6_jaccard_join": near_join.op6_jaccard_join,
     "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,

@@ -16,7 +16,10 @@ Inside a region the join goes on recursively and exactly: a pivot document is
 compared with all members; members within the threshold join its component; a later
 pair is compared only if it is in two components, its sizes allow a link and, by the
 triangle inequality, its distances to the first pivot differ by at most the
-threshold. Each round takes one pivot more per region; regions with few members left
+threshold. The members outside a region's largest component are the next pivots. A
+document may leave a few of its most common regions, as many as leave every linked
+pair a region to meet in. Parity sketches of a few bits per shingle rule out most pairs before whole
+sets are built; they never rule out a link. Each round takes one pivot more per region; regions with few members left
 are finished at once. Links are verified on the whole shingle sets.
 
 Documents with equal shingle sets are one vertex. Signatures travel as packed blocks
@@ -39,6 +42,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textbytes as tb
 from .common import shuffle_width, staged, table
@@ -51,14 +55,20 @@ PERCENT = 80
 CLASS_RATIO = 1.5
 #: Input bytes for each bucket of signatures.
 BUCKET_BYTES = 8_000_000
-#: Members of a region from which it is finished by comparing what the windows leave.
-FINISH_MEMBERS = 24
+#: Members outside a region's largest component up to which all of them become pivots at once.
+FINISH_MEMBERS = 64
+#: Parts beyond those that the greatest difference calls for, as a share of it.
+SPARE = 0.25
+#: Members from which a region counts as common; a document may leave some of those, see ``spare``.
+COMMON_MEMBERS = 12
+#: Places of the greatest parity sketch.
+SKETCH_BITS = 1 << 16
 #: Documents that one task compares with a pivot.
 CHUNK_MEMBERS = 256
 #: Rows up to which a list of ids (8 bytes each) is broadcast; beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
 
-PACKED = "bucket int, id long, row long, n long, sid long, block binary"
+PACKED = "bucket int, id long, row long, n long, sid long, spare long, block binary"
 
 
 def classes(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +83,7 @@ def classes(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     low.append(high[-2] + 1)
     low, high = np.array(low), np.array(high)
     differ = 2 * high * (100 - PERCENT) // (100 + PERCENT)
-    parts = differ + 1 + np.where(differ > 0, np.ceil(differ * 0.12).astype(np.int64) + 1, 0)
+    parts = differ + 1 + np.where(differ > 0, np.ceil(differ * SPARE).astype(np.int64) + 1, 0)
     return low, high, differ, parts
 
 
@@ -110,11 +120,17 @@ def set_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tb.mix(total[at[1:]] - total[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64)).astype(np.int64)
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit signatures, row of each) of all rows' sets."""
+def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit signatures, row of each, regions that each row may leave) of all rows' sets.
+
+    A linked pair agrees in at least s = parts - difference - empty parts places, s
+    taken from either document. If each leaves at most (s - 1) / 2 of its regions,
+    the pair still meets in one.
+    """
     n = np.diff(at)
+    spare = np.full(len(n), np.iinfo(np.int64).max)
     if not n.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(n), np.int64)
     low, high, differ, parts = classes(int(n.max()))
     own = np.searchsorted(high, n)
     out_sig, out_row = [], []
@@ -140,11 +156,33 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         tag = (kind[owner] * 1_000_003 + number).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         sig = tb.mix(lower * np.uint64(0xC2B2AE3D27D4EB4F) + upper * np.uint64(0x165667B19E3779F9) + tag)
         blank = p - np.bincount(owner[count > 0], minlength=len(chosen))
+        spare[chosen] = np.minimum(spare[chosen], np.maximum(0, (p - differ[kind] - blank - 1) // 2))
         # so many empty parts that agreeing parts might all be empty ones: those count too
         keep = (count > 0) | (blank >= p - differ[kind])[owner]
         out_sig.append(sig[keep])
         out_row.append(chosen[owner[keep]])
-    return np.concatenate(out_sig), np.concatenate(out_row)
+    return np.concatenate(out_sig), np.concatenate(out_row), np.where(n > 0, spare, 0)
+
+
+def sketches(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Per set, the parity of the number of its members at each of about 4 n hashed places.
+
+    The places where two sketches differ are at most as many as the members in
+    which the sets differ, so a sketch can rule a link out but never miss one.
+    A sketch folded in half is the sketch of half as many places.
+    """
+    n = np.diff(at)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), 64, SKETCH_BITS)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    place = base[owner] + (tb.mix(values ^ np.uint64(0x94D049BB)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    edge = (base // 8).tolist()
+    return [odd[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def fold_sketch(sketch: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
 def pack(sig: np.ndarray, row: np.ndarray, base: int, squeeze) -> bytes:
@@ -173,16 +211,16 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     base = (context.partitionId() if context else 0) << 36
     squeeze = zstandard.ZstdCompressor(level=1).compress
     names = [c.split()[0] for c in PACKED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
-        done, sigs, rows = 0, [], []
-        sizes, sids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        done, sigs, rows, parity = 0, [], [], []
+        sizes, sids, spare = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
         for low, high, data, offsets in tb.chunks(batch.column(1)):
             values, at = shingle_sets(data, offsets)
             sizes[low:high], sids[low:high] = np.diff(at), set_ids(values, at)
+            parity += sketches(values, at)
             # of equal sets in a chunk one sends signatures
             _, first = np.unique(sids[low:high], return_index=True)
-            sig, row = signatures(values, at)
+            sig, row, spare[low:high] = signatures(values, at)
             sole = np.zeros(high - low, bool)
             sole[first] = True
             sigs.append(sig[sole[row]])
@@ -195,7 +233,8 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
                 pa.array(base + np.arange(done)),
                 pa.array(sizes),
                 pa.array(sids),
-                pa.nulls(done, pa.binary()),
+                pa.array(spare),
+                pa.array(parity, pa.binary()),
             ],
             names=names,
         )
@@ -208,14 +247,14 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
         if made:
             n = len(made)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in made], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array([x for _, x in made], pa.binary())],
+                [pa.array([b for b, _ in made], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array([x for _, x in made], pa.binary())],
                 names=names,
             )
         base += batch.num_rows
 
 
 def regions_of(frame: pd.DataFrame) -> pd.DataFrame:
-    """(region, row) of the regions of one bucket with two rows or more; equal member lists once."""
+    """(region, row, times) of the regions of one bucket with two rows or more; equal member lists once, with their number."""
     import zstandard
 
     plain = zstandard.ZstdDecompressor()
@@ -230,14 +269,15 @@ def regions_of(frame: pd.DataFrame) -> pd.DataFrame:
     keep = many[owner]
     row, owner, size = row[keep], owner[keep], size[many]
     if not len(row):
-        return pd.DataFrame({"region": np.zeros(0, np.int64), "row": np.zeros(0, np.int64)})
+        return pd.DataFrame({"region": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "times": np.zeros(0, np.int64)})
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     name = tb.mix(np.add.reduceat(tb.mix(row.astype(np.uint64)), first) + size.astype(np.uint64)).astype(np.int64)
-    _, once = np.unique(name, return_index=True)
-    sole = np.zeros(len(size), bool)
-    sole[once] = True
-    pick = np.repeat(sole, size)
-    return pd.DataFrame({"region": np.repeat(name, size)[pick], "row": row[pick]})
+    _, once, times = np.unique(name, return_index=True, return_counts=True)
+    count = np.zeros(len(size), np.int64)
+    count[once] = times
+    count = np.repeat(count, size)
+    pick = count > 0
+    return pd.DataFrame({"region": np.repeat(name, size)[pick], "row": row[pick], "times": count[pick]})
 
 
 def few_or_shuffled(ids: DataFrame) -> DataFrame:
@@ -250,7 +290,7 @@ def build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high, data, offsets in tb.chunks(batch.column(1)):
             values, at = shingle_sets(data, offsets)
             blocks = [values[a:b].tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, at)), pa.array(blocks, pa.binary())], names=["sid", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, at)), pa.array(np.diff(at)), pa.array(blocks, pa.binary())], names=["sid", "n", "members"])
 
 
 def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -266,17 +306,47 @@ def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left.a.to_numpy(), "b": left.b.to_numpy(), "both": both, "na": sizes, "nb": len(pivot)})
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of the pairs, each b in chunks of about CHUNK_MEMBERS."""
+def rule_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The pairs whose sketches allow a link: the sets differ in at most a ninth of both sizes."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    pivot, np_ = np.frombuffer(right.pivot_members.iloc[0], np.uint8), int(right.pivot_n.iloc[0])
+    keep = np.zeros(len(left), bool)
+    for i, (sketch, n) in enumerate(zip(left.members, left.n)):
+        own = np.frombuffer(sketch, np.uint8)
+        size = min(len(own), len(pivot))
+        apart = int(np.bitwise_count(fold_sketch(own, size) ^ fold_sketch(pivot, size)).sum())
+        keep[i] = apart * (100 + PERCENT) <= (n + np_) * (100 - PERCENT)
+    return left.loc[keep, ["a", "b"]]
+
+
+def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
+    """``judge`` over (a, b) with what ``sets`` (sid, n, members) has of both, each b in chunks of about CHUNK_MEMBERS."""
     per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
     dealt = pairs.join(per, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
     left = dealt.select("a", "b", "chunk").join(sets.withColumnRenamed("sid", "a"), "a")
-    pivots = sets.select(F.col("sid").alias("p"), F.col("members").alias("pivot_members"))
+    pivots = sets.select(F.col("sid").alias("p"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
     dealt_pivots = per.select(F.col("b").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
     right = dealt_pivots.join(pivots, "p")
-    made = left.groupBy("b", "chunk").cogroup(right.groupBy("p", "part")).applyInPandas(compare, "a long, b long, both long, na long, nb long")
+    return left.groupBy("b", "chunk").cogroup(right.groupBy("p", "part")).applyInPandas(judge, schema)
+
+
+def verify(pairs: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, distance, linked) of the pairs that the sketches leave, on the whole sets."""
+    left = staged(meet(pairs, sketched, rule_out, "a long, b long"), "near-left")
+    met = staged(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-met")
+    wanted = sketched.join(few_or_shuffled(met), "sid", "left_semi").select("sid", "id")
+    wanted = staged(wanted, "near-wanted")
+    ids = few_or_shuffled(wanted.select(F.col("id").alias("wanted_id")).distinct())
+    texts_met = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    # rows that repeat an id may have other texts: only the sets asked for count, once each
+    built = texts_met.mapInArrow(build_sets, "sid long, n long, members binary").join(few_or_shuffled(met), "sid", "left_semi")
+    sets = staged(built, "near-sets")
+    made = meet(left, sets, compare, "a long, b long, both long, na long, nb long")
     union = F.col("na") + F.col("nb") - F.col("both")
-    return made.select("a", "b", (1 - F.col("both") / union).alias("distance"), (F.col("both") * 100 >= union * PERCENT).alias("linked"))
+    return staged(
+        made.select("a", "b", (1 - F.col("both") / union).alias("distance"), (F.col("both") * 100 >= union * PERCENT).alias("linked")).distinct(), "near-judged"
+    )
 
 
 def may_link(na, nb):
@@ -284,6 +354,14 @@ def may_link(na, nb):
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT
 
 
+def leave_common(members: DataFrame) -> DataFrame:
+    """``members`` (region, sid, n, spare, times, m) without the largest regions that a document may leave."""
+    common = members.filter(f"m > {COMMON_MEMBERS}")
+    by_size = Window.partitionBy("sid").orderBy(F.desc("m"), "region").rowsBetween(Window.unboundedPreceding, 0)
+    stay = common.withColumn("left", F.sum("times").over(by_size)).filter("left > spare")
+    return members.filter(f"m <= {COMMON_MEMBERS}").unionByName(stay.drop("left")).select("region", "sid", "n")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row per row of ``df``, named id_col, n_shingles, component_id."""
     spark = df.sparkSession
@@ -295,53 +373,58 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = packed.filter("bucket = -1").select("id", "row", "n", "sid")
     blocks = packed.filter("bucket >= 0").select("bucket", "block")
 
-    found = blocks.groupBy("bucket").applyInPandas(regions_of, "region long, row long").distinct()
-    members = found.join(docs.select("row", "sid", "n"), "row").select("region", "sid", "n").distinct()
+    found = blocks.groupBy("bucket").applyInPandas(regions_of, "region long, row long, times long")
+    found = found.groupBy("region", "row").agg(F.sum("times").alias("times"))
+    spared = packed.filter("bucket = -1").select("row", "sid", "n", "spare")
+    members = found.join(spared, "row").groupBy("region", "sid", "n", "spare").agg(F.max("times").alias("times"))
+    members = staged(members, "near-found")
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = staged(leave_common(members.join(size, "region")), "near-stay")
     several = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("pivot")).filter("m > 1")
     members = staged(members.join(several, "region"), "near-members")
 
-    met = members.select("sid").distinct()
-    sole = docs.join(few_or_shuffled(staged(met, "near-met")), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
-    wanted = staged(sole.join(docs.select("row", "id"), "row").select("id", "sid"), "near-wanted")
-    texts_met = texts.join(few_or_shuffled(wanted.select("id").distinct()), "id", "left_semi")
-    sets = staged(
-        texts_met.mapInArrow(build_sets, "sid long, members binary").dropDuplicates(["sid"]).join(few_or_shuffled(met), "sid", "left_semi"),
-        "near-sets",
-    )
+    met = staged(members.select("sid").distinct(), "near-known")
+    sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", F.col("block").alias("members"))
+    first = docs.join(few_or_shuffled(met), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    sketched = staged(sole.join(few_or_shuffled(staged(first.select("row"), "near-first")), "row", "left_semi").drop("row"), "near-sketched")
 
     sizes = members.select("sid", "n").distinct()
     star = members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na")).distinct()
     star = star.join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").filter(may_link(F.col("na"), F.col("nb")))
-    judged = staged(verify(star.select("a", "b"), sets), "near-star")
+    judged = verify(star.select("a", "b"), sketched, texts)
     links = judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links)
 
-    # what is left: regions with members of two components or more, without their first pivot
+    # what is left: regions with members of two components or more, without their first pivot;
+    # a distance to it that the sketches or sizes spared is unknown and opens the window wide
     far = judged.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "distance")
-    open_ = members.filter("m > 2 AND sid <> pivot").join(far, ["sid", "pivot"], "left").select("region", "sid", "n", F.coalesce("distance", F.lit(1.0)).alias("far"), F.lit(None).cast("long").alias("last"))
+    open_ = members.filter("m > 2 AND sid <> pivot").join(far, ["sid", "pivot"], "left").select("region", "sid", "n", F.col("distance").alias("far"))
     open_ = staged(open_, "near-open")
+    turn = 0
     while True:
         named = open_.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        state = named.groupBy("region").agg(
-            F.count(F.lit(1)).alias("m"), F.min("sid").alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
-        ).filter("c0 <> c1")
-        named = staged(named.drop("last").join(state.select("region", "m", "pivot"), "region"), "near-named")
+        by_comp = named.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+        state = by_comp.groupBy("region").agg(
+            F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")
+        ).filter("outside > 0")
+        turn += 1
+        chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.ceil(F.col("outside") * 2 / FINISH_MEMBERS)) == 0
+        is_pivot = (F.col("comp") != F.col("main")) & ((F.col("outside") <= FINISH_MEMBERS) | chance)
+        named = staged(named.join(state, "region").withColumn("is_pivot", is_pivot), "near-named")
         if named.isEmpty():
             break
-        pivots = named.filter(f"sid = pivot OR m <= {FINISH_MEMBERS}").select(
-            "region", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("comp").alias("cb")
-        )
+        pivots = named.filter("is_pivot").select("region", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
         pairs = (
             named.join(pivots, "region")
-            .filter("sid > b AND comp <> cb")
-            .filter(may_link(F.col("n"), F.col("nb")) & (F.abs(F.col("far") - F.col("fb")) <= (100 - PERCENT) / 100 + 1e-9))
-            .select(F.col("sid").alias("a"), "b")
+            .filter("comp <> cb")
+            .filter(may_link(F.col("n"), F.col("nb")) & F.coalesce(F.abs(F.col("far") - F.col("fb")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True)))
+            .select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"))
             .distinct()
         )
-        judged = staged(verify(staged(pairs, "near-pairs"), sets), "near-judged")
+        judged = verify(staged(pairs, "near-pairs"), sketched, texts)
         links = links.unionByName(judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         label = components(links)
-        open_ = staged(named.filter(f"sid <> pivot AND m > {FINISH_MEMBERS}").select("region", "sid", "n", "far", F.col("pivot").alias("last")), "near-open")
+        open_ = staged(named.filter(f"NOT is_pivot AND outside > {FINISH_MEMBERS}").select("region", "sid", "n", "far"), "near-open")
 
     per_set = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     named = per_set.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

@@ -12,15 +12,15 @@ class is replicated into the next class, the window that keeps pairs across the
 boundary. So every linked pair meets in a region, and regions hold hardly anything
 but similar documents, however common single shingles or passages are.
 
-Inside a region the join goes on recursively and exactly: a pivot document is
-compared with all members; members within the threshold join its component; a later
-pair is compared only if it is in two components, its sizes allow a link and, by the
-triangle inequality, its distances to the first pivot differ by at most the
-threshold. The members outside a region's largest component are the next pivots. A
-document may leave a few of its most common regions, as many as leave every linked
-pair a region to meet in. Parity sketches of a few bits per shingle rule out most pairs before whole
-sets are built; they never rule out a link. Each round takes one pivot more per region; regions with few members left
-are finished at once. Links are verified on the whole shingle sets.
+Inside a region the join goes on recursively and exactly. The most central member is
+the pivot and is compared with all others; members within the threshold join its
+component. A pair of the others is looked at only if it is in two components, its
+sizes allow a link, and, by the triangle inequality, its distances to the pivot (where
+known) differ by at most the threshold; a large region is cut into blocks for this.
+Parity sketches of a few bits per shingle rule out most pairs before whole sets are
+built; they never rule out a link. A document may leave a few of its most common
+regions, as many as leave every linked pair a region to meet in. Links are verified on
+the whole shingle sets.
 
 Documents with equal shingle sets are one vertex. Signatures travel as packed blocks
 of (signature, row), a few bytes each; sets are only built for documents that share
@@ -55,10 +55,10 @@ PERCENT = 80
 CLASS_RATIO = 1.5
 #: Input bytes for each bucket of signatures.
 BUCKET_BYTES = 8_000_000
-#: Members outside a region's largest component up to which all of them become pivots at once.
-FINISH_MEMBERS = 64
+#: Members of a region that meet in one task.
+BLOCK_MEMBERS = 2048
 #: Parts beyond those that the greatest difference calls for, as a share of it.
-SPARE = 0.25
+SPARE = 0.6
 #: Members from which a region counts as common; a document may leave some of those, see ``spare``.
 COMMON_MEMBERS = 12
 #: Places of the greatest parity sketch.
@@ -306,18 +306,53 @@ def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left.a.to_numpy(), "b": left.b.to_numpy(), "both": both, "na": sizes, "nb": len(pivot)})
 
 
-def rule_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The pairs whose sketches allow a link: the sets differ in at most a ninth of both sizes."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    pivot, np_ = np.frombuffer(right.pivot_members.iloc[0], np.uint8), int(right.pivot_n.iloc[0])
-    keep = np.zeros(len(left), bool)
-    for i, (sketch, n) in enumerate(zip(left.members, left.n)):
-        own = np.frombuffer(sketch, np.uint8)
-        size = min(len(own), len(pivot))
-        apart = int(np.bitwise_count(fold_sketch(own, size) ^ fold_sketch(pivot, size)).sum())
-        keep[i] = apart * (100 + PERCENT) <= (n + np_) * (100 - PERCENT)
-    return left.loc[keep, ["a", "b"]]
+def candidates(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of a region, or of two blocks of one, that may be links.
+
+    Only pairs in different components whose sizes, distances to the region's first
+    pivot and sketches (sets of a linked pair differ in at most a ninth of both
+    sizes) allow a link.
+    """
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    comp = frame.comp.to_numpy()
+    if len(frame) < 2 or (comp == comp[0]).all():
+        return none
+    left = np.flatnonzero((frame.block == frame.low).to_numpy())
+    right = np.flatnonzero((frame.block == frame.high).to_numpy())
+    same = frame.low.iloc[0] == frame.high.iloc[0]
+    least = min(map(len, frame.members))
+    folded = np.stack([fold_sketch(np.frombuffer(x, np.uint8), least) for x in frame.members]).view(np.uint64)
+    n, far, sid = frame.n.to_numpy(), frame.far.to_numpy(np.float64), frame.sid.to_numpy()
+    out_a, out_b = [], []
+    step = max(1, 4_000_000 // max(1, len(right) * folded.shape[1]))
+    for at in range(0, len(left), step):
+        i, j = left[at : at + step, None], right[None, :]
+        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT)
+        ok &= ~(np.abs(far[i] - far[j]) > (100 - PERCENT) / 100 + 1e-9)
+        if same:
+            ok &= i < j
+        x, y = np.nonzero(ok)
+        x, y = i[x, 0], j[0, y]
+        for k in range(0, len(x), 200_000):
+            p, q = x[k : k + 200_000], y[k : k + 200_000]
+            apart = np.bitwise_count(folded[p] ^ folded[q]).sum(axis=1, dtype=np.int64)
+            may = apart * (100 + PERCENT) <= (n[p] + n[q]) * (100 - PERCENT)
+            out_a.append(sid[p[may]])
+            out_b.append(sid[q[may]])
+    if not out_a:
+        return none
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def pairs_of(members: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b) from members (region, sid, comp, far); a large region is cut into blocks that meet two by two."""
+    size = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).alias("blocks"))
+    cut = members.join(size, "region").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.select("region", "sid", "comp", "far", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    full = cut.join(sketched.select("sid", "n", "members"), "sid")
+    return full.groupBy("region", "low", "high").applyInPandas(candidates, "a long, b long").distinct()
 
 
 def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
@@ -331,9 +366,22 @@ def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
     return left.groupBy("b", "chunk").cogroup(right.groupBy("p", "part")).applyInPandas(judge, schema)
 
 
-def verify(pairs: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of the pairs that the sketches leave, on the whole sets."""
-    left = staged(meet(pairs, sketched, rule_out, "a long, b long"), "near-left")
+def allowed(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one pivot whose sketches allow a link."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    pivot, size = np.frombuffer(right.pivot_members.iloc[0], np.uint8), int(right.pivot_n.iloc[0])
+    keep = np.zeros(len(left), bool)
+    for i, (sketch, n) in enumerate(zip(left.members, left.n)):
+        own = np.frombuffer(sketch, np.uint8)
+        both = min(len(own), len(pivot))
+        apart = int(np.bitwise_count(fold_sketch(own, both) ^ fold_sketch(pivot, both)).sum())
+        keep[i] = apart * (100 + PERCENT) <= (n + size) * (100 - PERCENT)
+    return left.loc[keep, ["a", "b"]]
+
+
+def verify(left: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, distance, linked) of staged pairs, on the whole sets."""
     met = staged(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-met")
     wanted = sketched.join(few_or_shuffled(met), "sid", "left_semi").select("sid", "id")
     wanted = staged(wanted, "near-wanted")
@@ -380,7 +428,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     members = staged(members, "near-found")
     size = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = staged(leave_common(members.join(size, "region")), "near-stay")
-    several = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("pivot")).filter("m > 1")
+    # the pivot is the member that shares the most regions with the most others, so it is central
+    share = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region").groupBy("sid").agg(F.sum("m").alias("share"))
+    several = (
+        members.join(share, "sid").groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.max_by("sid", F.struct("share", "sid")).alias("pivot")).filter("m > 1")
+    )
     members = staged(members.join(several, "region"), "near-members")
 
     met = staged(members.select("sid").distinct(), "near-known")
@@ -391,40 +443,19 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sizes = members.select("sid", "n").distinct()
     star = members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na")).distinct()
     star = star.join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").filter(may_link(F.col("na"), F.col("nb")))
-    judged = verify(star.select("a", "b"), sketched, texts)
+    judged = verify(staged(meet(star.select("a", "b"), sketched, allowed, "a long, b long"), "near-star"), sketched, texts)
     links = judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links)
 
     # what is left: regions with members of two components or more, without their first pivot;
     # a distance to it that the sketches or sizes spared is unknown and opens the window wide
     far = judged.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "distance")
-    open_ = members.filter("m > 2 AND sid <> pivot").join(far, ["sid", "pivot"], "left").select("region", "sid", "n", F.col("distance").alias("far"))
-    open_ = staged(open_, "near-open")
-    turn = 0
-    while True:
-        named = open_.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        by_comp = named.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
-        state = by_comp.groupBy("region").agg(
-            F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")
-        ).filter("outside > 0")
-        turn += 1
-        chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.ceil(F.col("outside") * 2 / FINISH_MEMBERS)) == 0
-        is_pivot = (F.col("comp") != F.col("main")) & ((F.col("outside") <= FINISH_MEMBERS) | chance)
-        named = staged(named.join(state, "region").withColumn("is_pivot", is_pivot), "near-named")
-        if named.isEmpty():
-            break
-        pivots = named.filter("is_pivot").select("region", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
-        pairs = (
-            named.join(pivots, "region")
-            .filter("comp <> cb")
-            .filter(may_link(F.col("n"), F.col("nb")) & F.coalesce(F.abs(F.col("far") - F.col("fb")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True)))
-            .select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"))
-            .distinct()
-        )
-        judged = verify(staged(pairs, "near-pairs"), sketched, texts)
-        links = links.unionByName(judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        label = components(links)
-        open_ = staged(named.filter(f"NOT is_pivot AND outside > {FINISH_MEMBERS}").select("region", "sid", "n", "far"), "near-open")
+    open_ = members.filter("m > 2 AND sid <> pivot").join(far, ["sid", "pivot"], "left").select("region", "sid", F.col("distance").alias("far"))
+    named = open_.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    mixed = named.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("region")
+    pairs = staged(pairs_of(named.join(mixed, "region"), sketched), "near-pairs")
+    judged = verify(pairs, sketched, texts)
+    label = components(links.unionByName(judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     per_set = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     named = per_set.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

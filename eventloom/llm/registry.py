@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, near_join, packing, quality, toxicity, vptree
+from . import exact_dedup, licenses, mixing, near_join, packing, quality, repeats, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_repeated_strings": repeats.op10_repeated_strings,
 }
 
 ORACLES: dict[str, str] = {

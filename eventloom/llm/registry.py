@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, near_join, packing, quality, repeats, toxicity, vptree
+from . import exact_dedup, lattice_lm, licenses, mixing, near_join, packing, quality, repeats, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_lattice_lm": lattice_lm.op3_lattice_lm,
     "op4_vantage_neighbours": vptree.op4_vantage_neighbours,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op6_jaccard_join": near_join.op6_jaccard_join,

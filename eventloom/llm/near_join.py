@@ -55,6 +55,10 @@ PERCENT = 80
 CLASS_RATIO = 1.5
 #: Input bytes for each bucket of signatures.
 BUCKET_BYTES = 8_000_000
+#: Signatures after which a task packs what it has.
+FLUSH = 1_000_000
+#: Pairs, or members of regions, that a task works on at a time, besides one large pivot or region.
+TASK_ROWS = 4096
 #: Members of a region that meet in one task.
 BLOCK_MEMBERS = 2048
 #: Parts beyond those that the greatest difference calls for, as a share of it.
@@ -211,6 +215,25 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     base = (context.partitionId() if context else 0) << 36
     squeeze = zstandard.ZstdCompressor(level=1).compress
     names = [c.split()[0] for c in PACKED.split(", ")]
+
+    def flush(sigs: list[np.ndarray], rows: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:
+        if not sigs:
+            return
+        sig, row = np.concatenate(sigs), np.concatenate(rows)
+        sigs.clear()
+        rows.clear()
+        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        sig, row = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        made = [(b, pack(sig[x:y], row[x:y], base, squeeze)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        if made:
+            n = len(made)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in made], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array([x for _, x in made], pa.binary())],
+                names=names,
+            )
+
     for batch in batches:
         done, sigs, rows, parity = 0, [], [], []
         sizes, sids, spare = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
@@ -226,6 +249,8 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             sigs.append(sig[sole[row]])
             rows.append(row[sole[row]] + low)
             done = high
+            if sum(map(len, sigs)) >= FLUSH:
+                yield from flush(sigs, rows, base)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(done, -1, np.int32)),
@@ -238,18 +263,7 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             ],
             names=names,
         )
-        sig, row = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (sigs, rows))
-        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        sig, row = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[order]
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        made = [(b, pack(sig[x:y], row[x:y], base, squeeze)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-        if made:
-            n = len(made)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in made], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array([x for _, x in made], pa.binary())],
-                names=names,
-            )
+        yield from flush(sigs, rows, base)
         base += batch.num_rows
 
 
@@ -293,36 +307,43 @@ def build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, at)), pa.array(np.diff(at)), pa.array(blocks, pa.binary())], names=["sid", "n", "members"])
 
 
-def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Intersection sizes of all sets on the left with the one on the right."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": [], "both": [], "na": [], "nb": []}).astype("int64")
-    pivot = np.frombuffer(right.pivot_members.iloc[0], np.uint64)
-    sets = [np.frombuffer(x, np.uint64) for x in left.members]
+def compare(a, n, members, b, pivot_n, pivot_members):
+    """(a, b, both, na, nb): sizes of the intersections of all sets with the pivot's."""
+    pivot = np.frombuffer(pivot_members, np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in members]
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
     both = np.add.reduceat((pivot[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-    return pd.DataFrame({"a": left.a.to_numpy(), "b": left.b.to_numpy(), "both": both, "na": sizes, "nb": len(pivot)})
+    return a, np.full(len(a), b), both, sizes, np.full(len(a), len(pivot))
 
 
 def candidates(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of a region, or of two blocks of one, that may be links.
+    """Pairs (a, b) that may be links, of some regions or pairs of a region's blocks."""
+    frame = frame.sort_values(["region", "low", "high", "sid"])
+    region, low, high = (frame[k].to_numpy() for k in ("region", "low", "high"))
+    edge = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    columns = [frame[k].to_numpy() for k in ("sid", "n", "comp", "block", "members")] + [frame.far.to_numpy(np.float64)]
+    found = [pairs_within(low[x], high[x], *(c[x:y] for c in columns)) for x, y in zip(edge, [*edge[1:], len(frame)])]
+    if not found:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+
+
+def pairs_within(low, high, sid, n, comp, block, sketch, far) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a region, or of two blocks of one, that may be links.
 
     Only pairs in different components whose sizes, distances to the region's first
     pivot and sketches (sets of a linked pair differ in at most a ninth of both
     sizes) allow a link.
     """
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    comp = frame.comp.to_numpy()
-    if len(frame) < 2 or (comp == comp[0]).all():
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(sid) < 2 or (comp == comp[0]).all():
         return none
-    left = np.flatnonzero((frame.block == frame.low).to_numpy())
-    right = np.flatnonzero((frame.block == frame.high).to_numpy())
-    same = frame.low.iloc[0] == frame.high.iloc[0]
-    least = min(map(len, frame.members))
-    folded = np.stack([fold_sketch(np.frombuffer(x, np.uint8), least) for x in frame.members]).view(np.uint64)
-    n, far, sid = frame.n.to_numpy(), frame.far.to_numpy(np.float64), frame.sid.to_numpy()
+    left, right, same = np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
+    least = min(map(len, sketch))
+    folded = np.stack([fold_sketch(np.frombuffer(x, np.uint8), least) for x in sketch]).view(np.uint64)
     out_a, out_b = [], []
     step = max(1, 4_000_000 // max(1, len(right) * folded.shape[1]))
     for at in range(0, len(left), step):
@@ -341,8 +362,7 @@ def candidates(frame: pd.DataFrame) -> pd.DataFrame:
             out_b.append(sid[q[may]])
     if not out_a:
         return none
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def pairs_of(members: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -351,33 +371,49 @@ def pairs_of(members: DataFrame, sketched: DataFrame) -> DataFrame:
     cut = members.join(size, "region").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = cut.select("region", "sid", "comp", "far", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    full = cut.join(sketched.select("sid", "n", "members"), "sid")
-    return full.groupBy("region", "low", "high").applyInPandas(candidates, "a long, b long").distinct()
+    cut = staged(cut, "near-cut")
+    tasks = max(1, -(-cut.count() // TASK_ROWS))
+    full = cut.join(sketched.select("sid", "n", "members"), "sid").withColumn("task", F.pmod(F.xxhash64("region", "low", "high"), F.lit(tasks)))
+    return full.groupBy("task").applyInPandas(candidates, "a long, b long").distinct()
 
 
 def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
-    """``judge`` over (a, b) with what ``sets`` (sid, n, members) has of both, each b in chunks of about CHUNK_MEMBERS."""
+    """``judge`` over staged (a, b) with what ``sets`` (sid, n, members) has of both.
+
+    A pivot b with many a is split into chunks; many small pivots share a task.
+    """
+    tasks = max(1, -(-pairs.count() // TASK_ROWS))
     per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
     dealt = pairs.join(per, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
-    left = dealt.select("a", "b", "chunk").join(sets.withColumnRenamed("sid", "a"), "a")
+    left = dealt.select("a", "b", F.pmod(F.xxhash64("b", "chunk"), F.lit(tasks)).alias("task")).join(sets.withColumnRenamed("sid", "a"), "a")
     pivots = sets.select(F.col("sid").alias("p"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
     dealt_pivots = per.select(F.col("b").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
+    dealt_pivots = dealt_pivots.select("p", F.pmod(F.xxhash64("p", "part"), F.lit(tasks)).alias("at")).distinct()
     right = dealt_pivots.join(pivots, "p")
-    return left.groupBy("b", "chunk").cogroup(right.groupBy("p", "part")).applyInPandas(judge, schema)
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = {p: (n, members) for p, n, members in zip(right.p, right.pivot_n, right.pivot_members)}
+        left = left.sort_values(["b", "a"])
+        b = left.b.to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
+        a, n, members = left.a.to_numpy(), left.n.to_numpy(), left.members.to_numpy()
+        rows = [judge(a[x:y], n[x:y], members[x:y], int(b[x]), *own[b[x]]) for x, y in zip(edge, [*edge[1:], len(b)]) if b[x] in own]
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(columns, zip(*rows))}) if rows else pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
+
+    return left.groupBy("task").cogroup(right.groupBy("at")).applyInPandas(run, schema)
 
 
-def allowed(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one pivot whose sketches allow a link."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    pivot, size = np.frombuffer(right.pivot_members.iloc[0], np.uint8), int(right.pivot_n.iloc[0])
-    keep = np.zeros(len(left), bool)
-    for i, (sketch, n) in enumerate(zip(left.members, left.n)):
+def allowed(a, n, members, b, pivot_n, pivot_members):
+    """(a, b) of the pairs of one pivot whose sketches allow a link."""
+    pivot = np.frombuffer(pivot_members, np.uint8)
+    keep = np.zeros(len(a), bool)
+    for i, sketch in enumerate(members):
         own = np.frombuffer(sketch, np.uint8)
         both = min(len(own), len(pivot))
         apart = int(np.bitwise_count(fold_sketch(own, both) ^ fold_sketch(pivot, both)).sum())
-        keep[i] = apart * (100 + PERCENT) <= (n + size) * (100 - PERCENT)
-    return left.loc[keep, ["a", "b"]]
+        keep[i] = apart * (100 + PERCENT) <= (n[i] + pivot_n) * (100 - PERCENT)
+    return a[keep], np.full(keep.sum(), b)
 
 
 def verify(left: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
@@ -443,7 +479,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sizes = members.select("sid", "n").distinct()
     star = members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na")).distinct()
     star = star.join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").filter(may_link(F.col("na"), F.col("nb")))
-    judged = verify(staged(meet(star.select("a", "b"), sketched, allowed, "a long, b long"), "near-star"), sketched, texts)
+    judged = verify(staged(meet(staged(star.select("a", "b"), "near-edges"), sketched, allowed, "a long, b long"), "near-star"), sketched, texts)
     links = judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _powers: dict[str, np.ndarray] = {}
 

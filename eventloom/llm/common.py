@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,5 +54,17 @@ def fold(holds: Column) -> Column:
     return F.crc32(holds.cast("string").cast("binary")) % 5
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Batches of at most ``rows`` rows to Python for the jobs inside, so that long texts fit in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

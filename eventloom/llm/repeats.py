@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import shuffle_width, staged, table
+from .common import arrow_rows, shuffle_width, staged, table
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Input bytes for each bucket.
 BUCKET_BYTES = 8_000_000
+#: Strings after which a task packs what it has.
+FLUSH = 1_000_000
 #: Packed marks up to which they are broadcast; beyond they are shuffled.
 BROADCAST_BYTES = 32_000_000
 
@@ -80,28 +82,28 @@ def gram_ids(data: np.ndarray) -> np.ndarray:
 
 
 def least_places(ids: np.ndarray) -> np.ndarray:
-    """For each string of LENGTH bytes the place of its least q-gram, the first one of equals."""
+    """For each string of LENGTH bytes the place of its least q-gram, the first one of equals.
+
+    Q-grams are compared by the upper half of their identifiers, so value and place
+    fit in one number.
+    """
     n = len(ids) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    least, span = ids, 1
+    least, span = (ids & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(ids), dtype=np.uint64), 1
     while span * 2 <= WINDOW:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:n], least[WINDOW - span : WINDOW - span + n])
-    # the place: the next position at or after the start whose q-gram has the least value
-    fresh = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    out = np.empty(n, np.int64)
-    ends = np.concatenate([fresh[1:], [n]])
-    for a, b in zip(fresh.tolist(), ends.tolist()):
-        value, i = least[a], a
-        while i < b:
-            # the first place in the window of string i; it serves all strings up to that place
-            at = i + int(np.argmax(ids[i : i + WINDOW] == value))
-            stop = min(b, at + 1)
-            out[i:stop] = at
-            i = stop
-    return out
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def strings_of(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Whether a string of LENGTH bytes from each place ends in the document that it starts in."""
+    inside = np.ones(max(n, 0), bool)
+    for end in offsets[1:-1].tolist():
+        inside[max(0, end - LENGTH + 1) : end] = False
+    return inside
 
 
 def refined(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -116,12 +118,6 @@ def refined(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return pair(double(starts), double(starts + LENGTH - 2 * GRAM))
 
 
-def documents(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    for low, high, data, offsets in tb.chunks(texts):
-        for i in range(high - low):
-            yield low + i, data[offsets[i] : offsets[i + 1]]
-
-
 def by_bucket(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by bucket, and the bounds of each bucket in it."""
     bucket = ((ids >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -138,12 +134,15 @@ def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     names = [c.split()[0] for c in FIRST.split(", ")]
     for batch in batches:
         size, digest, keep = np.zeros(batch.num_rows, np.int64), [], []
-        for i, data in documents(batch.column(1)):
-            size[i] = len(data)
-            digest.append(hashlib.sha256(data.tobytes()).digest())
+        for low, high, data, offsets in tb.chunks(batch.column(1)):
+            size[low:high] = np.diff(offsets)
+            digest += [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:])]
             ids = gram_ids(data)
-            at = np.unique(least_places(ids))
-            keep.append((ids[at], np.full(len(at), i, np.uint32), at.astype(np.uint32)))
+            at = least_places(ids)
+            at = at[strings_of(offsets, len(at))]
+            at = np.unique(at[np.concatenate([[True], at[1:] != at[:-1]])]) if len(at) else at
+            doc = np.searchsorted(offsets, at, "right") - 1
+            keep.append((ids[at], (doc + low).astype(np.uint32), (at - offsets[doc]).astype(np.uint32)))
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, -1, np.int32)), batch.column(0), pa.array(base + np.arange(n)), pa.array(size), pa.array(digest, pa.binary()), pa.nulls(n, pa.binary())],
@@ -207,48 +206,59 @@ def repeated(frame: pd.DataFrame) -> pd.DataFrame:
 
 def refine(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Columns (id, text, row, digest, blocks of places) in; blocks of strings and marks found here out."""
-    names = [c.split()[0] for c in SECOND.split(", ")]
+    held: list[tuple] = []
     for batch in batches:
-        keys, keep, kept_rows = [], [], []
-        doc_ids, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        digests, marks = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for i, data in documents(batch.column(1)):
-            if hashlib.sha256(data.tobytes()).digest() != digests[i]:
-                continue  # another text under the same id
+        key = np.array([-(2**63) if d is None else d for d in batch.column(0).to_pylist()], np.int64)
+        rows, digests, marks = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        for low, high, data, offsets in tb.chunks(batch.column(1)):
             ids = gram_ids(data)
             at = least_places(ids)
             wanted = np.zeros(len(ids), bool)
-            for block in marks[i]:
-                first, length = runs_of(block)
-                wanted[np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())] = True
-            starts = np.flatnonzero(wanted[at])
-            if len(starts):
-                keep.append((refined(ids, starts), np.full(len(starts), i, np.uint32), starts.astype(np.uint32)))
-        if not keep:
-            continue
-        ids, local, start = (np.concatenate(x) for x in zip(*keep))
-        key = np.array([-(2**63) if d is None else d for d in doc_ids], np.int64)
-        row_of = np.array(rows, np.int64)
-        order = np.lexsort((start, key[local], ids))
-        ids, local, start = ids[order], local[order], start[order]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        # an entry of the first one's document and place (a repeated row) is no later one
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        later = ~first & ((key[local] != key[local[lead]]) | (start != start[lead]))
-        here = per_row(row_of[local[later]], start[later])
-        if len(here):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), -1, np.int32)), pa.array(here.row.to_numpy()), pa.array(here.block.to_list(), pa.binary())], names=names)
-        sole = ~later
-        ids, local, start = ids[sole], local[sole], start[sole]
-        order, cut = by_bucket(ids, buckets)
-        for b, (x, y) in enumerate(zip(cut, cut[1:])):
-            if y > x:
-                some = order[x:y]
-                used, where = np.unique(local[some], return_inverse=True)
-                head = squeezed([key[used], row_of[used]])
-                step = np.diff(ids[some], prepend=np.uint64(0))
-                body = squeezed([step, where.astype("<u4"), start[some]])
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(head).to_bytes(8, "little") + head + body], pa.binary())], names=names)
+            for i in range(low, high):
+                a, b = offsets[i - low], offsets[i - low + 1]
+                if hashlib.sha256(data[a:b]).digest() == digests[i]:  # else another text under the same id
+                    for block in marks[i]:
+                        first, length = runs_of(block)
+                        wanted[a + np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())] = True
+            starts = np.flatnonzero(strings_of(offsets, len(at)) & wanted[at]) if len(at) else at
+            doc = np.searchsorted(offsets, starts, "right") - 1
+            held.append((refined(ids, starts), key[low:high][doc], rows[low:high][doc], (starts - offsets[doc]).astype(np.uint32)))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield from settle(held, buckets)
+                held = []
+    if held:
+        yield from settle(held, buckets)
+
+
+def settle(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marks of strings that are not the first of their kind here, and blocks of those that are."""
+    names = [c.split()[0] for c in SECOND.split(", ")]
+    ids, key, row, start = (np.concatenate(x) for x in zip(*held))
+    if not len(ids):
+        return
+    order = np.lexsort((start, key, ids))
+    ids, key, row, start = ids[order], key[order], row[order], start[order]
+    first = np.concatenate([[True], ids[1:] != ids[:-1]])
+    # an entry of the first one's document and place (a repeated row) is no later one
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = ~first & ((key != key[lead]) | (start != start[lead]))
+    here = per_row(row[later], start[later])
+    if len(here):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), -1, np.int32)), pa.array(here.row.to_numpy()), pa.array(here.block.to_list(), pa.binary())], names=names)
+    ids, key, row, start = ids[~later], key[~later], row[~later], start[~later]
+    # sorted by identifier, so also by bucket
+    bucket = ((ids >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    made = []
+    for b, (x, y) in enumerate(zip(cut, cut[1:])):
+        if y > x:
+            used, where = np.unique(row[x:y], return_inverse=True)
+            key_of = np.zeros(len(used), np.int64)
+            key_of[where] = key[x:y]
+            head = squeezed([key_of, used])
+            body = squeezed([np.diff(ids[x:y], prepend=np.uint64(0)), where.astype("<u4"), start[x:y]])
+            made.append((b, len(head).to_bytes(8, "little") + head + body))
+    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.nulls(len(made), pa.int64()), pa.array([x for _, x in made], pa.binary())], names=names)
 
 
 def later_ones(frame: pd.DataFrame) -> pd.DataFrame:
@@ -287,8 +297,8 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         rows, digests, marks = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        for i, data in documents(batch.column(0)):
-            raw = data.tobytes()
+        for i, text in enumerate(batch.column(0)):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             if hashlib.sha256(raw).digest() != digests[i]:
                 continue
             starts, ends = covered(marks[i])
@@ -313,6 +323,11 @@ def with_texts(marks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    with arrow_rows(df.sparkSession):
+        return _repeats(df, id_col, text_col)
+
+
+def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``df``: id, n_bytes, n_removed, n_spans, kept_sha256, and spans (pairs of
     64-bit start and end of the removed runs, null where none)."""
     spark = df.sparkSession
@@ -335,9 +350,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     later = second.filter("bucket >= 0").groupBy("bucket").applyInPandas(later_ones, "row long, block binary")
     starts = second.filter("bucket = -1").select("row", "block").unionByName(later).groupBy("row").agg(F.collect_list("block").alias("blocks"))
     cuts = staged(docs.select("id", "row", "digest").join(starts, "row"), "repeat-starts")
-    done = with_texts(cuts, texts).select("text", "row", "digest", "blocks").mapInArrow(
+    done = staged(with_texts(cuts, texts).select("text", "row", "digest", "blocks").mapInArrow(
         cut_texts, "row long, n_removed long, n_spans long, kept_sha256 string, spans binary"
-    ).dropDuplicates(["row"])
+    ), "repeat-cuts").dropDuplicates(["row"])
     out = docs.join(done, "row", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(

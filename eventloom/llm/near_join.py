@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import shuffle_width, staged, table
+from .common import arrow_rows, shuffle_width, staged, table
 from .components import components
 
 WORDS = 5
@@ -448,6 +448,11 @@ def leave_common(members: DataFrame) -> DataFrame:
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row per row of ``df``, named id_col, n_shingles, component_id."""
+    with arrow_rows(df.sparkSession):
+        return _near_groups(df, id_col, text_col)
+
+
+def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -506,5 +511,17 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay when each group of linked documents keeps its row of least id."""
+    names = df.columns
+    rows = staged(df.select(F.monotonically_increasing_id().alias("__el_row"), F.struct(*names).alias("__el_all")), "near-rows")
+    keyed = rows.select("__el_row", F.col(f"__el_all.`{id_col}`").alias("__el_id"), F.col(f"__el_all.`{text_col}`").alias("__el_text"))
+    groups = near_groups(keyed, "__el_row", "__el_text").join(keyed.select("__el_row", "__el_id"), "__el_row")
+    order = F.struct(F.col("__el_id").isNull().alias("none"), "__el_id", "__el_row")
+    leads = groups.groupBy("component_id").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    gone = groups.join(leads, "component_id").filter(F.col("__el_row") != F.col("lead.__el_row")).select("__el_row")
+    return rows.join(few_or_shuffled(staged(gone, "near-gone")), "__el_row", "left_anti").select("__el_all.*")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -54,11 +54,11 @@ PERCENT = 80
 #: Sizes of a class differ by this factor at most.
 CLASS_RATIO = 1.5
 #: Input bytes for each bucket of signatures.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: Signatures after which a task packs what it has.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Pairs, or members of regions, that a task works on at a time, besides one large pivot or region.
-TASK_ROWS = 4096
+TASK_ROWS = 2048
 #: Members of a region that meet in one task.
 BLOCK_MEMBERS = 2048
 #: Parts beyond those that the greatest difference calls for, as a share of it.

@@ -41,9 +41,9 @@ from .common import arrow_rows, shuffle_width, staged, table
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Input bytes for each bucket.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: Strings after which a task packs what it has.
-FLUSH = 1_000_000
+FLUSH = 1_500_000
 #: Packed marks up to which they are broadcast; beyond they are shuffled.
 BROADCAST_BYTES = 32_000_000
 
@@ -244,7 +244,7 @@ def settle(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     later = ~first & ((key != key[lead]) | (start != start[lead]))
     here = per_row(row[later], start[later])
     if len(here):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), -1, np.int32)), pa.array(here.row.to_numpy()), pa.array(here.block.to_list(), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - here.row.to_numpy() % buckets).astype(np.int32)), pa.array(here.row.to_numpy()), pa.array(here.block.to_list(), pa.binary())], names=names)
     ids, key, row, start = ids[~later], key[~later], row[~later], start[~later]
     # sorted by identifier, so also by bucket
     bucket = ((ids >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -262,7 +262,9 @@ def settle(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def later_ones(frame: pd.DataFrame) -> pd.DataFrame:
-    """(row, block of starts) of one bucket's strings that are not the first of their kind."""
+    """(row, block of starts) of one bucket's strings that are not the first of their kind; marks made before pass."""
+    if frame.bucket.iloc[0] < 0:
+        return frame[["row", "block"]]
     ids, keys, rows, starts = [], [], [], []
     for block in frame.block:
         size = int.from_bytes(block[:8], "little")
@@ -346,9 +348,9 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marks = staged(docs.filter("NOT copy").select("id", "row", "digest").join(places, "row"), "repeat-places")
 
     joined = with_texts(marks, texts).select("id", "text", "row", "digest", "blocks")
-    second = staged(joined.mapInArrow(lambda b: refine(b, buckets), SECOND), "repeat-strings")
-    later = second.filter("bucket >= 0").groupBy("bucket").applyInPandas(later_ones, "row long, block binary")
-    starts = second.filter("bucket = -1").select("row", "block").unionByName(later).groupBy("row").agg(F.collect_list("block").alias("blocks"))
+    second = joined.mapInArrow(lambda b: refine(b, buckets), SECOND)
+    later = second.groupBy("bucket").applyInPandas(later_ones, "row long, block binary")
+    starts = later.groupBy("row").agg(F.collect_list("block").alias("blocks"))
     cuts = staged(docs.select("id", "row", "digest").join(starts, "row"), "repeat-starts")
     done = staged(with_texts(cuts, texts).select("text", "row", "digest", "blocks").mapInArrow(
         cut_texts, "row long, n_removed long, n_spans long, kept_sha256 string, spans binary"

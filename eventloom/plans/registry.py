@@ -1,6 +1,391 @@
-"""Queries of the engine and their SQL equivalents."""
+"""Queries of the engine by name, and their SQL equivalents.
+
+Each query takes (spark, sf_dir) and reads its whole tables. Queries without SQL
+(extraction, fuzzy scores, clusters, packing) are held against brute force in tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from ..functions import categories as ct
+from ..functions import dates as dt
+from ..functions import money as mn
+from ..functions import text as tx
+from ..operators import filters, notify, read, resolve, store
+from ..sources import extract as ex
+from ..sources import pages as pg
+from ..streaming import ingest
+from .records import ER_REF, EVENTS_SQL, LISTINGS_SQL, REF, events, listings, table
+
+ORDER = ["start", "title", "uid"]
+SHOWN = ["uid", "title", "venue", "start", "end", "category"]
+WEEK = dt.bucket_bounds("bu_hafta", REF)
+NOW = datetime(2000, 1, 1)
+
+
+def bucket_list(spark, sf_dir):
+    return read.in_bucket(events(spark, sf_dir), "bu_hafta", REF).select(*SHOWN).orderBy(*ORDER)
+
+
+def filtered_list(spark, sf_dir):
+    first, last = dt.bucket_bounds("bu_ay", REF)
+    return read.list_events(events(spark, sf_dir), first, last, free=True, categories=["economy", "promo"], min_sources=2).select(*SHOWN)
+
+
+def search_folded(spark, sf_dir):
+    return read.search(events(spark, sf_dir).filter(F.col("end") >= F.lit(REF)), "RING", 40, ORDER).select(*SHOWN)
+
+
+def offset_page(spark, sf_dir):
+    return read.page(events(spark, sf_dir).select(*SHOWN), ORDER, 100, 50)
+
+
+def counts_summary(spark, sf_dir):
+    return read.counts(events(spark, sf_dir), REF)
+
+
+def category_counts(spark, sf_dir):
+    return read.category_counts(events(spark, sf_dir), REF)
+
+
+def new_items(spark, sf_dir):
+    return read.unannounced(events(spark, sf_dir), REF, 20).select(*SHOWN)
+
+
+def classify_buckets(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.groupBy(dt.classify(F.col("start"), F.col("end"), REF).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(20,2)").cast("double").alias("total"))
+
+
+def bucket_ranges(spark, sf_dir):
+    """How many records overlap each of the eight buckets, in one pass."""
+    e = events(spark, sf_dir)
+    counted = e.agg(*[F.count_if(dt.in_bucket(F.col("start"), F.col("end"), b, REF)).alias(b) for b in dt.BUCKETS])
+    return counted.unpivot([], list(dt.BUCKETS), "bucket", "n")
+
+
+def title_keys(spark, sf_dir):
+    """Normalised titles of noisy listings: the noise goes, the name stays."""
+    x = listings(spark, sf_dir)
+    return x.select("idx", tx.normalize_title(F.col("title")).alias("key"), tx.normalize_venue(F.col("venue")).alias("place"))
+
+
+def display_titles(spark, sf_dir):
+    x = listings(spark, sf_dir)
+    return x.select("idx", tx.clean_display_title(F.col("title")).alias("shown"), tx.slugify(F.concat_ws(" ", "venue", tx.tr_lower(F.col("title")))).alias("slug"))
+
+
+def event_uids(spark, sf_dir):
+    x = resolve.prepared(listings(spark, sf_dir))
+    return x.select("idx", resolve.event_uid(F.col("key"), F.col("start"), F.col("place")).alias("uid"), "link")
+
+
+def price_roundtrip(spark, sf_dir):
+    """Prices written in Turkish style among other words, and read back."""
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    raw = F.concat(F.lit("Bilet fiyatı: "), F.translate(F.format_number("l_extendedprice", 2), ",.", ".,"), F.lit(" TL"))
+    price = mn.parse_price(raw)
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price["min"].alias("low"), price["is_free"].alias("is_free"), mn.price_label(price).alias("label"))
+
+
+def date_roundtrip(spark, sf_dir):
+    """Order dates written in five ways, and read back."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    long = F.concat(F.day("d").cast("string"), F.lit(" "), dt.month_label(F.col("d")), F.lit(" "), F.year("d").cast("string"))
+    way = F.pmod("o_orderkey", F.lit(5))
+    raw = (
+        F.when(way == 0, long)
+        .when(way == 1, F.date_format("d", "dd.MM.yyyy"))
+        .when(way == 2, F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit("T20:30")))
+        .when(way == 3, F.concat(F.lit("Tarih: "), tx.tr_upper(long), F.lit(" Saat 21.15")))
+        .otherwise(F.concat(F.day("d").cast("string"), F.lit(" "), dt.month_label(F.col("d")), F.lit(" "), F.year("d").cast("string"), F.lit(" - "), F.date_format(F.date_add("d", 40), "d"), F.lit(" "), dt.month_label(F.date_add("d", 40)), F.lit(" "), F.year(F.date_add("d", 40)).cast("string")))
+    )
+    got = dt.parse_dates(raw, REF)
+    return o.select("o_orderkey", got["start"].alias("start"), got["end"].alias("end"), got["minute"].alias("minute"), dt.is_date_only(raw).alias("date_only"))
+
+
+def date_labels(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.groupBy(dt.format_dates(F.col("start"), F.col("end"), F.lit(None).cast("int"), REF).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_guess(spark, sf_dir):
+    """Categories of documents by the words of their whole texts."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", ct.guess_category(F.lit(None).cast("string"), F.col("text"), F.col("source")).alias("category"))
+
+
+def city_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = filters.blob(F.col("text"), F.col("source"))
+    return d.select("doc_id", filters.mentions_local(text).alias("local"), filters.is_other_city(text).alias("elsewhere"))
+
+
+def drop_reasons(spark, sf_dir):
+    e = events(spark, sf_dir)
+    reason = filters.drop_reason(F.col("title"), filters.blob(F.col("title"), F.col("venue")), F.col("start"), F.col("end"), REF, F.lit(False))
+    return e.groupBy("source", F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_per_source(spark, sf_dir):
+    e = events(spark, sf_dir).select("source", "title", "start", "uid")
+    return filters.first_per(e, ["source", "title"], ["start", "uid"])
+
+
+def block_keys(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.select(F.explode(resolve.block_keys(F.col("start"), F.col("end"))).alias("block_key")).groupBy("block_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidate_pairs(spark, sf_dir):
+    return resolve.candidate_pairs(listings(spark, sf_dir).select("idx", "start", "end")).select("l_idx", "r_idx")
+
+
+def match_scores(spark, sf_dir):
+    s = resolve.match_scores(listings(spark, sf_dir))
+    return s.select("l_idx", "r_idx", *[F.round(c, 9).alias(c) for c in ("title_score", "venue_score", "score")])
+
+
+def clusters(spark, sf_dir):
+    return resolve.clusters(listings(spark, sf_dir))
+
+
+def merged_events(spark, sf_dir):
+    x = listings(spark, sf_dir)
+    return resolve.merge_clusters(x, resolve.clusters(x))
+
+
+def dedup_stats(spark, sf_dir):
+    x = listings(spark, sf_dir)
+    pairs = resolve.match_scores(x).agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(F.col("score") >= resolve.THRESHOLD).alias("matches"))
+    sizes = resolve.clusters(x).agg(F.count(F.lit(1)).alias("before"), F.countDistinct("root").alias("after"))
+    return sizes.join(pairs, F.lit(True)).withColumn("merged", F.col("before") - F.col("after"))
+
+
+def _stored(spark, sf_dir):
+    """The store before the batch: orders up to 1998, and the batch: orders from 1997 with other values."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").alias("at"))
+    old = o.filter(F.col("at") < F.lit(datetime(1999, 1, 1))).select(
+        "o_orderkey", "o_totalprice", F.col("at").alias("first_seen"), F.col("at").alias("last_seen"), (F.pmod("o_orderkey", F.lit(2)) == 0).alias("announced")
+    )
+    new = o.filter(F.col("at") >= F.lit(datetime(1997, 1, 1))).select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit(False).alias("announced"))
+    return old, new
+
+
+def upsert_merge(spark, sf_dir):
+    old, new = _stored(spark, sf_dir)
+    return store.upsert(old, new, "o_orderkey", NOW)
+
+
+def upsert_split(spark, sf_dir):
+    old, new = _stored(spark, sf_dir)
+    return store.split_batch(old, new, "o_orderkey").groupBy("is_new").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prune(spark, sf_dir):
+    old, _ = _stored(spark, sf_dir)
+    kept = store.prune_stale(old.withColumn("end", F.col("last_seen").cast("date")), datetime(1999, 1, 1), 400)
+    return store.prune_old(kept, date(1999, 1, 1), 200).agg(F.count(F.lit(1)).alias("n"), F.min("last_seen").alias("oldest"))
+
+
+def health_counter(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
+    return store.consecutive_failures(e, "user_id", "event_id", "failed")
+
+
+def run_counters(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("kept"), F.array_sort(F.collect_set(F.when(F.col("event_type") == "error", "error"))).alias("errors"))
+    return store.run_log(e).drop("errors")
+
+
+def mode_per_user(spark, sf_dir):
+    return read.mode_per(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+def html_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("links"))
+
+
+def page_links(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return p.groupBy("page_id", pg.absolutize(F.col("url"), F.col("href")).alias("link")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_props(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
+
+
+def page_urls(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("key"), F.concat(F.lit("https://example.com/"), F.col("n_nationkey").cast("string")).alias("url"), F.lit("page").alias("param"),
+        F.lit(None).cast("string").alias("template"), F.lit(1).alias("first_page"), (F.col("n_regionkey") + 1).cast("int").alias("max_pages"),
+    )
+    return pg.paged_urls(n)
+
+
+def extracted_rows(spark, sf_dir):
+    return ex.extract(table(spark, sf_dir, "pages"))
+
+
+def strategy_counts(spark, sf_dir):
+    return ex.strategy_counts(ex.extract(table(spark, sf_dir, "pages")))
+
+
+def _subscribers(spark, sf_dir):
+    """One subscriber per supplier: wishes by key."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.pmod("s_suppkey", F.lit(4))
+    return s.select(
+        F.col("s_suppkey").alias("chat_id"), (k == 0).alias("free_only"),
+        F.when(k == 1, F.array(F.lit("economy"), F.lit("promo"))).otherwise(F.array().cast("array<string>")).alias("categories"),
+        F.when(k == 2, F.array(F.lit("ring"))).otherwise(F.array().cast("array<string>")).alias("keywords"),
+    )
+
+
+def _news(spark, sf_dir):
+    return read.in_bucket(events(spark, sf_dir), "yarin", REF)
+
+
+def subscriber_match(spark, sf_dir):
+    m = notify.matches(_news(spark, sf_dir), _subscribers(spark, sf_dir))
+    return m.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid"))
+
+
+def digest_topk(spark, sf_dir):
+    d = notify.digest(notify.matches(_news(spark, sf_dir), _subscribers(spark, sf_dir)), ["start", "title", "uid"])
+    return d.select("chat_id", F.array_join("uids", ",").alias("uids"), "more", "free")
+
+
+def packed_messages(spark, sf_dir):
+    """Customers of each nation as lines of messages."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    line = notify.event_line(F.col("c_name"), F.lit(""), F.lit("konser"), F.lit("bugün"), F.col("c_mktsegment"), F.lit("100 ₺"), F.lit(2))
+    rows = c.select("n_name", "c_custkey", line.alias("line"), F.concat(F.lit("<b>"), "n_name", F.lit("</b>")).alias("header"))
+    return notify.messages(rows, "n_name", "line", ["c_custkey"], "header")
+
+
+def stream_upsert(spark, sf_dir):
+    """The events table as a file stream, upserted by user."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    base = f"{root}/eventloom-stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events*.parquet"
+    target = store.Table(spark, f"{base}/table")
+    stream = ingest.event_stream(spark, path, table(spark, sf_dir, "events").schema)
+    ingest.upsert_stream(stream, target, f"{base}/checkpoint", "user_id", ["ts", "event_id"])
+    out = target.read()
+    return out.select("user_id", "n", "first_seen", "last_seen", F.col("last.event_type").alias("last_type"))
+
+
+def daily_windows(spark, sf_dir):
+    w = ingest.windowed_counts(table(spark, sf_dir, "events"))
+    return w.select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bucket_list, filtered_list, search_folded, offset_page, counts_summary, category_counts, new_items, classify_buckets, bucket_ranges, title_keys,
+        display_titles, event_uids, price_roundtrip, date_roundtrip, date_labels, category_guess, city_filter, drop_reasons, first_per_source, block_keys,
+        candidate_pairs, match_scores, clusters, merged_events, dedup_stats, upsert_merge, upsert_split, prune, health_counter, run_counters, mode_per_user,
+        html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, stream_upsert, daily_windows,
+    )
+}
+
+_COLS = 'uid, title, venue, start, "end", category'
+_FOLD = "translate(lower({0}), 'ışğüöçâîûäéàáãåèêëìíïñòóôõùúýÿ', 'isguocaiuaeaaaaeeeiiinoooouuyy')"
+
+
+def _within(bucket):
+    a, b = dt.bucket_bounds(bucket, REF)
+    return f"\"end\" >= DATE '{a}' AND start <= DATE '{b}'"
+
+
+def _guess_sql():
+    text, place = "lower(coalesce(text, ''))", "lower(coalesce(source, ''))"
+    whens = [f"WHEN {' OR '.join(f'contains({text}, {w!r})' for w in words.split('|'))} THEN '{k}'" for k, (_, words) in ct.CATEGORIES.items() if words]
+    whens += [f"WHEN {' OR '.join(f'contains({place}, {w!r})' for w in words.split('|'))} THEN '{k}'" for k, words in ct.VENUE_WORDS]
+    return f"SELECT doc_id, CASE {' '.join(whens)} ELSE 'diger' END AS category FROM documents"
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in dt.MONTH_LABELS) + "]"
+_DAYS = "[" + ", ".join(f"'{d}'" for d in dt.WEEKDAY_LABELS) + "]"
+_YEAR = f"CASE WHEN year(start) <> {REF.year} OR year({{0}}) <> {REF.year} THEN ' ' || year({{0}}) ELSE '' END"
+_ONE = "day({0}) || ' ' || " + _MONTHS + "[month({0})] || " + _YEAR
+
+ORACLES = {
+    "bucket_list": f"WITH {EVENTS_SQL} SELECT {_COLS} FROM e WHERE {_within('bu_hafta')}",
+    "filtered_list": f"WITH {EVENTS_SQL} SELECT {_COLS} FROM e WHERE {_within('bu_ay')} AND is_free AND category IN ('economy', 'promo') AND source_count >= 2",
+    "search_folded": f"""WITH {EVENTS_SQL}, f AS (SELECT * FROM e WHERE "end" >= DATE '{REF}' ORDER BY start, title, uid LIMIT 800)
+        SELECT {_COLS} FROM f WHERE contains(lower(title || ' ' || venue), 'ring') ORDER BY start, title, uid LIMIT 40""",
+    "offset_page": f"WITH {EVENTS_SQL} SELECT {_COLS} FROM e ORDER BY start, title, uid LIMIT 50 OFFSET 100",
+    "counts_summary": f"""WITH {EVENTS_SQL} SELECT count(*) AS total, count(*) FILTER ("end" >= DATE '{REF}') AS upcoming,
+        count(*) FILTER ("end" >= DATE '{REF}' AND is_free) AS free, count(*) FILTER ("end" >= DATE '{REF}' AND source_count > 1) AS multi_source FROM e""",
+    "category_counts": f"WITH {EVENTS_SQL} SELECT category, count(*) AS n FROM e WHERE \"end\" >= DATE '{REF}' GROUP BY category",
+    "new_items": f"WITH {EVENTS_SQL} SELECT {_COLS} FROM e WHERE NOT announced AND \"end\" >= DATE '{REF}' ORDER BY start, title, uid LIMIT 20",
+    "classify_buckets": f"""WITH {EVENTS_SQL} SELECT CASE WHEN "end" < DATE '{REF}' THEN 'gecmis' WHEN start <= DATE '{REF}' THEN 'bugun'
+        WHEN start = DATE '{REF}' + 1 THEN 'yarin' WHEN start <= DATE '{WEEK[1]}' THEN 'bu_hafta' WHEN start <= DATE '{WEEK[1]}' + 7 THEN 'gelecek_hafta'
+        WHEN start <= DATE '{dt.bucket_bounds("bu_ay", REF)[1]}' THEN 'bu_ay' ELSE 'sonra' END AS bucket, count(*) AS n, sum(price)::DECIMAL(20,2)::DOUBLE AS total FROM e GROUP BY 1""",
+    "bucket_ranges": f"WITH {EVENTS_SQL} " + " UNION ALL ".join(f"SELECT '{b}' AS bucket, count(*) AS n FROM e WHERE {_within(b)}" for b in dt.BUCKETS),
+    "title_keys": f"WITH {LISTINGS_SQL} SELECT idx, name AS key, CASE WHEN length(venue) = 7 THEN 'brand' ELSE lower(replace(venue, '#', ' ')) END AS place FROM l",
+    "event_uids": f"WITH {LISTINGS_SQL} SELECT idx, substr(sha1(name || '|' || start || '|' || CASE WHEN length(venue) = 7 THEN 'brand' ELSE lower(replace(venue, '#', ' ')) END), 1, 16) AS uid, 'example.com/e/' || idx AS link FROM l",
+    "price_roundtrip": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice BETWEEN 1900 AND 2100 THEN NULL ELSE l_extendedprice END AS low,
+        false AS is_free, CASE WHEN l_extendedprice BETWEEN 1900 AND 2100 THEN 'Fiyat belirtilmemiş'
+        WHEN l_extendedprice = floor(l_extendedprice) THEN replace(format('{:,}', l_extendedprice::BIGINT), ',', '.') || ' ₺'
+        ELSE translate(format('{:,.2f}', l_extendedprice), ',.', '.,') || ' ₺' END AS label FROM lineitem""",
+    "date_roundtrip": """SELECT o_orderkey, o_orderdate::DATE AS start, CASE WHEN o_orderkey % 5 = 4 THEN o_orderdate::DATE + 40 ELSE o_orderdate::DATE END AS "end",
+        CASE o_orderkey % 5 WHEN 2 THEN 1230 WHEN 3 THEN 1275 END AS minute, true AS date_only FROM orders""",
+    "date_labels": f"""WITH {EVENTS_SQL}, t AS (SELECT *, CASE WHEN "end" > start THEN
+        (CASE WHEN date_trunc('month', start) = date_trunc('month', "end") THEN day(start) || '-' || day("end") || ' ' || {_MONTHS}[month("end")] ||
+          CASE WHEN year(start) <> {REF.year} THEN ' ' || year("end") ELSE '' END
+         ELSE {_ONE.format('start')} || ' – ' || {_ONE.format('"end"')} END) || CASE WHEN DATE '{REF}' BETWEEN start AND "end" THEN ' (devam ediyor)' ELSE '' END
+        ELSE {_ONE.format('start')} || ' ' || {_DAYS}[isodow(start)] END AS base FROM e)
+        SELECT CASE WHEN "end" > start THEN base WHEN start = DATE '{REF}' THEN 'Bugün (' || base || ')' WHEN start = DATE '{REF}' + 1 THEN 'Yarın (' || base || ')' ELSE base END AS label,
+        count(*) AS n FROM t GROUP BY 1""",
+    "category_guess": _guess_sql(),
+    "city_filter": f"""WITH t AS (SELECT doc_id, {_FOLD.format("concat_ws(' ', nullif(text, ''), nullif(source, ''))")} AS b FROM documents)
+        SELECT doc_id, regexp_matches(b, '\\b(?:{filters.LOCAL})') AS local,
+        regexp_matches(b, '\\b(?:{filters.ELSEWHERE})\\b') AND NOT regexp_matches(b, '\\b(?:{filters.LOCAL})') AS elsewhere FROM t""",
+    "drop_reasons": f"""WITH {EVENTS_SQL} SELECT source, CASE WHEN "end" < DATE '{REF}' THEN 'past' ELSE 'kept' END AS reason, count(*) AS n FROM e GROUP BY ALL""",
+    "first_per_source": f"""WITH {EVENTS_SQL} SELECT source, title, start, uid FROM e QUALIFY row_number() OVER (PARTITION BY source, title ORDER BY start, uid) = 1""",
+    "block_keys": f"""WITH {EVENTS_SQL}, k AS (
+        SELECT unnest(CASE WHEN "end" - start + 1 <= 3 THEN list_transform(range(0, ("end" - start) + 1), lambda i: (start + i::INTEGER)::VARCHAR)
+          ELSE list_distinct([start::VARCHAR, "end"::VARCHAR, 'long ' || strftime(start, '%Y-%m')]) END) AS block_key FROM e)
+        SELECT block_key, count(*) AS n FROM k GROUP BY 1""",
+    "candidate_pairs": f"""WITH {LISTINGS_SQL}, k AS (
+        SELECT idx, start, "end", unnest(CASE WHEN "end" - start + 1 <= 3 THEN list_transform(range(0, ("end" - start) + 1), lambda i: (start + i::INTEGER)::VARCHAR)
+          ELSE list_distinct([start::VARCHAR, "end"::VARCHAR, 'long ' || strftime(start, '%Y-%m')]) END) AS b FROM l)
+        SELECT DISTINCT x.idx AS l_idx, y.idx AS r_idx FROM k x JOIN k y ON x.b = y.b AND x.idx < y.idx AND x.start - 1 <= y."end" AND y.start - 1 <= x."end\"""",
+    "upsert_merge": """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate AS day FROM orders), a AS (SELECT * FROM o WHERE day < TIMESTAMP '1999-01-01'),
+        b AS (SELECT * FROM o WHERE day >= TIMESTAMP '1997-01-01')
+        SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_totalprice * 2 ELSE a.o_totalprice END AS o_totalprice,
+        coalesce(a.day, TIMESTAMP '2000-01-01') AS first_seen, CASE WHEN b.o_orderkey IS NOT NULL THEN TIMESTAMP '2000-01-01' ELSE a.day END AS last_seen,
+        coalesce(a.o_orderkey % 2 = 0, false) AS announced FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""",
+    "upsert_split": """SELECT o_orderdate >= TIMESTAMP '1999-01-01' AS is_new, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1""",
+    "prune": """SELECT count(*) AS n, min(o_orderdate) AS oldest FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'
+        AND o_orderdate >= TIMESTAMP '1999-01-01' - INTERVAL 400 DAY AND o_orderdate::DATE >= DATE '1999-01-01' - 200""",
+    "health_counter": """WITH s AS (SELECT user_id, max(event_id) FILTER (event_type <> 'error') AS ok FROM events GROUP BY 1)
+        SELECT s.user_id, count(e.event_id) AS failures FROM s LEFT JOIN events e ON e.user_id = s.user_id AND e.event_type = 'error' AND (s.ok IS NULL OR e.event_id > s.ok) GROUP BY 1""",
+    "run_counters": """WITH u AS (SELECT user_id, count(*) FILTER (event_type <> 'error') AS kept, bool_or(event_type = 'error') AS bad FROM events GROUP BY 1)
+        SELECT sum(kept)::BIGINT AS kept, count(*) AS sources, count(*) FILTER (bad) AS failed FROM u""",
+    "mode_per_user": """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+        SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1""",
+    "html_titles": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::BIGINT AS links FROM pages""",
+    "json_props": "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
+    "page_urls": """WITH p AS (SELECT n_name AS key, 'https://example.com/' || n_nationkey AS base, unnest(range(0, n_regionkey + 1)) AS ord FROM nation)
+        SELECT key, CASE WHEN ord = 0 THEN base ELSE base || '?page=' || (ord + 1) END AS url, ord::INTEGER AS ord FROM p""",
+    "subscriber_match": f"""WITH {EVENTS_SQL}, s AS (SELECT s_suppkey AS chat_id, s_suppkey % 4 AS k FROM supplier)
+        SELECT chat_id, count(*) AS n, min(uid) AS first_uid FROM e JOIN s ON (k <> 0 OR is_free) AND (k <> 1 OR category IN ('economy', 'promo')) AND (k <> 2 OR contains(title, 'ring'))
+        WHERE {_within('yarin')} GROUP BY 1""",
+    "digest_topk": f"""WITH {EVENTS_SQL}, s AS (SELECT s_suppkey AS chat_id, s_suppkey % 4 AS k FROM supplier), m AS (
+        SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY start, title, uid) AS r FROM e
+        JOIN s ON (k <> 0 OR is_free) AND (k <> 1 OR category IN ('economy', 'promo')) AND (k <> 2 OR contains(title, 'ring')) WHERE {_within('yarin')})
+        SELECT chat_id, string_agg(uid, ',' ORDER BY r) FILTER (r <= 12) AS uids, greatest(count(*) - 12, 0) AS more, count(*) FILTER (is_free) AS free FROM m GROUP BY 1""",
+    "stream_upsert": """SELECT user_id, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1""",
+    "daily_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold, table
-from .toxicity import labelled_sample
+from .toxicity import labelled_sample, trained
 
 #: Bound of the labelled sample that the classifier is fitted on.
 TRAIN_EACH = 3000
@@ -125,7 +125,7 @@ def train(texts: list[str | None], labels: np.ndarray, share: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label="quality") -> Model:
-    return train(*labelled_sample(docs, labels, label, id_col, text_col, TRAIN_EACH, TRAIN_EACH))
+    return trained(*labelled_sample(docs, labels, label, id_col, text_col, TRAIN_EACH, TRAIN_EACH), train)
 
 
 def score_documents(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

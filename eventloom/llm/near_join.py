@@ -64,7 +64,7 @@ BLOCK_MEMBERS = 2048
 #: Parts beyond those that the greatest difference calls for, as a share of it.
 SPARE = 0.6
 #: Members from which a region counts as common; a document may leave some of those, see ``spare``.
-COMMON_MEMBERS = 12
+COMMON_MEMBERS = 1
 #: Places of the greatest parity sketch.
 SKETCH_BITS = 1 << 16
 #: Documents that one task compares with a pivot.
@@ -72,7 +72,7 @@ CHUNK_MEMBERS = 256
 #: Rows up to which a list of ids (8 bytes each) is broadcast; beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
 
-PACKED = "bucket int, id long, row long, n long, sid long, spare long, block binary"
+PACKED = "bucket int, id long, row long, n long, sid long, spare long, small binary, block binary"
 
 
 def classes(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,15 +168,15 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_sig), np.concatenate(out_row), np.where(n > 0, spare, 0)
 
 
-def sketches(values: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Per set, the parity of the number of its members at each of about 4 n hashed places.
+def sketches(values: np.ndarray, at: np.ndarray, places: int = 4) -> list[bytes]:
+    """Per set, the parity of the number of its members at each of about ``places`` * n hashed places.
 
     The places where two sketches differ are at most as many as the members in
     which the sets differ, so a sketch can rule a link out but never miss one.
     A sketch folded in half is the sketch of half as many places.
     """
     n = np.diff(at)
-    bits = np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), 64, SKETCH_BITS)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(places * n, 1))).astype(np.int64), 64, SKETCH_BITS)
     base = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(n)), n)
     place = base[owner] + (tb.mix(values ^ np.uint64(0x94D049BB)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -230,17 +230,18 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
         if made:
             n = len(made)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in made], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array([x for _, x in made], pa.binary())],
+                [pa.array([b for b, _ in made], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.binary()), pa.array([x for _, x in made], pa.binary())],
                 names=names,
             )
 
     for batch in batches:
-        done, sigs, rows, parity = 0, [], [], []
+        done, sigs, rows, parity, small = 0, [], [], [], []
         sizes, sids, spare = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
         for low, high, data, offsets in tb.chunks(batch.column(1)):
             values, at = shingle_sets(data, offsets)
             sizes[low:high], sids[low:high] = np.diff(at), set_ids(values, at)
             parity += sketches(values, at)
+            small += sketches(values, at, 1)
             # of equal sets in a chunk one sends signatures
             _, first = np.unique(sids[low:high], return_index=True)
             sig, row, spare[low:high] = signatures(values, at)
@@ -259,6 +260,7 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
                 pa.array(sizes),
                 pa.array(sids),
                 pa.array(spare),
+                pa.array(small, pa.binary()),
                 pa.array(parity, pa.binary()),
             ],
             names=names,
@@ -373,7 +375,7 @@ def pairs_of(members: DataFrame, sketched: DataFrame) -> DataFrame:
     cut = cut.select("region", "sid", "comp", "far", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     cut = staged(cut, "near-cut")
     tasks = max(1, -(-cut.count() // TASK_ROWS))
-    full = cut.join(sketched.select("sid", "n", "members"), "sid").withColumn("task", F.pmod(F.xxhash64("region", "low", "high"), F.lit(tasks)))
+    full = cut.join(sketched.select("sid", "n", F.col("small").alias("members")), "sid").withColumn("task", F.pmod(F.xxhash64("region", "low", "high"), F.lit(tasks)))
     return full.groupBy("task").applyInPandas(candidates, "a long, b long").distinct()
 
 
@@ -385,7 +387,7 @@ def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
     tasks = max(1, -(-pairs.count() // TASK_ROWS))
     per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
     dealt = pairs.join(per, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
-    left = dealt.select("a", "b", F.pmod(F.xxhash64("b", "chunk"), F.lit(tasks)).alias("task")).join(sets.withColumnRenamed("sid", "a"), "a")
+    left = dealt.select("a", "b", F.pmod(F.xxhash64("b", "chunk"), F.lit(tasks)).alias("task")).join(sets.select(F.col("sid").alias("a"), "n", "members"), "a")
     pivots = sets.select(F.col("sid").alias("p"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
     dealt_pivots = per.select(F.col("b").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
     dealt_pivots = dealt_pivots.select("p", F.pmod(F.xxhash64("p", "part"), F.lit(tasks)).alias("at")).distinct()
@@ -477,7 +479,7 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = staged(members.join(several, "region"), "near-members")
 
     met = staged(members.select("sid").distinct(), "near-known")
-    sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", F.col("block").alias("members"))
+    sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", "small", F.col("block").alias("members"))
     first = docs.join(few_or_shuffled(met), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
     sketched = staged(sole.join(few_or_shuffled(staged(first.select("row"), "near-first")), "row", "left_semi").drop("row"), "near-sketched")
 
@@ -495,7 +497,7 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = open_.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("region")
     pairs = staged(pairs_of(named.join(mixed, "region"), sketched), "near-pairs")
-    judged = verify(pairs, sketched, texts)
+    judged = verify(staged(meet(pairs, sketched, allowed, "a long, b long"), "near-left"), sketched, texts)
     label = components(links.unionByName(judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     per_set = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))

@@ -176,16 +176,25 @@ def per_row(row: np.ndarray, value: np.ndarray) -> pd.DataFrame:
 
 
 def runs_block(values: np.ndarray) -> bytes:
-    """Sorted distinct whole numbers as (gap, length) pairs of 32 bits."""
+    """Sorted distinct whole numbers, packed: steps between single numbers, or between runs with their lengths, in 2 or 4 bytes."""
     values = np.unique(values)
     edge = np.flatnonzero(np.concatenate([[True], np.diff(values) != 1]))
     length = np.diff(np.concatenate([edge, [len(values)]]))
-    return np.column_stack([values[edge], length]).astype("<u4").tobytes()
+    starts = values[edge]
+    singles = len(edge) * 2 > len(values)
+    pairs = [np.diff(values, prepend=0)] if singles else [np.diff(starts, prepend=0), length]
+    wide = max(int(x.max(initial=0)) for x in pairs) >= 1 << 16
+    return bytes([2 * wide + singles]) + np.column_stack(pairs).astype("<u4" if wide else "<u2").tobytes()
 
 
 def runs_of(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(block, "<u4").reshape(-1, 2).astype(np.int64)
-    return pairs[:, 0], pairs[:, 1]
+    """Starts and lengths of the runs."""
+    kind, data = block[0], block[1:]
+    numbers = np.frombuffer(data, "<u4" if kind & 2 else "<u2").astype(np.int64)
+    if kind & 1:
+        return np.cumsum(numbers), np.ones(len(numbers), np.int64)
+    pairs = numbers.reshape(-1, 2)
+    return np.cumsum(pairs[:, 0]), pairs[:, 1]
 
 
 def repeated(frame: pd.DataFrame) -> pd.DataFrame:
@@ -294,6 +303,13 @@ def covered(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
 
 
+def span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns (row, blocks of starts) in; (row, blocks) with one block, the removed runs as pairs of 64-bit start and end, out."""
+    for batch in batches:
+        made = [[np.column_stack(covered(x)).astype("<i8").tobytes()] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.binary()))], names=["row", "blocks"])
+
+
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns (text, row, digest, blocks) in; (row, n_removed, n_spans, kept_sha256, spans) out."""
     for batch in batches:
@@ -303,13 +319,13 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             if hashlib.sha256(raw).digest() != digests[i]:
                 continue
-            starts, ends = covered(marks[i])
+            starts, ends = np.frombuffer(marks[i][0], "<i8").reshape(-1, 2).T
             kept, at = hashlib.sha256(), 0
             for a, b in zip(starts.tolist(), ends.tolist()):
                 kept.update(raw[at:a])
                 at = b
             kept.update(raw[at:])
-            out.append((rows[i], int((ends - starts).sum()), len(starts), kept.hexdigest(), np.column_stack([starts, ends]).astype("<i8").tobytes()))
+            out.append((rows[i], int((ends - starts).sum()), len(starts), kept.hexdigest(), marks[i][0]))
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())],
@@ -350,7 +366,7 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined = with_texts(marks, texts).select("id", "text", "row", "digest", "blocks")
     second = joined.mapInArrow(lambda b: refine(b, buckets), SECOND)
     later = second.groupBy("bucket").applyInPandas(later_ones, "row long, block binary")
-    starts = later.groupBy("row").agg(F.collect_list("block").alias("blocks"))
+    starts = later.groupBy("row").agg(F.collect_list("block").alias("blocks")).mapInArrow(span_blocks, "row long, blocks array<binary>")
     cuts = staged(docs.select("id", "row", "digest").join(starts, "row"), "repeat-starts")
     done = staged(with_texts(cuts, texts).select("text", "row", "digest", "blocks").mapInArrow(
         cut_texts, "row long, n_removed long, n_spans long, kept_sha256 string, spans binary"

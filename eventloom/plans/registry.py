@@ -333,6 +333,16 @@ ORACLES = {
         WHEN start <= DATE '{dt.bucket_bounds("bu_ay", REF)[1]}' THEN 'bu_ay' ELSE 'sonra' END AS bucket, count(*) AS n, sum(price)::DECIMAL(20,2)::DOUBLE AS total FROM e GROUP BY 1""",
     "bucket_ranges": f"WITH {EVENTS_SQL} " + " UNION ALL ".join(f"SELECT '{b}' AS bucket, count(*) AS n FROM e WHERE {_within(b)}" for b in dt.BUCKETS),
     "title_keys": f"WITH {LISTINGS_SQL} SELECT idx, name AS key, CASE WHEN length(venue) = 7 THEN 'brand' ELSE lower(replace(venue, '#', ' ')) END AS place FROM l",
+    "display_titles": f"""WITH {LISTINGS_SQL}, t AS (SELECT *, CASE kind WHEN 0 THEN name || ' Konseri' WHEN 1 THEN 'İzmir | ' || name WHEN 2 THEN name || ' (Bilet) 2026'
+          ELSE array_to_string(list_transform(string_split(translate(upper(name), 'I', 'ı'), ' '),
+            lambda w: translate(substr(w, 1, 1), 'ıi', 'Iİ') || lower(substr(w, 2))), ' ') END AS shown,
+          CASE kind WHEN 0 THEN name || ' konseri' WHEN 1 THEN 'izmir | ' || name WHEN 2 THEN name || ' (bilet) 2026' ELSE name END AS low FROM l)
+        SELECT idx, shown, trim(regexp_replace(lower(venue) || ' ' || low, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM t""",
+    "page_links": """WITH p AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+        SELECT page_id, CASE WHEN trim(href) = '' OR regexp_matches(lower(href), '^(javascript:|mailto:|tel:|#)') THEN NULL
+          WHEN regexp_matches(lower(href), '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)//', 1) || href
+          WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href
+          ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/:])/[^/]*$', '\\1') || '/' || href END AS link, count(*) AS n FROM p GROUP BY ALL""",
     "event_uids": f"WITH {LISTINGS_SQL} SELECT idx, substr(sha1(name || '|' || start || '|' || CASE WHEN length(venue) = 7 THEN 'brand' ELSE lower(replace(venue, '#', ' ')) END), 1, 16) AS uid, 'example.com/e/' || idx AS link FROM l",
     "price_roundtrip": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice BETWEEN 1900 AND 2100 THEN NULL ELSE l_extendedprice END AS low,
         false AS is_free, CASE WHEN l_extendedprice BETWEEN 1900 AND 2100 THEN 'Fiyat belirtilmemiş'

@@ -48,7 +48,9 @@ FLUSH = 1_500_000
 BROADCAST_BYTES = 32_000_000
 
 FIRST = "bucket int, id long, row long, n long, digest binary, block binary"
-SECOND = "bucket int, row long, block binary"
+SECOND = "bucket int, chunk long, block binary"
+#: Rows of a chunk are numbered alike but for this many bits; what is found of them meets in one task.
+CHUNK_BITS = 10
 
 
 def squeezed(arrays: list[np.ndarray]) -> bytes:
@@ -166,13 +168,38 @@ def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         base += n
 
 
-def per_row(row: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-    """(row, block): the values of each row, sorted, as packed runs."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order].astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    ends = np.concatenate([edge[1:], [len(row)]]) if len(row) else edge
-    return pd.DataFrame({"row": row[edge].astype(np.int64), "block": [runs_block(value[a:b]) for a, b in zip(edge, ends)]})
+def by_chunk(row: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    """(chunk, block): rows and places, packed for each chunk of rows."""
+    order = np.lexsort((place, row))
+    row, place = row[order], place[order]
+    chunk = row >> CHUNK_BITS
+    edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(row) else np.zeros(0, np.int64)
+    low = (row & ((1 << CHUNK_BITS) - 1)).astype("<u2")
+    blocks = [squeezed([low[a:b], place[a:b].astype("<u4")]) for a, b in zip(edge, [*edge[1:], len(row)])]
+    return pd.DataFrame({"chunk": chunk[edge].astype(np.int64), "block": blocks})
+
+
+def of_rows(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct places) of the rows of one chunk."""
+    if not len(frame):
+        return
+    parts = [unsqueezed(b, ["<u2", "<u4"]) for b in frame.block]
+    both = np.unique((np.concatenate([p[0] for p in parts]).astype(np.int64) << 32) | np.concatenate([p[1] for p in parts]))
+    row, place = both >> 32, both & 0xFFFFFFFF
+    base = int(frame.chunk.iloc[0]) << CHUNK_BITS
+    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    for a, b in zip(edge, [*edge[1:], len(row)]):
+        yield base + int(row[a]), place[a:b]
+
+
+def places_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """(row, blocks) with one block of packed places."""
+    return pd.DataFrame([(row, [runs_block(places)]) for row, places in of_rows(frame)], columns=["row", "blocks"])
+
+
+def spans_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """(row, blocks) with one block: the removed runs as pairs of 64-bit start and end."""
+    return pd.DataFrame([(row, [covered(places)]) for row, places in of_rows(frame)], columns=["row", "blocks"])
 
 
 def runs_block(values: np.ndarray) -> bytes:
@@ -198,7 +225,7 @@ def runs_of(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """(row, block of places) of one bucket's q-grams that occur more than once."""
+    """(chunk, block) of one bucket's q-grams that occur more than once."""
     ids, rows, places = [], [], []
     for block in frame.block:
         step, row, at = unsqueezed(block[8:], ["<u4", "<u4", "<u4"])
@@ -210,7 +237,7 @@ def repeated(frame: pd.DataFrame) -> pd.DataFrame:
     sorted_ids = ids[order]
     same = sorted_ids[1:] == sorted_ids[:-1]
     many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return per_row(rows[order[many]], places[order[many]])
+    return by_chunk(rows[order[many]], places[order[many]])
 
 
 def refine(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -251,9 +278,9 @@ def settle(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     # an entry of the first one's document and place (a repeated row) is no later one
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = ~first & ((key != key[lead]) | (start != start[lead]))
-    here = per_row(row[later], start[later])
+    here = by_chunk(row[later], start[later])
     if len(here):
-        yield pa.RecordBatch.from_arrays([pa.array((-1 - here.row.to_numpy() % buckets).astype(np.int32)), pa.array(here.row.to_numpy()), pa.array(here.block.to_list(), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - here.chunk.to_numpy() % buckets).astype(np.int32)), pa.array(here.chunk.to_numpy()), pa.array(here.block.to_list(), pa.binary())], names=names)
     ids, key, row, start = ids[~later], key[~later], row[~later], start[~later]
     # sorted by identifier, so also by bucket
     bucket = ((ids >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -271,9 +298,9 @@ def settle(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def later_ones(frame: pd.DataFrame) -> pd.DataFrame:
-    """(row, block of starts) of one bucket's strings that are not the first of their kind; marks made before pass."""
+    """(chunk, block) of one bucket's strings that are not the first of their kind; marks made before pass."""
     if frame.bucket.iloc[0] < 0:
-        return frame[["row", "block"]]
+        return frame[["chunk", "block"]]
     ids, keys, rows, starts = [], [], [], []
     for block in frame.block:
         size = int.from_bytes(block[:8], "little")
@@ -289,25 +316,14 @@ def later_ones(frame: pd.DataFrame) -> pd.DataFrame:
     first = np.concatenate([[True], ids[1:] != ids[:-1]])
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = ~first & ((keys != keys[lead]) | (starts != starts[lead]))
-    return per_row(rows[later], starts[later])
-
+    return by_chunk(rows[later], starts[later])
 
-def covered(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes under strings that start at the marked places."""
-    parts = [runs_of(b) for b in blocks]
-    start = np.concatenate([p[0] for p in parts])
-    end = np.concatenate([p[0] + p[1] - 1 + LENGTH for p in parts])
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate([[True], start[1:] > end[:-1]])
-    return start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
 
-
-def span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns (row, blocks of starts) in; (row, blocks) with one block, the removed runs as pairs of 64-bit start and end, out."""
-    for batch in batches:
-        made = [[np.column_stack(covered(x)).astype("<i8").tobytes()] for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.binary()))], names=["row", "blocks"])
+def covered(starts: np.ndarray) -> bytes:
+    """The maximal runs of bytes under strings that start at the sorted places, as pairs of 64-bit start and end."""
+    new = np.concatenate([[True], starts[1:] > starts[:-1] + LENGTH])
+    first = np.flatnonzero(new)
+    return np.column_stack([starts[first], starts[np.concatenate([first[1:] - 1, [len(starts) - 1]])] + LENGTH]).astype("<i8").tobytes()
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,14 +375,14 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     originals = docs.groupBy("digest").agg(F.min(order).alias("original"))
     docs = staged(docs.join(originals, "digest").withColumn("copy", (order > F.col("original")) & (F.col("n") >= LENGTH)), "repeat-docs")
 
-    found = first.filter("bucket >= 0").groupBy("bucket").applyInPandas(repeated, "row long, block binary")
-    places = found.groupBy("row").agg(F.collect_list("block").alias("blocks"))
+    found = first.filter("bucket >= 0").groupBy("bucket").applyInPandas(repeated, "chunk long, block binary")
+    places = found.groupBy("chunk").applyInPandas(places_of, "row long, blocks array<binary>")
     marks = staged(docs.filter("NOT copy").select("id", "row", "digest").join(places, "row"), "repeat-places")
 
     joined = with_texts(marks, texts).select("id", "text", "row", "digest", "blocks")
     second = joined.mapInArrow(lambda b: refine(b, buckets), SECOND)
-    later = second.groupBy("bucket").applyInPandas(later_ones, "row long, block binary")
-    starts = later.groupBy("row").agg(F.collect_list("block").alias("blocks")).mapInArrow(span_blocks, "row long, blocks array<binary>")
+    later = second.groupBy("bucket").applyInPandas(later_ones, "chunk long, block binary")
+    starts = later.groupBy("chunk").applyInPandas(spans_of, "row long, blocks array<binary>")
     cuts = staged(docs.select("id", "row", "digest").join(starts, "row"), "repeat-starts")
     done = staged(with_texts(cuts, texts).select("text", "row", "digest", "blocks").mapInArrow(
         cut_texts, "row long, n_removed long, n_spans long, kept_sha256 string, spans binary"

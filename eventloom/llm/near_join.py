@@ -267,6 +267,8 @@ def describe(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
         )
         yield from flush(sigs, rows, base)
         base += batch.num_rows
+        del sigs, rows, parity, small
+        tb.release()
 
 
 def regions_of(frame: pd.DataFrame) -> pd.DataFrame:
@@ -293,7 +295,10 @@ def regions_of(frame: pd.DataFrame) -> pd.DataFrame:
     count[once] = times
     count = np.repeat(count, size)
     pick = count > 0
-    return pd.DataFrame({"region": np.repeat(name, size)[pick], "row": row[pick], "times": count[pick]})
+    made = pd.DataFrame({"region": np.repeat(name, size)[pick], "row": row[pick], "times": count[pick]})
+    del parts, sig, row, order, owner, keep, count, pick
+    tb.release()
+    return made
 
 
 def few_or_shuffled(ids: DataFrame) -> DataFrame:
@@ -307,6 +312,7 @@ def build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, at = shingle_sets(data, offsets)
             blocks = [values[a:b].tobytes() for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, at)), pa.array(np.diff(at)), pa.array(blocks, pa.binary())], names=["sid", "n", "members"])
+        tb.release()
 
 
 def compare(a, n, members, b, pivot_n, pivot_members):
@@ -330,6 +336,7 @@ def candidates(frame: pd.DataFrame) -> pd.DataFrame:
     if not found:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     a, b = (np.concatenate(x) for x in zip(*found))
+    tb.release()
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
 

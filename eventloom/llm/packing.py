@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .common import table
 
 WINDOW = 1024
@@ -147,6 +148,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], size: int, pool_tokens: int,
         )
         first += opened
         rows, held = [], 0
+        tb.release()
         return out
 
     for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,13 @@ CHUNK_BYTES = 1_000_000
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:

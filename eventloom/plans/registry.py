@@ -88,8 +88,8 @@ def price_roundtrip(spark, sf_dir):
     """Prices written in Turkish style among other words, and read back."""
     e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     raw = F.concat(F.lit("Bilet fiyatı: "), F.translate(F.format_number("l_extendedprice", 2), ",.", ".,"), F.lit(" TL"))
-    price = mn.parse_price(raw)
-    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price["min"].alias("low"), price["is_free"].alias("is_free"), mn.price_label(price).alias("label"))
+    price = F.col("price")
+    return e.withColumn("price", mn.parse_price(raw)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price["min"].alias("low"), price["is_free"].alias("is_free"), mn.price_label(price).alias("label"))
 
 
 def date_roundtrip(spark, sf_dir):
@@ -104,8 +104,9 @@ def date_roundtrip(spark, sf_dir):
         .when(way == 3, F.concat(F.lit("Tarih: "), tx.tr_upper(long), F.lit(" Saat 21.15")))
         .otherwise(F.concat(F.day("d").cast("string"), F.lit(" "), dt.month_label(F.col("d")), F.lit(" "), F.year("d").cast("string"), F.lit(" - "), F.date_format(F.date_add("d", 40), "d"), F.lit(" "), dt.month_label(F.date_add("d", 40)), F.lit(" "), F.year(F.date_add("d", 40)).cast("string")))
     )
-    got = dt.parse_dates(raw, REF)
-    return o.select("o_orderkey", got["start"].alias("start"), got["end"].alias("end"), got["minute"].alias("minute"), dt.is_date_only(raw).alias("date_only"))
+    got = F.col("got")
+    o = o.withColumn("raw", raw)
+    return o.withColumn("got", dt.parse_dates(F.col("raw"), REF)).select("o_orderkey", got["start"].alias("start"), got["end"].alias("end"), got["minute"].alias("minute"), dt.is_date_only(F.col("raw")).alias("date_only"))
 
 
 def date_labels(spark, sf_dir):

@@ -35,9 +35,14 @@ class Table:
         versions = self._versions()
         return self.spark.read.parquet(f"{self.path}/{versions[-1]}") if versions else None
 
-    def replace(self, df: DataFrame) -> DataFrame:
-        name = f"{len(self._versions()):08d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
+    def has(self, tag: str) -> bool:
+        """Whether a version with this tag was completed."""
+        return any(v.endswith(f"-{tag}") for v in self._versions())
+
+    def replace(self, df: DataFrame, tag: str | None = None) -> DataFrame:
+        """A new version; with a tag, what an interrupted write of it left is overwritten."""
+        name = f"{len(self._versions()):08d}-{tag or uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         self._fs.create(self._Path(f"{self.path}/_versions/{name}")).close()
         return self.read()
 

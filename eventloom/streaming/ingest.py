@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,13 @@ def fold_state(old: DataFrame | None, new: DataFrame, key: str, order: list[str]
 
 
 def upsert_stream(stream: DataFrame, target: Table, checkpoint: str, key: str, order: list[str]) -> None:
-    """Run what is available into the store, batch by batch; a batch number that was written before is not written again."""
-    done: set[int] = set()
+    """Run what is available into the store, batch by batch. A version carries its batch's number, so a batch that a restart repeats is not folded in twice."""
+    stream_id = zlib.crc32(checkpoint.encode())
 
     def write(batch: DataFrame, number: int) -> None:
-        if number in done:
-            return
-        target.replace(fold_state(target.read(), latest_per_key(batch, key, order), key, order))
-        done.add(number)
+        tag = f"stream{stream_id}.{number}"
+        if not target.has(tag):
+            target.replace(fold_state(target.read(), latest_per_key(batch, key, order), key, order), tag)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

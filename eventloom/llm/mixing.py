@@ -221,17 +221,10 @@ def mix_documents(df: DataFrame, id_col="doc_id", source_col="source", text_col=
     more with the words that the partial epoch takes (its whole text if all of them).
     ``n_chars``, if there, is counted anew for cut texts."""
     names = df.columns
-    kept = staged(
-        df.select(
-            F.monotonically_increasing_id().alias("__el_row"),
-            F.col(id_col).alias("__el_i"),
-            F.col(source_col).alias("__el_s"),
-            F.col(text_col).alias("__el_t"),
-            F.struct(*names).alias("__el_all"),
-        ),
-        "mix-documents",
-    )
-    sizes = staged(sizes_of(kept, "__el_i", "__el_s", "__el_t"), "mix-sizes")
+    kept = staged(df.select(F.monotonically_increasing_id().alias("__el_row"), F.struct(*names).alias("__el_all")), "mix-documents")
+    parts = {"__el_i": id_col, "__el_s": source_col, "__el_t": text_col}
+    narrow = kept.select("__el_row", *[F.col(f"__el_all.`{c}`").alias(k) for k, c in parts.items()])
+    sizes = staged(sizes_of(narrow, "__el_i", "__el_s", "__el_t"), "mix-sizes")
     placed, _, met = mixture(sizes, seed)
     spans = met.groupBy("__el_row").agg(
         F.array_sort(F.collect_list(F.struct("from_word", "length"))).alias("__el_spans"),
@@ -241,15 +234,16 @@ def mix_documents(df: DataFrame, id_col="doc_id", source_col="source", text_col=
         "__el_size > 0 AND (epochs > 0 OR __el_extra > 0)"
     )
     whole = F.col("__el_extra") == F.col("__el_size")
-    words = F.regexp_extract_all(F.col("__el_t"), F.lit(f"({WORD})"), F.lit(1))
+    text = F.col(f"__el_all.`{text_col}`")
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(
         F.flatten(F.transform("__el_spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), s["length"].cast("int")))),
         " ",
     )
     once = F.when(F.col("__el_extra").isNull(), F.array().cast("array<string>")).when(
-        whole, F.array("__el_t")
+        whole, F.array(text)
     ).otherwise(F.array(cut))
-    texts = F.concat(F.array_repeat(F.col("__el_t"), F.col("epochs").cast("int")), once)
+    texts = F.concat(F.array_repeat(text, F.col("epochs").cast("int")), once)
     rows = kept.join(chosen, "__el_row").select("__el_all", F.explode(texts).alias("__el_text"))
     changed = F.col("__el_text") != F.col(f"__el_all.`{text_col}`")
 

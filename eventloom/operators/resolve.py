@@ -33,10 +33,10 @@ def checkpointed(df: DataFrame, label: str) -> DataFrame:
 
 
 def block_keys(start: Column, end: Column) -> Column:
-    """Every day of a short record; first day, last day and month of a long one."""
+    """Every day of a record whose end is at most ``LONG_SPAN`` days after its start; first day, last day and month of a longer one."""
     days = F.transform(F.sequence(start, end), lambda d: d.cast("string"))
     long = F.array(start.cast("string"), end.cast("string"), F.concat(F.lit("long "), F.date_format(start, "yyyy-MM")))
-    return F.when(F.date_diff(end, start) + 1 <= LONG_SPAN, days).otherwise(F.array_distinct(long))
+    return F.when(F.date_diff(end, start) <= LONG_SPAN, days).otherwise(F.array_distinct(long))
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:

@@ -94,6 +94,16 @@ def test_blocking_is_not_a_range_join(spark):
     assert resolve.candidate_pairs(x.select("idx", "start", "end")).count() == 0
 
 
+def test_a_record_of_four_days_meets_its_inner_days(spark):
+    days = [("2026-09-01", "2026-09-04"), ("2026-09-02", None), ("2026-09-03", None), ("2026-09-01", "2026-09-05"), ("2026-09-10", "2026-09-13"), ("2026-09-20", "2026-09-24")]
+    x = listings(spark, [("A Bir", "", s, e, "", "a", "", 1, None) for s, e in days])
+    got = {(r.l_idx, r.r_idx) for r in resolve.candidate_pairs(x.select("idx", "start", "end")).collect()}
+    assert got == {(0, 1), (0, 2), (0, 3)}
+    keys = {r.idx: r.k for r in x.select("idx", resolve.block_keys(F.col("start"), F.col("end")).alias("k")).collect()}
+    assert keys[0] == ["2026-09-01", "2026-09-02", "2026-09-03", "2026-09-04"] and keys[3] == ["2026-09-01", "2026-09-05", "long 2026-09"]
+    assert {r.idx: r.root for r in resolve.clusters(x).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "l_idx long, r_idx long")
     roots = resolve.components(edges, spark.range(42).withColumnRenamed("id", "idx"))

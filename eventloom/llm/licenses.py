@@ -1,19 +1,23 @@
 """Licence scans by sentence rules.
 
-The text is split into sentences, sentences are normalised, and each is looked up in
-a table of known licence sentences. The identifiers found, in text order, form a
-sequence; a rule names the identifiers that must follow each other in that order
-(unknown sentences and other known ones may lie between). A document gets every
-licence of which a rule matches, and the class of the strictest of them.
+The text is normalised to words with marks where a sentence may end, and the known
+licence sentences are looked for between marks. A sentence always ends at . ! ? and
+at a blank line; at a single line break (with the comment prefix of the next line)
+and at ; or : it may end or go on, so wrapped notices, 'free software: you can' and
+'SPDX-License-Identifier: MIT' are found as well as notices on lines of their own.
+The identifiers found, in text order, form a sequence; a rule names the identifiers
+that must follow each other in that order (unknown sentences and other known ones
+may lie between). A document gets every licence of which a rule matches, and the
+class of the strictest of them.
 
 The sentence table and the rules are constants of a fixed size and become literals
-of the plan: the scan needs no join, shuffle or Python. Only sentences that hold one
-of the cue words are normalised.
+of the plan: the scan needs no join, shuffle or Python. Only texts that hold one of
+the cue words are normalised.
 
 Defined cases: null and empty texts have no sentences and no licence; a sentence
 that occurs again is in the sequence again; ties do not arise (all matching licences
 are given, in the order of the rules); an empty table gives an empty result;
-repeated rows are scanned each; extra columns pass through ``scan``, and columns
+a line that is a known sentence and begins a longer one gives both; repeated rows are scanned each; extra columns pass through ``scan``, and columns
 named like an output column are replaced.
 """
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, ascii_lower, table
 
 #: Normalised sentences of public licence texts and notices, with their identifiers.
 SENTENCES = {
@@ -61,8 +65,10 @@ RULES = (
 )
 CLASSES = ("permissive", "attribution", "copyleft", "restricted")
 CUES = ("licen", "permission", "permitted", "copyright", "redistribut", "warrant", "public domain")
-#: A sentence ends at a line break, or at . ! ? ; : before white space or the end.
-BREAK = r"[\n\r]+|[.!?;:]+(?:[ \t]+|$)"
+#: Marks, in upper case because the text is in lower case by then: a sentence ends at END and may end at MAYBE.
+END, MAYBE = "E", "M"
+#: What becomes a mark, in this order: blank lines (also of comment signs only), single line breaks with the signs that begin the next line, . ! ? ; :
+MARKS = ((r"\n[^a-z0-9]*\n[^a-z0-9\n]*", END), (r"\n[^a-z0-9\n]*", MAYBE), (r"[.!?]+(?=[ \t]|$)", END), (r"[;:]+(?=[ \t]|$)", MAYBE))
 OTHER = "[^a-z0-9]+"
 LICENCES = tuple(dict.fromkeys(name for name, _, _ in RULES))
 
@@ -72,12 +78,26 @@ def _lookup(sentence: Column) -> Column:
     return F.element_at(F.create_map(*pairs), sentence)
 
 
+def marked(text: Column) -> Column:
+    """Lower-case words and marks, one space between, an END first and last."""
+    text = F.translate(F.replace(ascii_lower(text), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    for pattern, mark in MARKS:
+        text = F.regexp_replace(text, pattern, f" {mark} ")
+    return F.concat(F.lit(f"{END} "), F.trim(F.regexp_replace(text, f"[^a-z0-9{END}{MAYBE}]+", " ")), F.lit(f" {END}"))
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences, in order."""
-    cue = "(?i)" + "|".join(CUES)
-    sentences = F.filter(F.split(text, BREAK), lambda s: s.rlike(cue))
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), OTHER, " ")))
-    return F.filter(F.transform(normal, _lookup), lambda x: x.isNotNull())
+    # The longest first, so that a sentence is not taken for one that it begins with.
+    known = sorted((x for texts in SENTENCES.values() for x in texts), key=len, reverse=True)
+    either = "|".join(x.replace(" ", f" (?:{MAYBE} )*") for x in known)
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[{END}{MAYBE}] )({either})(?= [{END}{MAYBE}])"), F.lit(1))
+
+    def looked_up(sentence: Column) -> Column:
+        parts = F.split(sentence, f" (?:{MAYBE} )+")
+        return F.array_distinct(F.concat(F.transform(parts, _lookup), F.array(_lookup(F.array_join(parts, " ")))))
+
+    return F.filter(F.flatten(F.transform(found, looked_up)), lambda x: x.isNotNull())
 
 
 def matches(sequence: Column, rule: tuple[str, ...]) -> Column:
@@ -88,7 +108,7 @@ def matches(sequence: Column, rule: tuple[str, ...]) -> Column:
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_known (known sentences), sequence, licenses (both joined by ';') and license_class."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cue = text.rlike("(?i)" + "|".join(CUES))
+    cue = text.rlike("(?i)" + "|".join(c.replace(" ", OTHER) for c in CUES))
     found = F.when(cue, identifiers(text)).otherwise(F.array().cast("array<string>"))
     seq = F.concat(F.lit(";"), F.array_join("__el_ids", ";"), F.lit(";"))
     hit = {}

@@ -79,6 +79,70 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_usual_forms(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+    bsd = """Copyright (c) 2020, Someone
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL"""
+    third = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+
+    def comment(text, sign):
+        return "\n".join(sign + line for line in text.split("\n"))
+
+    cases = [
+        (mit, "MIT", 3), (mit.replace("\n", "\r\n"), "MIT", 3), ("/*\n" + comment(mit, " * ") + "\n */\nint x;", "MIT", 3), (comment(mit, "! "), "MIT", 3),
+        (gpl, "GPL-3.0", 2), (comment(gpl, "# "), "GPL-3.0", 2), (gpl.replace("software:", "software;"), "GPL-3.0", 2),
+        (bsd.format(""), "BSD-2-Clause", 2), (comment(bsd.format(third), "// "), "BSD-3-Clause;BSD-2-Clause", 3), (comment(apache, "// "), "Apache-2.0", 2),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT", 1), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0", 1), ("# SPDX-License-Identifier:CC0-1.0", "CC0-1.0", 1),
+        ("# SPDX-License-Identifier: GPL-3.0-only\r\n", "GPL-3.0", 1), ("<!-- SPDX-License-Identifier: GPL-3.0-or-later -->", "GPL-3.0", 1),
+        ("# This work is dedicated to the public\n# domain under CC0 1.0", "CC0-1.0", 1), ("A line\nLicensed under CC BY 4.0\nAnother line", "CC-BY-4.0", 1),
+        ("Licensed under the Apache License, Version 2.0\nthe License", "Apache-2.0", 2),
+        ("SPDX-License-Identifier: MITX", "", 0), ("Licensed under CC BY\n\n4.0", "", 0), ("Licensed under. CC BY 4.0", "", 0), ("Not licensed under CC BY 4.0", "", 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_known) for r in licenses.scan(df).collect()}
+    assert got == {i: tuple(x) for i, (_, *x) in enumerate(cases)}
+
+
 def test_exact_dedup(spark, docs, rows):
     many = spark.createDataFrame([(1000 + i, "Hot Text" if i % 2 else "hOT tEXT", "en", "s", 8) for i in range(40)] + [(5, rows[5][1], "en", "s", 1), (None, "only", "en", "s", 4)], DOCS)
     df = docs.unionByName(many).withColumn("keep_id", F.lit("mine"))

@@ -4,8 +4,9 @@ Every source's words, in a fixed document order, are packed into blocks of
 ``BLOCK`` words. A source's target says how many draws it gets; each draw is
 dealt to an output shard by a hash, so the counts of a source over the shards are
 multinomial while its total is exact. Draw number k of a source maps through that
-source's pseudorandom index permutation of the epoch to a block index, and draws
-join blocks by (source, index). A source is repeated only after each of its blocks
+source's pseudorandom index permutation of the epoch to a block index, and all
+draws, those of whole epochs too, join blocks by (source, index). ``mix_shards`` gives
+the taken parts of documents with their shard. A source is repeated only after each of its blocks
 was used once, so no document exceeds ``MAX_REPEATS`` times its size. The last
 draw of a source is cut to the words still missing, so the words taken equal the
 rounded target.
@@ -17,7 +18,8 @@ constant number of rows or by a hash slice, so a hot source is spread out.
 Defined cases: null texts have size 0 and are never taken; null sources form one
 source of their own, last in order; null ids are one ordinary id; repeated rows
 are rows of their own; an all-empty table takes nothing (targets 0); an empty
-table gives an empty result; extra columns pass through ``mix_documents``, where
+table gives an empty result; extra columns pass through ``mix_documents`` and
+``mix_shards`` (a column named like the shard is replaced), where
 input names beginning with ``__el_`` are reserved.
 """
 
@@ -29,6 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, shuffle_width, staged, table
 
+SPACE = r"[\x20\x09-\x0D]"
 #: Words in a block.
 BLOCK = 512
 #: Draws that an output shard holds on average.
@@ -162,6 +165,7 @@ def pieces(placed: DataFrame) -> DataFrame:
         .withColumn("block", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + __el_size - 1) div {BLOCK})")))
         .select(
             "__el_row",
+            "__el_size",
             "rank",
             "block",
             (low - F.col("block") * BLOCK).alias("at"),
@@ -181,81 +185,96 @@ def sizes_of(df: DataFrame, id_col: str, source_col: str, text_col: str) -> Data
     )
 
 
-def mixture(sizes: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed documents, draws, words of documents met by a block of the last, partial epoch).
-
-    The third has one row per document piece and draw. Whole epochs take every
-    document once each and need no join.
-    """
+def mixture(sizes: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(placed documents, words of documents met by a draw: one row per document piece and draw)."""
     plan = staged(source_plan(sizes), "mix-plan")
     placed = positions(sizes, plan)
-    draws = draw_blocks(plan, seed)
-    partial = draws.join(plan.select("rank", "epochs"), "rank").filter("epoch = epochs").select("rank", "block", "words")
+    draws = draw_blocks(plan, seed).select("rank", "block", "epoch", "shard", "words")
     met = (
         pieces(placed)
-        .join(partial, ["rank", "block"])
+        .join(draws, ["rank", "block"])
         .withColumn("length", F.least(F.col("at") + F.col("length"), F.col("words")) - F.col("at"))
         .filter("length > 0")
-        .select("__el_row", "from_word", "length")
+        .select("__el_row", "__el_size", "epoch", "shard", "from_word", "length")
     )
-    epochs = plan.select("rank", "epochs")
-    return placed.join(epochs, "rank"), draws, met
+    return placed, met
 
 
 def documents_in_mix(df: DataFrame, id_col="doc_id", source_col="source", text_col="text", seed: int = 17) -> DataFrame:
     """Per document: id, size, source_size, target, taken."""
     sizes = staged(sizes_of(df, id_col, source_col, text_col), "mix-sizes")
-    placed, _, met = mixture(sizes, seed)
-    extra = met.groupBy("__el_row").agg(F.sum("length").alias("__el_extra"))
-    return placed.join(extra, "__el_row", "left").select(
+    placed, met = mixture(sizes, seed)
+    taken = met.groupBy("__el_row").agg(F.sum("length").alias("__el_taken"))
+    return placed.join(taken, "__el_row", "left").select(
         F.col("__el_id").alias(id_col),
         F.col("__el_size").alias("size"),
         "source_size",
         "target",
-        (F.col("__el_size") * F.col("epochs") + F.coalesce("__el_extra", F.lit(0))).cast("long").alias("taken"),
+        F.coalesce("__el_taken", F.lit(0)).cast("long").alias("taken"),
     )
 
 
-def mix_documents(df: DataFrame, id_col="doc_id", source_col="source", text_col="text", seed: int = 17) -> DataFrame:
-    """The mix as rows with the columns of ``df``: a document once for each whole epoch, and once
-    more with the words that the partial epoch takes (its whole text if all of them).
-    ``n_chars``, if there, is counted anew for cut texts."""
-    names = df.columns
+def ranges(spans: Column) -> Column:
+    """Spans of one document in order, those that adjoin within an epoch and shard made one."""
+
+    def add(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        adjoins = (last["epoch"] == span["epoch"]) & (last["shard"] == span["shard"]) & (last["from_word"] + last["length"] == span["from_word"])
+        longer = last.withField("length", last["length"] + span["length"])
+        return F.when(adjoins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), F.filter(spans, lambda s: F.lit(False)), add)
+
+
+def mix_shards(
+    df: DataFrame, id_col="doc_id", source_col="source", text_col="text", seed: int = 17, into: str = "shard"
+) -> DataFrame:
+    """The mix as rows with the columns of ``df`` and ``into``, the output shard: one row for each
+    contiguous part of a document that an epoch puts in a shard, cut from the text as it stands
+    (white space goes with the word before). ``n_chars``, if there, is counted anew for cut texts."""
+    names = [c for c in df.columns if c != into]
     kept = staged(df.select(F.monotonically_increasing_id().alias("__el_row"), F.struct(*names).alias("__el_all")), "mix-documents")
     parts = {"__el_i": id_col, "__el_s": source_col, "__el_t": text_col}
     narrow = kept.select("__el_row", *[F.col(f"__el_all.`{c}`").alias(k) for k, c in parts.items()])
     sizes = staged(sizes_of(narrow, "__el_i", "__el_s", "__el_t"), "mix-sizes")
-    placed, _, met = mixture(sizes, seed)
+    _, met = mixture(sizes, seed)
     spans = met.groupBy("__el_row").agg(
-        F.array_sort(F.collect_list(F.struct("from_word", "length"))).alias("__el_spans"),
-        F.sum("length").alias("__el_extra"),
-    )
-    chosen = placed.select("__el_row", "__el_size", "epochs").join(spans, "__el_row", "left").filter(
-        "__el_size > 0 AND (epochs > 0 OR __el_extra > 0)"
+        F.collect_list(F.struct("epoch", "shard", "from_word", "length")).alias("__el_spans"),
+        F.first("__el_size").alias("__el_size"),
     )
-    whole = F.col("__el_extra") == F.col("__el_size")
     text = F.col(f"__el_all.`{text_col}`")
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(
-        F.flatten(F.transform("__el_spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), s["length"].cast("int")))),
-        " ",
+
+    def whole(span: Column) -> Column:
+        return span["length"] == F.col("__el_size")
+
+    cut = F.exists("__el_spans", lambda s: ~whole(s))
+    words = F.when(cut, F.regexp_extract_all(text, F.lit(f"((?:^{SPACE}*)?{WORD}{SPACE}*)"), F.lit(1)))
+
+    def part(words: Column, span: Column) -> Column:
+        some = F.array_join(F.slice(words, (span["from_word"] + 1).cast("int"), span["length"].cast("int")), "")
+        return F.struct(F.when(whole(span), text).otherwise(some).alias("text"), whole(span).alias("whole"), span["shard"].alias("shard"))
+
+    # Through an array of one, so that the words are split once and not for each span.
+    texts = F.element_at(F.transform(F.array(words), lambda w: F.transform(ranges(F.col("__el_spans")), lambda s: part(w, s))), 1)
+    other = {name: f"__el_c{k}" for k, name in enumerate(names) if name != text_col}
+    rows = kept.join(spans, "__el_row").select(
+        *[F.col(f"__el_all.`{name}`").alias(short) for name, short in other.items()], F.explode(texts).alias("__el_part")
     )
-    once = F.when(F.col("__el_extra").isNull(), F.array().cast("array<string>")).when(
-        whole, F.array(text)
-    ).otherwise(F.array(cut))
-    texts = F.concat(F.array_repeat(text, F.col("epochs").cast("int")), once)
-    rows = kept.join(chosen, "__el_row").select("__el_all", F.explode(texts).alias("__el_text"))
-    changed = F.col("__el_text") != F.col(f"__el_all.`{text_col}`")
 
     def column(name: str) -> Column:
-        old = F.col(f"__el_all.`{name}`")
         if name == text_col:
-            return F.col("__el_text").alias(name)
+            return F.col("__el_part.text").alias(name)
+        old = F.col(other[name])
         if name == "n_chars":
-            return F.when(changed, F.char_length("__el_text")).otherwise(old).cast(df.schema[name].dataType).alias(name)
+            return F.when(F.col("__el_part.whole"), old).otherwise(F.char_length("__el_part.text")).cast(df.schema[name].dataType).alias(name)
         return old.alias(name)
 
-    return rows.select(*map(column, names))
+    return rows.select(*map(column, names), F.col("__el_part.shard").alias(into))
+
+
+def mix_documents(df: DataFrame, id_col="doc_id", source_col="source", text_col="text", seed: int = 17) -> DataFrame:
+    """``mix_shards`` without the shard."""
+    return mix_shards(df, id_col, source_col, text_col, seed, "__el_shard").drop("__el_shard")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

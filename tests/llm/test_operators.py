@@ -451,6 +451,30 @@ def test_mixing_shards_cover_all_draws(spark, docs):
         assert r.n == r.draws == r.d and abs(r.w - r.target) <= 1
 
 
+def test_mix_shards_follow_the_draws(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = [f"d{i}w{j}" for j in range(rng.choice([1, 30, 400, 3000, 9000]))]
+        rows.append((i, "\n " + "".join(w + rng.choice([" ", "  ", "\t", "\n\n"]) for w in words), "en", f"s{i % 3}", 7, "mine"))
+    df = spark.createDataFrame(rows, DOCS + ", other string").repartition(3)
+    out = mixing.mix_shards(df).collect()
+    draws = mixing.draw_blocks(mixing.source_plan(mixing.sizes_of(df, "doc_id", "source", "text"))).groupBy("rank", "shard").agg(F.sum("words").alias("n")).collect()
+    want, got, texts, used = {(f"s{r.rank}", r.shard): r.n for r in draws}, Counter(), {r[0]: r[1] for r in rows}, Counter()
+    for r in out:
+        assert r.text in texts[r.doc_id] and r.other == "mine" and r.n_chars == (7 if r.text == texts[r.doc_id] else len(r.text))
+        found = WORD.findall(r.text)
+        got[r.source, r.shard] += len(found)
+        used.update(found)
+    assert got == want and len({shard for _, shard in want}) > 1
+    taken = {r.doc_id: (r.size, r.taken) for r in mixing.documents_in_mix(df).collect()}
+    for i, (size, n) in taken.items():
+        times = [used[f"d{i}w{j}"] for j in range(size)]
+        assert sum(times) == n and max(times) <= 2
+    assert mixing.mix_documents(df).columns == df.columns
+    assert mixing.mix_shards(empty(spark)).count() == 0
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 1000, 4096):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(1)).alias("x"))

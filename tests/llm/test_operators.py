@@ -475,6 +475,13 @@ def test_mix_shards_follow_the_draws(spark):
     assert mixing.mix_shards(empty(spark)).count() == 0
 
 
+def test_cut_texts_are_parts_of_the_text(spark):
+    text = "".join(f"w{i}" + ("\n\t" if i % 3 else "  ") for i in range(6000))
+    df = spark.createDataFrame([(1, text, "en", "b", len(text)), (2, "b " * 9000, "en", "a", 18000)], DOCS)
+    parts = [r.text for r in mixing.mix_documents(df).collect() if r.doc_id == 1]
+    assert parts and all(p in text and p != text for p in parts)
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 1000, 4096):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(1)).alias("x"))

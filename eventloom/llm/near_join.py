@@ -12,18 +12,23 @@ class is replicated into the next class, the window that keeps pairs across the
 boundary. So every linked pair meets in a region, and regions hold hardly anything
 but similar documents, however common single shingles or passages are.
 
-Inside a region the join goes on recursively and exactly. The most central member is
-the pivot and is compared with all others; members within the threshold join its
-component. A pair of the others is looked at only if it is in two components, its
-sizes allow a link, and, by the triangle inequality, its distances to the pivot (where
-known) differ by at most the threshold; a large region is cut into blocks for this.
-Parity sketches of a few bits per shingle rule out most pairs before whole sets are
-built; they never rule out a link. A document may leave a few of its most common
-regions, as many as leave every linked pair a region to meet in. Links are verified on
-the whole shingle sets.
+Inside the regions the join goes on recursively and exactly. The most central member
+of a region is its pivot and is compared with all others; members within the threshold
+join its component. All regions with one pivot make its cell. Cells whose members lie in
+several components are joined further, each in a task with the whole sets: pivots are
+chosen farthest first, a member belongs to its nearest pivot and is replicated to each
+pivot that is farther by at most twice the threshold (the triangle inequality: a linked
+pair meets at the nearest pivot of either), and these parts are joined alike until they
+are small or no longer shrink; what is left is compared with the pivots' distances and
+parity sketches as filters, which never rule out a link. Only links between different
+components leave a task, a spanning forest: fewer rows than members. Cells that hang
+together by common members go to one task as long as they are small, so that a set
+travels once; a cell over the bounds is cut into blocks that meet two by two. A document
+may leave a few of its most common regions, as many as leave every linked pair a region
+to meet in. Links are decided on the whole shingle sets.
 
 Documents with equal shingle sets are one vertex. Signatures travel as packed blocks
-of (signature, row), a few bytes each; sets are only built for documents that share
+of (signature, row), a few bytes each; sets are built once, for documents that share
 a region with another. A pivot with many members is split into chunks.
 
 Defined cases: null, empty and blank texts have no shingles, are their own component
@@ -57,10 +62,12 @@ CLASS_RATIO = 1.5
 BUCKET_BYTES = 4_000_000
 #: Signatures after which a task packs what it has.
 FLUSH = 500_000
-#: Pairs, or members of regions, that a task works on at a time, besides one large pivot or region.
+#: Pairs that a task works on at a time, besides one large pivot.
 TASK_ROWS = 2048
-#: Members of a region that meet in one task.
-BLOCK_MEMBERS = 2048
+#: Members, and shingles of members, of a cell or of a block of one in a task (a larger document is alone in a block).
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1_500_000
+#: Pivots of a part inside a task, members up to which it is not parted further, share of its members that a part may keep.
+PIVOTS, LEAF, SHRINK = 8, 48, 0.7
 #: Parts beyond those that the greatest difference calls for, as a share of it.
 SPARE = 0.6
 #: Members from which a region counts as common; a document may leave some of those, see ``spare``.
@@ -69,9 +76,6 @@ COMMON_MEMBERS = 1
 SKETCH_BITS = 1 << 16
 #: Documents that one task compares with a pivot.
 CHUNK_MEMBERS = 256
-#: Rows up to which a list of ids (8 bytes each) is broadcast; beyond it is shuffled.
-BROADCAST_IDS = 1_000_000
-
 PACKED = "bucket int, id long, row long, n long, sid long, spare long, small binary, block binary"
 
 
@@ -189,6 +193,13 @@ def fold_sketch(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
+def even_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches with as many places each, as rows of 64-bit words."""
+    bits = int(np.clip(1 << int(np.ceil(np.log2(4 * max(map(len, sets))))), 64, SKETCH_BITS))
+    places = ((tb.mix(x ^ np.uint64(0x94D049BB)) & np.uint64(bits - 1)).astype(np.int64) for x in sets)
+    return np.stack([np.packbits((np.bincount(x, minlength=bits) & 1).astype(np.uint8)) for x in places]).view(np.uint64)
+
+
 def pack(sig: np.ndarray, row: np.ndarray, base: int, squeeze) -> bytes:
     """Sorted signatures as differences, rows as offsets from ``base``."""
     order = np.argsort(sig, kind="stable")
@@ -301,11 +312,6 @@ def regions_of(frame: pd.DataFrame) -> pd.DataFrame:
     return made
 
 
-def few_or_shuffled(ids: DataFrame) -> DataFrame:
-    """Marked for broadcast only where the count, just taken, is within the bound."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in tb.chunks(batch.column(1)):
@@ -326,79 +332,119 @@ def compare(a, n, members, b, pivot_n, pivot_members):
     return a, np.full(len(a), b), both, sizes, np.full(len(a), len(pivot))
 
 
-def candidates(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) that may be links, of some regions or pairs of a region's blocks."""
-    frame = frame.sort_values(["region", "low", "high", "sid"])
-    region, low, high = (frame[k].to_numpy() for k in ("region", "low", "high"))
-    edge = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-    columns = [frame[k].to_numpy() for k in ("sid", "n", "comp", "block", "members")] + [frame.far.to_numpy(np.float64)]
-    found = [pairs_within(low[x], high[x], *(c[x:y] for c in columns)) for x, y in zip(edge, [*edge[1:], len(frame)])]
-    if not found:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    a, b = (np.concatenate(x) for x in zip(*found))
+class Part:
+    """Sets of one task's group, numbered from 0, with the component of each."""
+
+    def __init__(self, sid: np.ndarray, comp: np.ndarray, block: np.ndarray, members: list[bytes], across: bool):
+        self.sid, self.block, self.across = sid, block, across
+        self.label = np.unique(comp, return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint64) for x in members]
+        self.size = np.array([len(x) for x in sets], np.int64)
+        values = np.concatenate(sets)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.parity = even_sketches(sets)
+        known, self.ids = np.unique(values, return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+        self.links: list[tuple[int, int]] = []
+
+    def shared(self, pivot: int, some: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the pivot's set with those of ``some``; unites the linked ones."""
+        own = self.ids[self.at[pivot] : self.at[pivot + 1]]
+        size = self.size[some]
+        first = np.cumsum(size) - size
+        where = np.repeat(self.at[some] - first, size) + np.arange(int(size.sum()))
+        self.mark[own] = True
+        both = np.add.reduceat(self.mark[self.ids[where]].astype(np.int64), first)
+        self.mark[own] = False
+        for other in some[both * 100 >= (size + len(own) - both) * PERCENT].tolist():
+            if self.label[other] != self.label[pivot]:
+                self.links.append((int(self.sid[pivot]), int(self.sid[other])))
+                self.label[self.label == self.label[other]] = self.label[pivot]
+        return both
+
+    def join(self, some: np.ndarray) -> None:
+        """All links among ``some`` that join components."""
+        if len(some) < 2 or (self.label[some] == self.label[some[0]]).all():
+            return
+        if len(some) <= LEAF:
+            return self.compare(some, np.zeros((0, len(some))))
+        away = []
+        pivot = 0
+        for _ in range(PIVOTS):
+            both = self.shared(int(some[pivot]), some)
+            away.append(1 - both / (self.size[some] + self.size[some[pivot]] - both))
+            near = np.min(away, axis=0)
+            pivot = int(np.argmax(near))
+        far = np.stack(away)
+        inside = far <= near + 2 * (100 - PERCENT) / 100 + 1e-9
+        if inside.sum(axis=1).max() > SHRINK * len(some):
+            return self.compare(some, far)
+        for k in np.unique(np.argmin(far, axis=0)):
+            self.join(some[inside[k]])
+
+    def compare(self, some: np.ndarray, far: np.ndarray) -> None:
+        """Every pair of ``some`` in different components that sizes, distances to pivots and sketches allow."""
+        size = self.size[some]
+        for i, one in enumerate(some[:-1].tolist()):
+            rest = np.arange(i + 1, len(some))
+            rest = rest[self.label[some[rest]] != self.label[one]]
+            if self.across:
+                rest = rest[self.block[some[rest]] != self.block[one]]
+            rest = rest[np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * PERCENT]
+            if len(far):
+                rest = rest[(np.abs(far[:, rest] - far[:, i : i + 1]) <= (100 - PERCENT) / 100 + 1e-9).all(axis=0)]
+            apart = np.bitwise_count(self.parity[some[rest]] ^ self.parity[one]).sum(axis=1, dtype=np.int64)
+            rest = rest[apart * (100 + PERCENT) <= (size[rest] + size[i]) * (100 - PERCENT)]
+            if len(rest):
+                self.shared(one, some[rest])
+
+
+def forest(frame: pd.DataFrame) -> pd.DataFrame:
+    """(u, v): links that join components, of the cells or pairs of blocks of one task."""
+    frame = frame.drop_duplicates(["key", "low", "high", "sid"]).sort_values(["key", "low", "high", "sid"])
+    key, low, high = (frame[k].to_numpy() for k in ("key", "low", "high"))
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    sid, comp, block, members = (frame[k].to_numpy() for k in ("sid", "comp", "block", "members"))
+    links = []
+    for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(frame)]):
+        if y - x > 1 and (comp[x:y] != comp[x]).any():
+            part = Part(sid[x:y], comp[x:y], block[x:y], members[x:y], low[x] != high[x])
+            part.join(np.arange(y - x))
+            links += part.links
     tb.release()
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
-
-
-def pairs_within(low, high, sid, n, comp, block, sketch, far) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a region, or of two blocks of one, that may be links.
-
-    Only pairs in different components whose sizes, distances to the region's first
-    pivot and sketches (sets of a linked pair differ in at most a ninth of both
-    sizes) allow a link.
-    """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(sid) < 2 or (comp == comp[0]).all():
-        return none
-    left, right, same = np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
-    least = min(map(len, sketch))
-    folded = np.stack([fold_sketch(np.frombuffer(x, np.uint8), least) for x in sketch]).view(np.uint64)
-    out_a, out_b = [], []
-    step = max(1, 4_000_000 // max(1, len(right) * folded.shape[1]))
-    for at in range(0, len(left), step):
-        i, j = left[at : at + step, None], right[None, :]
-        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT)
-        ok &= ~(np.abs(far[i] - far[j]) > (100 - PERCENT) / 100 + 1e-9)
-        if same:
-            ok &= i < j
-        x, y = np.nonzero(ok)
-        x, y = i[x, 0], j[0, y]
-        for k in range(0, len(x), 200_000):
-            p, q = x[k : k + 200_000], y[k : k + 200_000]
-            apart = np.bitwise_count(folded[p] ^ folded[q]).sum(axis=1, dtype=np.int64)
-            may = apart * (100 + PERCENT) <= (n[p] + n[q]) * (100 - PERCENT)
-            out_a.append(sid[p[may]])
-            out_b.append(sid[q[may]])
-    if not out_a:
-        return none
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def pairs_of(members: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(a, b) from members (region, sid, comp, far); a large region is cut into blocks that meet two by two."""
-    size = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).alias("blocks"))
-    cut = members.join(size, "region").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+
+def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of staged cells (pivot, sid, n, comp): links that join components."""
+    least = cells.groupBy("pivot").agg(F.min("comp").alias("v"))
+    body = components(cells.join(least, "pivot").select(F.col("comp").alias("u"), "v"))
+    named = cells.join(body.select(F.col("u").alias("comp"), "v"), "comp", "left").withColumn("body", F.coalesce("v", "comp"))
+    weight = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")]
+    small = named.select("body", "sid", "n").distinct().groupBy("body").agg(*weight).filter(f"m <= {BLOCK_MEMBERS} AND w <= {BLOCK_SHINGLES}").select("body", F.lit(True).alias("small"))
+    keyed = named.join(small, "body", "left").withColumn("key", F.when(F.col("small"), F.xxhash64(F.lit("body"), "body")).otherwise(F.xxhash64(F.lit("pivot"), "pivot")))
+    keyed = keyed.select("key", "sid", "n", "comp").distinct()
+    blocks = keyed.groupBy("key").agg(*weight).select("key", F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
+    cut = keyed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("region", "sid", "comp", "far", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    cut = staged(cut, "near-cut")
-    tasks = max(1, -(-cut.count() // TASK_ROWS))
-    full = cut.join(sketched.select("sid", "n", F.col("small").alias("members")), "sid").withColumn("task", F.pmod(F.xxhash64("region", "low", "high"), F.lit(tasks)))
-    return full.groupBy("task").applyInPandas(candidates, "a long, b long").distinct()
+    cut = staged(cut.select("key", "sid", "n", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "near-cells")
+    tasks = max(1, -(-int(cut.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    full = cut.drop("n").join(sets.select("sid", "members"), "sid").withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
+    return full.groupBy("task").applyInPandas(forest, "u long, v long")
 
 
 def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
-    """``judge`` over staged (a, b) with what ``sets`` (sid, n, members) has of both.
+    """``judge`` over staged (a, b, m) with what ``sets`` (sid, n, members) has of both.
 
-    A pivot b with many a is split into chunks; many small pivots share a task.
+    A pivot b is split into chunks by m, at least the number of its a that come from
+    one region; many small pivots share a task.
     """
     tasks = max(1, -(-pairs.count() // TASK_ROWS))
-    per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
-    dealt = pairs.join(per, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
-    left = dealt.select("a", "b", F.pmod(F.xxhash64("b", "chunk"), F.lit(tasks)).alias("task")).join(sets.select(F.col("sid").alias("a"), "n", "members"), "a")
+    chunk = F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / CHUNK_MEMBERS))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b", chunk), F.lit(tasks)).alias("task"))
+    left = dealt.join(sets.select(F.col("sid").alias("a"), "n", "members"), "a")
     pivots = sets.select(F.col("sid").alias("p"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
-    dealt_pivots = per.select(F.col("b").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
-    dealt_pivots = dealt_pivots.select("p", F.pmod(F.xxhash64("p", "part"), F.lit(tasks)).alias("at")).distinct()
-    right = dealt_pivots.join(pivots, "p")
+    right = dealt.select(F.col("b").alias("p"), F.col("task").alias("at")).distinct().join(pivots, "p")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = {p: (n, members) for p, n, members in zip(right.p, right.pivot_n, right.pivot_members)}
@@ -414,7 +460,7 @@ def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
 
 
 def allowed(a, n, members, b, pivot_n, pivot_members):
-    """(a, b) of the pairs of one pivot whose sketches allow a link."""
+    """(a, b, m) of the m pairs of one chunk of a pivot whose sketches allow a link."""
     pivot = np.frombuffer(pivot_members, np.uint8)
     keep = np.zeros(len(a), bool)
     for i, sketch in enumerate(members):
@@ -422,24 +468,7 @@ def allowed(a, n, members, b, pivot_n, pivot_members):
         both = min(len(own), len(pivot))
         apart = int(np.bitwise_count(fold_sketch(own, both) ^ fold_sketch(pivot, both)).sum())
         keep[i] = apart * (100 + PERCENT) <= (n[i] + pivot_n) * (100 - PERCENT)
-    return a[keep], np.full(keep.sum(), b)
-
-
-def verify(left: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of staged pairs, on the whole sets."""
-    met = staged(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-met")
-    wanted = sketched.join(few_or_shuffled(met), "sid", "left_semi").select("sid", "id")
-    wanted = staged(wanted, "near-wanted")
-    ids = few_or_shuffled(wanted.select(F.col("id").alias("wanted_id")).distinct())
-    texts_met = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    # rows that repeat an id may have other texts: only the sets asked for count, once each
-    built = texts_met.mapInArrow(build_sets, "sid long, n long, members binary").join(few_or_shuffled(met), "sid", "left_semi")
-    sets = staged(built, "near-sets")
-    made = meet(left, sets, compare, "a long, b long, both long, na long, nb long")
-    union = F.col("na") + F.col("nb") - F.col("both")
-    return staged(
-        made.select("a", "b", (1 - F.col("both") / union).alias("distance"), (F.col("both") * 100 >= union * PERCENT).alias("linked")).distinct(), "near-judged"
-    )
+    return a[keep], np.full(keep.sum(), b), np.full(keep.sum(), keep.sum())
 
 
 def may_link(na, nb):
@@ -485,27 +514,30 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     members = staged(members.join(several, "region"), "near-members")
 
-    met = staged(members.select("sid").distinct(), "near-known")
-    sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", "small", F.col("block").alias("members"))
-    first = docs.join(few_or_shuffled(met), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
-    sketched = staged(sole.join(few_or_shuffled(staged(first.select("row"), "near-first")), "row", "left_semi").drop("row"), "near-sketched")
+    # the documents that share a region, each set once: their sketches and sets
+    known = staged(members.select("sid").distinct(), "near-known")
+    first = docs.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", F.col("block").alias("members"))
+    sketched = staged(sole.join(first.select("row"), "row", "left_semi").drop("row"), "near-sketched")
+    wanted = sketched.select(F.col("id").alias("wanted_id")).distinct()
+    asked = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = staged(asked.mapInArrow(build_sets, "sid long, n long, members binary"), "near-sets")
 
     sizes = members.select("sid", "n").distinct()
-    star = members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na")).distinct()
-    star = star.join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").filter(may_link(F.col("na"), F.col("nb")))
-    judged = verify(staged(meet(staged(star.select("a", "b"), "near-edges"), sketched, allowed, "a long, b long"), "near-star"), sketched, texts)
-    links = judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    star = members.filter("sid <> pivot").groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na")).agg(F.max("m").alias("m"))
+    star = star.join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").filter(may_link(F.col("na"), F.col("nb"))).select("a", "b", "m")
+    star = staged(meet(staged(star, "near-edges"), sketched, allowed, "a long, b long, m long"), "near-star")
+    judged = meet(star, sets, compare, "a long, b long, both long, na long, nb long")
+    linked = judged.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT)
+    links = staged(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-links")
     label = components(links)
 
-    # what is left: regions with members of two components or more, without their first pivot;
-    # a distance to it that the sketches or sizes spared is unknown and opens the window wide
-    far = judged.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "distance")
-    open_ = members.filter("m > 2 AND sid <> pivot").join(far, ["sid", "pivot"], "left").select("region", "sid", F.col("distance").alias("far"))
+    # what is left: cells with members of two components or more, without their pivot
+    open_ = members.filter("m > 2 AND sid <> pivot").select("pivot", "sid", "n").distinct()
     named = open_.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("region")
-    pairs = staged(pairs_of(named.join(mixed, "region"), sketched), "near-pairs")
-    judged = verify(staged(meet(pairs, sketched, allowed, "a long, b long"), "near-left"), sketched, texts)
-    label = components(links.unionByName(judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    mixed = named.groupBy("pivot").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("pivot")
+    more = staged(cell_links(staged(named.join(mixed, "pivot"), "near-open"), sets), "near-more")
+    label = components(links.unionByName(more))
 
     per_set = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     named = per_set.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -529,7 +561,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     order = F.struct(F.col("__el_id").isNull().alias("none"), "__el_id", "__el_row")
     leads = groups.groupBy("component_id").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     gone = groups.join(leads, "component_id").filter(F.col("__el_row") != F.col("lead.__el_row")).select("__el_row")
-    return rows.join(few_or_shuffled(staged(gone, "near-gone")), "__el_row", "left_anti").select("__el_all.*")
+    return rows.join(staged(gone, "near-gone"), "__el_row", "left_anti").select("__el_all.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

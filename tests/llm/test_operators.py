@@ -331,6 +331,77 @@ def test_jaccard_join_of_a_cloud(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_region_join_by_pivots(across):
+    """Clouds around far centres, and one cloud that no pivot parts: the forest has the components of all links."""
+    rng = np.random.default_rng(11)
+
+    def fresh(n):
+        return rng.integers(0, 2**63, n, dtype=np.uint64)
+
+    sets = []
+    for size, members, most in ((60, 120, 12), (70, 90, 16), (300, 80, 60), (45, 150, 9), (5, 30, 1)):
+        core = fresh(size)
+        for _ in range(members):
+            keep = rng.permutation(size)[: size - rng.integers(0, most + 1)]
+            sets.append(np.unique(np.concatenate([core[keep], fresh(rng.integers(0, most + 1))])))
+    common = fresh(40)
+    sets += [np.unique(np.concatenate([common, fresh(40)])) for _ in range(100)]
+    n = len(sets)
+    block = np.arange(n) % 2
+    part = near_join.Part(np.arange(n), np.arange(n), block, [x.tobytes() for x in sets], across)
+    part.join(np.arange(n))
+    as_sets = [set(x.tolist()) for x in sets]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if not across or block[a] != block[b]:
+                both = len(as_sets[a] & as_sets[b])
+                if 100 * both >= 80 * len(as_sets[a] | as_sets[b]):
+                    root[find(a)] = find(b)
+    groups = len({find(x) for x in range(n)})
+    assert len(part.links) <= n - groups + (n if across else 0)
+    for a, b in part.links:
+        assert 100 * len(as_sets[a] & as_sets[b]) >= 80 * len(as_sets[a] | as_sets[b])
+    made = list(range(n))
+    for a, b in part.links:
+        made = [made[a] if x == made[b] else x for x in made]
+    if across:  # links inside a block may show too, never fewer
+        assert all(made[a] == made[b] for a in range(n) for b in range(a) if find(a) == find(b))
+    else:
+        assert len(part.links) == n - groups and len(set(made)) == groups
+
+
+def test_jaccard_join_of_a_common_passage(spark):
+    """Very many documents that share one long passage and do not link, and a few that do."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"o{rng.random()}" for _ in range(60)), "en", "s", 0) for i in range(2000)]
+    rows += [(3000 + i, rows[i * 7][1] + " more", "en", "s", 0) for i in range(5)]
+    got = {r.doc_id: r.component_id for r in near_join.near_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (i - 3000) * 7 if i >= 3000 else i for i, *_ in rows}
+
+
+def test_jaccard_join_in_small_blocks(spark, docs, rows, monkeypatch):
+    """Cells cut into blocks, and joins without broadcast, give the same."""
+    want = linked_groups({i: shingles(t) for i, t, *_ in rows})
+    monkeypatch.setattr(near_join, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(near_join, "BLOCK_SHINGLES", 200)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in near_join.near_groups(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(2)
     for n in (1, 5, 40, 700):

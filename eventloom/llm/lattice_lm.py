@@ -8,13 +8,15 @@ cross white space, so a document's log probability is the sum over its words plu
 that of the end.
 
 The vocabulary and its order are fixed. Its scores are ranks, so they first become
-Zipf weights; ``ROUNDS`` rounds of expectation maximisation over the distinct words of
-all training documents (counted by one shuffle) then make them probabilities: first
-pieces of a word among themselves, later pieces and the word's end among themselves.
-A word that training documents hold has one more arc, over the whole word, with its
-share of all tokens; Witten-Bell's estimate of new words says how much weight the arcs
-of pieces get beside it. Only the piece weights, of the vocabulary's fixed size, ever
-reach the driver.
+Zipf weights; ``ROUNDS`` rounds of expectation maximisation over the words of all
+training documents (counted by one shuffle, each distinct word weighted by its count)
+then make them probabilities: first pieces of a word among themselves, later pieces and
+the word's end among themselves. A document goes on or ends with the share of ends among
+the training tokens, so ``score`` is a proper distribution over texts and nothing but the
+lattice. Beside it, ``word_score`` gives a word that training documents hold one more arc
+over the whole word, with its share of all tokens; Witten-Bell's estimate of new words
+says how much weight spelling gets beside it. Only the piece weights, of the vocabulary's
+fixed size, ever reach the driver.
 
 Each distinct word is scored once. The ``FREQUENT`` most frequent words (a fixed
 bound) are sent to the tasks; all others meet their documents in one shuffle of packed
@@ -22,7 +24,8 @@ blocks (word hash, row, times), and partial sums return by blocks of documents,
 word that every document has costs nothing and no document is expanded.
 
 Defined cases: null and empty texts have the end only; without training documents
-all counts are 0 and the weights are those of the ranks; rows that repeat an id are
+all counts are 0, the weights are those of the ranks and a text ends with probability
+a half; null ids learn and are never held out; rows that repeat an id are
 scored each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -46,7 +49,6 @@ VOCABULARY = "piece_bpe_32k.model"
 ROUNDS = 2
 #: Words sent to every task.
 FREQUENT = 50_000
-LONGEST_PIECE = 16
 #: Words up to this many bytes are scored together with others of their length.
 TOGETHER = 48
 #: Input bytes for each bucket of words.
@@ -67,7 +69,7 @@ def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             text = model.id_to_piece(i).replace("▁", " ").encode()
-            if len(text) <= LONGEST_PIECE and b" " not in text[1:]:
+            if text and b" " not in text[1:]:
                 found.setdefault(text, model.get_score(i))
     ordered = sorted(found, key=lambda t: -found[t])
     return ordered + [bytes([b]) for b in range(256) if bytes([b]) not in found]
@@ -106,11 +108,14 @@ class Lattice:
         self.weights = np.log(uses / np.where(self.opens, uses[self.opens].sum(), later))
         self.stop = float(np.log(words / later))
 
-    def probability(self, block: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    def probability(self, block: np.ndarray) -> np.ndarray:
         """Log probabilities of words of one length, over all segmentations."""
-        spelled = self.forward(block)[0][-1] + self.stop + self.spell
+        return self.forward(block)[0][-1] + self.stop
+
+    def with_words(self, spelled: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Log probabilities with an arc over the whole word, by the times that it was seen."""
         with np.errstate(divide="ignore"):
-            return np.logaddexp(spelled, np.log(seen) + self.whole)
+            return np.logaddexp(spelled + self.spell, np.log(seen) + self.whole)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
@@ -194,7 +199,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(counts: DataFrame, lattice: Lattice, tokens: int, kinds: int) -> None:
-    """Sets the weights of the pieces from the distinct words seen, and how whole words count beside them."""
+    """Sets the weights of the pieces from the words seen, and how whole words count beside them."""
     context = counts.sparkSession.sparkContext
     if not kinds:
         return
@@ -205,13 +210,14 @@ def learn(counts: DataFrame, lattice: Lattice, tokens: int, kinds: int) -> None:
             own = sent.value
             sums = np.zeros(own.size + 1)
             for frame in frames:
-                for _, block in blocks_of(frame.word.tolist()):
-                    sums[:-1] += own.expect(block, np.ones(len(block)))
-                    sums[-1] += len(block)
+                seen = frame.seen.to_numpy(np.float64)
+                for some, block in blocks_of(frame.word.tolist()):
+                    sums[:-1] += own.expect(block, seen[some])
+                    sums[-1] += seen[some].sum()
             used = np.flatnonzero(sums)
             yield pd.DataFrame({"piece": used, "uses": sums[used]})
 
-        rows = counts.filter("seen > 0").select("word").mapInPandas(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+        rows = counts.filter("seen > 0").mapInPandas(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.full(lattice.size + 1, ALPHA)
         uses[rows.piece.to_numpy(np.int64)] += rows.uses.to_numpy()
         lattice.set(uses[:-1], uses[-1])
@@ -229,7 +235,7 @@ def word_hash(words: list[str]) -> np.ndarray:
 
 
 def score_words(counts: DataFrame, lattice: Lattice, buckets: int) -> DataFrame:
-    """(bucket, key, seen, logp) of every word: key is its hash, logp its log10 probability."""
+    """(bucket, key, seen, logp, wordp) of every word: key is its hash, logp and wordp its log10 probabilities by the lattice and with whole words."""
     sent = counts.sparkSession.sparkContext.broadcast(lattice)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,17 +244,18 @@ def score_words(counts: DataFrame, lattice: Lattice, buckets: int) -> DataFrame:
             words, seen = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             out = np.zeros(len(words))
             for some, block in blocks_of(words):
-                out[some] = own.probability(block, seen[some])
+                out[some] = own.probability(block)
             key = word_hash(words)
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(key.astype(np.int64)), batch.column(1), pa.array(out / np.log(10))], names=["bucket", "key", "seen", "logp"]
+                [pa.array(bucket), pa.array(key.astype(np.int64)), batch.column(1), pa.array(out / np.log(10)), pa.array(own.with_words(out, seen) / np.log(10))],
+                names=["bucket", "key", "seen", "logp", "wordp"],
             )
 
-    return counts.select("word", "seen").mapInArrow(score, "bucket int, key long, seen long, logp double")
+    return counts.select("word", "seen").mapInArrow(score, "bucket int, key long, seen long, logp double, wordp double")
 
 
-DOCS = "bucket int, chunk long, id long, place int, held_out boolean, tokens long, known long, base double, model double, block binary"
+DOCS = "bucket int, chunk long, id long, place int, held_out boolean, tokens long, known long, base double, model double, whole double, block binary"
 
 
 def split_documents(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -258,10 +265,10 @@ def split_documents(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values:
     context = TaskContext.get()
     chunk = (context.partitionId() if context else 0) << 32
     names = [c.split()[0] for c in DOCS.split(", ")]
-    empty = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    empty = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     for batch in batches:
         n = batch.num_rows
-        tokens, sums, rest = np.zeros(n, np.int64), np.zeros((n, 3)), []
+        tokens, sums, rest = np.zeros(n, np.int64), np.zeros((n, 4)), []
         for low, high, data, offsets in tb.chunks(batch.column(2)):
             data = tb.ascii_lower(data)
             starts, ends = tb.words(data, offsets)
@@ -270,12 +277,12 @@ def split_documents(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values:
             tokens += np.bincount(doc, minlength=n)
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            for k in range(3):
+            for k in range(4):
                 sums[:, k] += np.bincount(doc[hit], values[at[hit], k], n)
             rest.append((key[~hit], doc[~hit].astype(np.uint32)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, -1, np.int32)), pa.array(np.full(n, chunk)), batch.column(0), pa.array(np.arange(n, dtype=np.int32)), batch.column(1), pa.array(tokens)]
-            + [pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2]), pa.nulls(n, pa.binary())],
+            + [pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2]), pa.array(sums[:, 3]), pa.nulls(n, pa.binary())],
             names=names,
         )
         key, doc = (np.concatenate(x) for x in zip(*rest)) if rest else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
@@ -297,7 +304,7 @@ def split_documents(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values:
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows whose fold is not 1."""
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score); learns from rows whose fold is not 1."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(fold(F.col(id_col)) == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -309,14 +316,16 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tokens, kinds = all_words + ends, kinds + (ends > 0)
     lattice = Lattice(pieces(vocabulary))
     learn(counts, lattice, tokens, kinds)
-    end_model = float((np.log(ends) + lattice.whole) / np.log(10)) if ends else float(np.log10(0.5))
+    share = ends / tokens if ends else 0.5
+    end_model, go_on = float(np.log10(share)), float(np.log10(1 - share)) if share < 1 else 0.0
+    end_whole = float((np.log(ends) + lattice.whole) / np.log(10)) if ends else float(np.log10(0.5))
     log_all = float(np.log10(tokens + 0.5 * (kinds + 1)))
     words = staged(score_words(counts, lattice, buckets), "lm-words")
 
     top = words.filter("seen > 0").orderBy(F.desc("seen"), "key").limit(FREQUENT).toPandas()
     key = top.key.to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(key)
-    values = np.column_stack([np.ones(len(top)), np.log10(top.seen.to_numpy() + 0.5) - log_all, top.logp.to_numpy(np.float64)])[order]
+    values = np.column_stack([np.ones(len(top)), np.log10(top.seen.to_numpy() + 0.5) - log_all, top.logp.to_numpy(np.float64), top.wordp.to_numpy(np.float64)])[order]
     sent = spark.sparkContext.broadcast((key[order], values))
     parts = staged(docs.mapInArrow(lambda b: split_documents(b, *sent.value, buckets), DOCS), "lm-parts")
 
@@ -324,13 +333,13 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = []
         known = right.key.to_numpy(np.int64).astype(np.uint64)
         by = np.argsort(known)
-        known, seen, logp = known[by], right.seen.to_numpy()[by], right.logp.to_numpy()[by]
+        known, seen, logp, wordp = known[by], *(right[c].to_numpy()[by] for c in ("seen", "logp", "wordp"))
         base = np.log10(seen + 0.5) - log_all
         for chunk, block in zip(left.chunk, left.block):
             step, doc, times = unsqueezed(block, ["<u8", "<u4", "<u4"])
             at = np.searchsorted(known, np.cumsum(step, dtype=np.uint64))
             used, where = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(where, v * times, len(used)) for v in ((seen[at] > 0).astype(np.float64), base[at], logp[at])]
+            sums = [np.bincount(where, v * times, len(used)) for v in ((seen[at] > 0).astype(np.float64), base[at], logp[at], wordp[at])]
             out.append((chunk, squeezed([used, *sums])))
         return pd.DataFrame(out, columns=["chunk", "block"])
 
@@ -338,10 +347,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def add_up(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("place")
-        sums = np.zeros((len(left), 3))
+        sums = np.zeros((len(left), 4))
         for block in sorted(right.block):
-            used, *values = unsqueezed(block, ["<u4", "<f8", "<f8", "<f8"])
-            for k in range(3):
+            used, *values = unsqueezed(block, ["<u4", "<f8", "<f8", "<f8", "<f8"])
+            for k in range(4):
                 sums[used, k] += values[k]
         return pd.DataFrame(
             {
@@ -350,15 +359,16 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 "n_tokens": left.tokens + 1,
                 "n_known": left.known + sums[:, 0].astype(np.int64) + int(ends > 0),
                 "base_score": left.base + sums[:, 1] + np.log10(ends + 0.5) - log_all,
-                "score": left.model + sums[:, 2] + end_model,
+                "score": left.model + sums[:, 2] + left.tokens * go_on + end_model,
+                "word_score": left.whole + sums[:, 3] + end_whole,
             }
         )
 
     mine = parts.filter("bucket = -1").drop("bucket", "block")
     done = mine.groupBy("chunk").cogroup(rest.groupBy("chunk")).applyInPandas(
-        add_up, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        add_up, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word_score double"
     )
-    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "word_score")
 
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force and on odd inputs: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -177,7 +178,23 @@ def test_language_model(spark, docs, rows):
         r = out[i]
         assert r.base_score == pytest.approx(base) and r.train_tokens == total and r.n_tokens == len(words) + 1
         assert r.n_known == sum(counts[w] > 0 for w in words) + 1 and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
-        assert math.isfinite(r.score) and r.score < 0
+        assert math.isfinite(r.word_score) and r.word_score < 0
+    # the score by brute force, from weights learned alike: every split of every word
+    lattice = lattice_lm.Lattice(lattice_lm.pieces())
+    words = spark.createDataFrame([(w, n) for w, n in counts.items()], "word string, seen long")
+    lattice_lm.learn(words, lattice, total, len(counts) + 1)
+    weight = {}
+    for piece, w in zip(lattice_lm.pieces(), lattice.weights):
+        weight[piece] = math.exp(w)
+
+    @functools.cache
+    def total_of(word):
+        return 1.0 if not word else sum(weight.get(word[:k], 0.0) * total_of(word[k:]) for k in range(1, len(word) + 1))
+
+    for i, words in tokens.items():
+        if sum(map(len, words)) < 600:
+            want = sum(math.log10(total_of(b" " + w.encode())) + lattice.stop / math.log(10) + math.log10(1 - ends / total) for w in words) + math.log10(ends / total)
+            assert out[i].score == pytest.approx(want)
     assert lattice_lm.score_documents(empty(spark)).count() == 0
 
 

@@ -44,6 +44,8 @@ WINDOW = LENGTH - GRAM + 1
 BUCKET_BYTES = 4_000_000
 #: Strings after which a task packs what it has.
 FLUSH = 1_500_000
+#: A text with more than one in so many of all rows is hot.
+HOT_SHARE = 512
 #: Packed marks up to which they are broadcast; beyond they are shuffled.
 BROADCAST_BYTES = 32_000_000
 
@@ -349,6 +351,19 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def with_originals(docs: DataFrame, order) -> DataFrame:
+    """``docs`` with the least id of its text's rows as ``original``, null where the text has one row.
+
+    Texts with more than one in ``HOT_SHARE`` of all rows are fewer than that, so they
+    are broadcast and their rows do not meet in a task; all others meet by digest.
+    """
+    groups = staged(docs.groupBy("digest").agg(F.min(order).alias("original"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "repeat-groups")
+    bound = -(-docs.count() // HOT_SHARE)
+    hot = F.broadcast(groups.filter(F.col("k") > bound).select("digest", "original"))
+    rest = groups.filter(F.col("k") <= bound).select("digest", "original")
+    return docs.join(hot, "digest").unionByName(docs.join(hot, "digest", "left_anti").join(rest, "digest", "left"))
+
+
 def with_texts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Marks (id, row, digest, blocks) with their texts, broadcast only if their bytes, just summed, are within the bound."""
     total = marks.agg(F.sum(F.expr("aggregate(blocks, 64L, (a, b) -> a + octet_length(b))"))).first()[0] or 0
@@ -372,8 +387,7 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = staged(texts.mapInArrow(lambda b: anchors(b, buckets), FIRST), "repeat-anchors")
     docs = first.filter("bucket = -1").select("id", "row", "n", "digest")
     order = F.coalesce("id", F.lit(-(2**63)))
-    originals = docs.groupBy("digest").agg(F.min(order).alias("original"))
-    docs = staged(docs.join(originals, "digest").withColumn("copy", (order > F.col("original")) & (F.col("n") >= LENGTH)), "repeat-docs")
+    docs = staged(with_originals(docs, order).withColumn("copy", F.coalesce(order > F.col("original"), F.lit(False)) & (F.col("n") >= LENGTH)), "repeat-docs")
 
     found = first.filter("bucket >= 0").groupBy("bucket").applyInPandas(repeated, "chunk long, block binary")
     places = found.groupBy("chunk").applyInPandas(places_of, "row long, blocks array<binary>")

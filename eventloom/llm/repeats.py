@@ -43,7 +43,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Input bytes for each bucket.
 BUCKET_BYTES = 4_000_000
 #: Strings after which a task packs what it has.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: A text with more than one in so many of all rows is hot.
 HOT_SHARE = 512
 #: Packed marks up to which they are broadcast; beyond they are shuffled.
@@ -168,6 +168,8 @@ def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                     names=names,
                 )
         base += n
+        keep.clear()
+        tb.release()
 
 
 def by_chunk(row: np.ndarray, place: np.ndarray) -> pd.DataFrame:
@@ -239,7 +241,10 @@ def repeated(frame: pd.DataFrame) -> pd.DataFrame:
     sorted_ids = ids[order]
     same = sorted_ids[1:] == sorted_ids[:-1]
     many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return by_chunk(rows[order[many]], places[order[many]])
+    made = by_chunk(rows[order[many]], places[order[many]])
+    del ids, rows, places, order, sorted_ids
+    tb.release()
+    return made
 
 
 def refine(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -264,8 +269,10 @@ def refine(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from settle(held, buckets)
                 held = []
+                tb.release()
     if held:
         yield from settle(held, buckets)
+        tb.release()
 
 
 def settle(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -318,7 +325,10 @@ def later_ones(frame: pd.DataFrame) -> pd.DataFrame:
     first = np.concatenate([[True], ids[1:] != ids[:-1]])
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = ~first & ((keys != keys[lead]) | (starts != starts[lead]))
-    return by_chunk(rows[later], starts[later])
+    made = by_chunk(rows[later], starts[later])
+    del ids, keys, rows, starts, order, lead
+    tb.release()
+    return made
 
 
 def covered(starts: np.ndarray) -> bytes:
@@ -349,6 +359,7 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())],
             names=["row", "n_removed", "n_spans", "kept_sha256", "spans"],
         )
+        tb.release()
 
 
 def with_originals(docs: DataFrame, order) -> DataFrame:

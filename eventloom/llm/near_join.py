@@ -68,6 +68,8 @@ TASK_ROWS = 2048
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1_500_000
 #: Pivots of a part inside a task, members up to which it is not parted further, share of its members that a part may keep.
 PIVOTS, LEAF, SHRINK = 8, 48, 0.7
+#: Tasks over which rows of one body or cell are spread.
+SALTS = 64
 #: Parts beyond those that the greatest difference calls for, as a share of it.
 SPARE = 0.6
 #: Members from which a region counts as common; a document may leave some of those, see ``spare``.
@@ -415,17 +417,25 @@ def forest(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["u", "v"])
 
 
+def spread_left(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with what ``few`` keys have; rows of one key are spread over SALTS tasks by sid."""
+    each = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS))).join(each, [key, "salt"], "left").drop("salt")
+
+
 def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) of staged cells (pivot, sid, n, comp): links that join components."""
     least = cells.groupBy("pivot").agg(F.min("comp").alias("v"))
     body = components(cells.join(least, "pivot").select(F.col("comp").alias("u"), "v"))
     named = cells.join(body.select(F.col("u").alias("comp"), "v"), "comp", "left").withColumn("body", F.coalesce("v", "comp"))
     weight = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")]
-    small = named.select("body", "sid", "n").distinct().groupBy("body").agg(*weight).filter(f"m <= {BLOCK_MEMBERS} AND w <= {BLOCK_SHINGLES}").select("body", F.lit(True).alias("small"))
-    keyed = named.join(small, "body", "left").withColumn("key", F.when(F.col("small"), F.xxhash64(F.lit("body"), "body")).otherwise(F.xxhash64(F.lit("pivot"), "pivot")))
+    over = (F.col("m") > BLOCK_MEMBERS) | (F.col("w") > BLOCK_SHINGLES)
+    large = named.select("body", "sid", "n").distinct().groupBy("body").agg(*weight).filter(over).select("body", F.lit(True).alias("large"))
+    keyed = spread_left(named, large, "body").withColumn("key", F.when(F.col("large"), F.xxhash64(F.lit("pivot"), "pivot")).otherwise(F.xxhash64(F.lit("body"), "body")))
     keyed = keyed.select("key", "sid", "n", "comp").distinct()
-    blocks = keyed.groupBy("key").agg(*weight).select("key", F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
-    cut = keyed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    blocks = keyed.groupBy("key").agg(*weight).filter(over).select("key", F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
+    cut = spread_left(keyed, blocks, "key").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = staged(cut.select("key", "sid", "n", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "near-cells")
     tasks = max(1, -(-int(cut.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))

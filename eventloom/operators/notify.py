@@ -21,29 +21,43 @@ BROADCAST_SUBSCRIBERS = 100_000
 def matches(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """events x subscribers(chat_id, free_only, categories array, keywords array) where all filters pass; empty lists pass all.
 
-    Subscribers with a category list meet events by an equi-join on the category, only
-    those without one meet all events.
+    Subscribers with keywords meet events by the distinct names that hold a word, those
+    with a category list by an equi-join on the category; only subscribers who ask for
+    everything meet all events.
     """
-    picky = subscribers.filter(F.size("categories") > 0).withColumn("category", F.explode(F.array_distinct("categories")))
-    open_ = subscribers.filter(F.coalesce(F.size("categories"), F.lit(0)) <= 0)
+    # the text that keywords are looked up in: once per distinct title and venue, only where someone asks for words
+    words = subscribers.select(F.explode("keywords").alias("asked")).distinct()
+    if words.count() <= BROADCAST_SUBSCRIBERS:
+        words = F.broadcast(words)
+    wished = F.coalesce(F.size("keywords"), F.lit(0)) > 0
+    # contained texts need no equality of nulls: names are made whole first
+    named = events.withColumns({"__title": F.coalesce("title", F.lit("")), "__venue": F.coalesce("venue", F.lit(""))})
+    text = F.concat_ws(" ", tx.normalize_title(F.col("__title")), tx.normalize_venue(F.col("__venue")))
+    names = named.select("__title", "__venue").distinct().withColumn("__text", text)
+    said = names.join(words, F.contains("__text", F.lower("asked"))).select("__title", "__venue", "asked")
+    speakers = subscribers.filter(wished).withColumn("asked", F.explode(F.array_distinct("keywords")))
+    # each subscriber's pair of names once, however many of the words it holds
+    heard = said.join(speakers, "asked").drop("asked").dropDuplicates(["chat_id", "__title", "__venue"])
+    fits_category = (F.coalesce(F.size("categories"), F.lit(0)) <= 0) | F.array_contains("categories", F.col("category"))
+    by_word = named.join(heard, ["__title", "__venue"]).filter(fits_category)
+
+    silent = subscribers.filter(~wished)
+    picky = silent.filter(F.size("categories") > 0).withColumn("category", F.explode(F.array_distinct("categories")))
+    open_ = silent.filter(F.coalesce(F.size("categories"), F.lit(0)) <= 0)
     if open_.count() <= BROADCAST_SUBSCRIBERS:
         open_ = F.broadcast(open_)
-    joined = events.join(picky, "category").unionByName(events.join(open_, F.lit(True)))
-    text = F.concat_ws(" ", tx.normalize_title(F.col("title")), tx.normalize_venue(F.col("venue")))
-    word = (F.size("keywords") <= 0) | F.exists("keywords", lambda k: F.contains(text, F.lower(k)))
-    return joined.filter((~F.col("free_only") | F.col("is_free")) & F.coalesce(word, F.lit(True)))
+    rest = named.join(picky, "category").unionByName(named.join(open_, F.lit(True)))
+    free = ~F.col("free_only") | F.col("is_free")
+    return rest.unionByName(by_word.select(*rest.columns)).filter(free).drop("__title", "__venue")
 
 
 def digest(matched: DataFrame, order: list) -> DataFrame:
     """Per chat: the first FIRST uids in order, the number of further ones, the number of free ones."""
     by = Window.partitionBy("chat_id").orderBy(*order)
-    ranked = matched.withColumn("n", F.row_number().over(by))
-    top = F.array_sort(F.collect_list(F.when(F.col("n") <= FIRST, F.struct("n", "uid"))))
-    return ranked.groupBy("chat_id").agg(
-        F.transform(top, lambda x: x["uid"]).alias("uids"),
-        F.greatest(F.count(F.lit(1)) - FIRST, F.lit(0)).alias("more"),
-        F.count_if("is_free").alias("free"),
-    )
+    top = matched.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= FIRST)
+    first = top.groupBy("chat_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "uid"))), lambda x: x["uid"]).alias("uids"))
+    counts = matched.groupBy("chat_id").agg(F.greatest(F.count(F.lit(1)) - FIRST, F.lit(0)).alias("more"), F.count_if("is_free").alias("free"))
+    return first.join(counts, "chat_id")
 
 
 def day_heading(day: Column, ref: date) -> Column:

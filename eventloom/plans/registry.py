@@ -365,11 +365,11 @@ ORACLES = {
     "drop_reasons": f"""WITH {EVENTS_SQL} SELECT source, CASE WHEN "end" < DATE '{REF}' THEN 'past' ELSE 'kept' END AS reason, count(*) AS n FROM e GROUP BY ALL""",
     "first_per_source": f"""WITH {EVENTS_SQL} SELECT source, title, start, uid FROM e QUALIFY row_number() OVER (PARTITION BY source, title ORDER BY start, uid) = 1""",
     "block_keys": f"""WITH {EVENTS_SQL}, k AS (
-        SELECT unnest(CASE WHEN "end" - start + 1 <= 3 THEN list_transform(range(0, ("end" - start) + 1), lambda i: (start + i::INTEGER)::VARCHAR)
+        SELECT unnest(CASE WHEN "end" - start <= 3 THEN list_transform(range(0, ("end" - start) + 1), lambda i: (start + i::INTEGER)::VARCHAR)
           ELSE list_distinct([start::VARCHAR, "end"::VARCHAR, 'long ' || strftime(start, '%Y-%m')]) END) AS block_key FROM e)
         SELECT block_key, count(*) AS n FROM k GROUP BY 1""",
     "candidate_pairs": f"""WITH {LISTINGS_SQL}, k AS (
-        SELECT idx, start, "end", unnest(CASE WHEN "end" - start + 1 <= 3 THEN list_transform(range(0, ("end" - start) + 1), lambda i: (start + i::INTEGER)::VARCHAR)
+        SELECT idx, start, "end", unnest(CASE WHEN "end" - start <= 3 THEN list_transform(range(0, ("end" - start) + 1), lambda i: (start + i::INTEGER)::VARCHAR)
           ELSE list_distinct([start::VARCHAR, "end"::VARCHAR, 'long ' || strftime(start, '%Y-%m')]) END) AS b FROM l)
         SELECT DISTINCT x.idx AS l_idx, y.idx AS r_idx FROM k x JOIN k y ON x.b = y.b AND x.idx < y.idx AND x.start - 1 <= y."end" AND y.start - 1 <= x."end\"""",
     "upsert_merge": """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate AS day FROM orders), a AS (SELECT * FROM o WHERE day < TIMESTAMP '1999-01-01'),

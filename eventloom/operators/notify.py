@@ -78,7 +78,7 @@ def event_line(title: Column, url: Column, category: Column, when: Column, venue
     more = F.when(source_count > 1, F.concat(F.lit("🔗 "), source_count.cast("string"), F.lit(" kaynak")))
     return F.concat_ws(
         "\n",
-        F.concat(ct.category_label(category), F.lit(" "), head),
+        F.concat(ct.category_mark(category), F.lit(" "), head),
         F.nullif(F.concat(F.lit("   "), F.concat_ws(" · ", when, place)), F.lit("   ")),
         F.concat(F.lit("   "), F.concat_ws(" · ", price, more)),
     )

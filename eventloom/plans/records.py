@@ -70,3 +70,35 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTINGS_SQL = f"""l AS (
   SELECT p_partkey AS idx, p_name AS name, p_brand AS venue, (DATE '{ER_REF}' + p_size) AS start,
     (DATE '{ER_REF}' + p_size + (p_partkey % 5)::INTEGER) AS "end", p_partkey % 4 AS kind FROM part)"""
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows as a listing page gives them, one per part, in eight kinds: dated in text, in the title, with the venue in
+    the title, with an end, a menu entry, without a date, past, in another city."""
+    p = table(spark, sf_dir, "part")
+    kind = F.pmod("p_partkey", F.lit(8))
+    day = F.expr(f"date_add(DATE '{ER_REF}', p_size)")
+    iso = F.date_format(day, "yyyy-MM-dd")
+    return p.select(
+        F.col("p_partkey").alias("idx"), F.concat(F.lit("src"), F.expr("p_partkey div 8 % 4").cast("string")).alias("source"),
+        F.when(kind == 1, F.concat("p_name", F.lit(" 18 Eylül 2026"))).when(kind == 2, F.concat("p_name", F.lit(" / Bostanlı Suat Taşer Tiyatrosu")))
+        .when(kind == 4, "Tüm Etkinlikler").otherwise(F.col("p_name")).alias("title"),
+        F.when(kind == 0, F.concat(iso, F.lit("T20:30"))).when(kind == 2, F.date_format(day, "dd.MM.yyyy")).when(kind.isin(3, 7), iso).when(kind == 6, "01.01.2020").alias("date_text"),
+        F.when(kind == 3, F.date_format(F.date_add(day, 3), "yyyy-MM-dd")).alias("end_text"),
+        F.when(kind == 7, "Zorlu PSM İstanbul").when(~kind.isin(2), F.col("p_brand")).alias("venue"),
+        F.when(kind == 0, "150 TL").when(kind == 3, "Ücretsiz").alias("price_text"),
+        F.concat(F.lit("https://example.com/"), "p_partkey").alias("url"),
+    )
+
+
+def source_list(spark: SparkSession) -> DataFrame:
+    rows = [("src0", False, None, False, 90), ("src1", False, None, True, 10), ("src2", False, "konser", False, None), ("src3", True, None, False, 70), ("src9", False, None, False, 5)]
+    return spark.createDataFrame(rows, "key string, city_filter boolean, default_category string, free_by_default boolean, priority int")
+
+
+RAW_SQL = f"""r AS (
+  SELECT p_partkey AS idx, (p_partkey // 8) % 4 AS s, p_partkey % 8 AS kind, p_name AS name, p_brand AS brand, DATE '{ER_REF}' + p_size AS day FROM part),
+  b AS (SELECT idx, 'src' || s AS source, s, kind, name, CASE kind WHEN 2 THEN 'Bostanlı Suat Taşer Tiyatrosu' WHEN 7 THEN 'Zorlu PSM İstanbul' ELSE brand END AS venue,
+    CASE kind WHEN 1 THEN DATE '2026-09-18' WHEN 6 THEN DATE '2020-01-01' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE day END AS start,
+    CASE WHEN kind = 4 THEN 'junk' WHEN s = 3 THEN 'no_city' WHEN kind = 7 THEN 'other_city' WHEN kind = 5 THEN 'no_date' WHEN kind = 6 THEN 'past' END AS reason,
+    kind = 3 OR (s = 1 AND kind <> 0) AS is_free FROM r)"""

@@ -15,11 +15,11 @@ from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import money as mn
 from ..functions import text as tx
-from ..operators import filters, notify, read, resolve, store
+from ..operators import build, filters, notify, read, render, resolve, store
 from ..sources import extract as ex
 from ..sources import pages as pg
 from ..streaming import ingest
-from .records import ER_REF, EVENTS_SQL, LISTINGS_SQL, REF, events, listings, table
+from .records import ER_REF, EVENTS_SQL, LISTINGS_SQL, RAW_SQL, REF, events, listings, raw_rows, source_list, table
 
 ORDER = ["start", "title", "uid"]
 SHOWN = ["uid", "title", "venue", "start", "end", "category"]
@@ -238,6 +238,76 @@ def strategy_counts(spark, sf_dir):
     return ex.strategy_counts(ex.extract(table(spark, sf_dir, "pages")))
 
 
+def build_event(spark, sf_dir):
+    """Raw rows judged and built: reasons, cleaned titles, venues, dates, prices, categories."""
+    x = build.judged(raw_rows(spark, sf_dir), source_list(spark), ER_REF)
+    price = F.col("price")
+    return x.select("idx", "source", "reason", "title", "venue", "start", "end", "minute", "category", price["min"].alias("low"), price["is_free"].alias("is_free"))
+
+
+def kept_events(spark, sf_dir):
+    """Rows that stay, the first of each source and uid, with their source's priority."""
+    k = build.kept(build.judged(raw_rows(spark, sf_dir), source_list(spark), ER_REF), ["idx"])
+    return build.with_priority(k, source_list(spark)).select("idx", "source", "uid", "priority")
+
+
+def source_report(spark, sf_dir):
+    return build.source_report(build.judged(raw_rows(spark, sf_dir), source_list(spark), ER_REF), source_list(spark))
+
+
+def scraped_events(spark, sf_dir):
+    """From raw rows to merged events in one flow."""
+    raw = raw_rows(spark, sf_dir).withColumns({"page": F.col("source"), "strategy": F.lit("jsonld"), "strategy_ord": F.lit(0)})
+    _, merged = build.scrape(raw, source_list(spark), ER_REF)
+    return merged.select("root", "title", "venue", "start", "end", "category", "source_count", "records")
+
+
+def _inline_pages(spark, sf_dir):
+    """One page per part in three kinds: JSON-LD, embedded JSON, and four cards that selectors fit."""
+    p = table(spark, sf_dir, "part")
+    kind = F.pmod("p_partkey", F.lit(3))
+    iso = F.date_format(F.expr(f"date_add(DATE '{ER_REF}', p_size)"), "yyyy-MM-dd")
+    ld = F.concat(
+        F.lit('<html><script type="application/ld+json">{"@graph":[{"@type":["MusicEvent"],"name":"'), "p_name", F.lit('","startDate":"'), iso, F.lit('T21:00","location":{"name":"'), "p_brand",
+        F.lit('"},"offers":[{"price":"'), F.col("p_size").cast("string"), F.lit('","priceCurrency":"TRY"},{"price":900}]},{"@type":"Person","name":"nobody"}]}</script><p>x</html>'),
+    )
+    nd = F.concat(
+        F.lit('<script id="__NEXT_DATA__">{"props":{"items":[{"title":"'), "p_name", F.lit('","startDate":"'), iso, F.lit('","venue":{"name":"'), "p_brand", F.lit('"},"price":'), F.col("p_size").cast("string"),
+        F.lit('},{"title":"wrong day","startDate":"2026-99-99"},{"name":{},"title":"second name","date":"yarın 20:00"}]}}</script>'),
+    )
+    card = [F.concat(F.lit('<div class="ev"><h3>'), "p_name", F.lit(f' no{i}</h3><span class="d">'), iso, F.lit('</span><b class="v">'), "p_brand", F.lit(f'</b><a href="/e/{i}">go</a></div>')) for i in range(4)]
+    return p.select(F.col("p_partkey").alias("page_id"), F.when(kind == 0, ld).when(kind == 1, nd).otherwise(F.concat(*card)).alias("html"))
+
+
+def extracted_events(spark, sf_dir):
+    """All rows of the strategies for JSON-LD, embedded JSON and selectors."""
+    x = ex.extract(_inline_pages(spark, sf_dir), ("jsonld", "nextdata", "selectors"), {"item": ".ev", "title": "h3", "date": ".d", "venue": ".v", "link": "a@href"}, ER_REF)
+    return x.select("page", "strategy", "card_ord", "title", "date_text", "venue", "price_text", "url")
+
+
+def extracted_counts(spark, sf_dir):
+    x = ex.extract(_inline_pages(spark, sf_dir), ("jsonld", "nextdata", "selectors"), {"item": ".ev", "title": "h3", "date": ".d"}, ER_REF)
+    return ex.strategy_counts(x, ER_REF).groupBy("strategy").agg(F.sum("found").alias("found"), F.sum("dated").alias("dated"))
+
+
+def day_messages(spark, sf_dir):
+    """The week's events of each category by day, as messages: whether all fit, the events and the days shown."""
+    e = read.in_bucket(events(spark, sf_dir), "bu_hafta", REF).withColumns({"minute": F.lit(None).cast("int"), "url": F.lit(""), "price_label": F.lit("1 ₺")})
+    m = render.by_day(e, "category", F.concat(F.lit("<b>"), "category", F.lit("</b>")), REF)
+    headings = F.regexp_extract_all("message", F.lit("<b>📅 ([^<]*)</b>(?! <i>)"), F.lit(1))
+    return m.groupBy("category").agg((F.max(F.length("message")) <= 4096).alias("fits"), F.sum(F.size(F.regexp_extract_all("message", F.lit("📍"), F.lit(0)))).alias("shown"), F.sum(F.size(headings)).alias("days"))
+
+
+def stats_message(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return render.stats_text(read.counts(e, REF), read.category_counts(e, REF))
+
+
+def broken_sources(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") != "purchase")
+    return build.broken_sources(store.consecutive_failures(e, "user_id", "event_id", "failed"))
+
+
 def _subscribers(spark, sf_dir):
     """One subscriber per supplier: wishes by key."""
     s = table(spark, sf_dir, "supplier")
@@ -294,7 +364,8 @@ QUERIES = {
         bucket_list, filtered_list, search_folded, offset_page, counts_summary, category_counts, new_items, classify_buckets, bucket_ranges, title_keys,
         display_titles, event_uids, price_roundtrip, date_roundtrip, date_labels, category_guess, city_filter, drop_reasons, first_per_source, block_keys,
         candidate_pairs, match_scores, clusters, merged_events, dedup_stats, upsert_merge, upsert_split, prune, health_counter, run_counters, mode_per_user,
-        html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, stream_upsert, daily_windows,
+        html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
+        kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, stream_upsert, daily_windows,
     )
 }
 
@@ -319,7 +390,33 @@ _DAYS = "[" + ", ".join(f"'{d}'" for d in dt.WEEKDAY_LABELS) + "]"
 _YEAR = f"CASE WHEN year(start) <> {REF.year} OR year({{0}}) <> {REF.year} THEN ' ' || year({{0}}) ELSE '' END"
 _ONE = "day({0}) || ' ' || " + _MONTHS + "[month({0})] || " + _YEAR
 
+_BUILT = f"""WITH {RAW_SQL}, e AS (SELECT idx, source, reason, CASE kind WHEN 4 THEN 'Tüm Etkinlikler' ELSE name END AS title, venue, start,
+    CASE WHEN kind = 3 THEN start + 3 ELSE start END AS "end", CASE WHEN kind = 0 THEN 1230 END AS minute,
+    CASE WHEN s = 2 THEN 'konser' WHEN kind = 2 THEN 'tiyatro' WHEN kind = 7 THEN 'diger' ELSE 'diger' END AS category,
+    CASE WHEN kind = 0 THEN 150.0::DOUBLE END AS low, is_free, kind, name FROM b)"""
+
+_PAGES_SQL = f"""WITH p AS (SELECT p_partkey AS page, p_partkey % 3 AS kind, p_name AS name, p_brand AS brand, p_size AS size, strftime(DATE '{ER_REF}' + p_size, '%Y-%m-%d') AS iso FROM part),
+    x AS (SELECT page, 'jsonld' AS strategy, 0 AS card_ord, name AS title, iso || 'T21:00' AS date_text, brand AS venue, size || '.0 TL - 900.0 TL' AS price_text, '' AS url FROM p WHERE kind = 0
+      UNION ALL SELECT page, 'nextdata', 0, name, iso, brand, size || ' TL', '' FROM p WHERE kind = 1
+      UNION ALL SELECT page, 'nextdata', 2, 'second name', 'yarın 20:00', '', '', '' FROM p WHERE kind = 1
+      UNION ALL SELECT page, 'selectors', i, name || ' no' || i, iso, brand, '', '/e/' || i FROM p, range(4) t(i) WHERE kind = 2)"""
+
 ORACLES = {
+    "build_event": _BUILT + ' SELECT idx, source, reason, title, venue, start, "end", minute, category, low, is_free FROM e',
+    "kept_events": _BUILT + """ SELECT idx, source, substr(sha1(name || '|' || start || '|' || CASE WHEN kind = 2 THEN 'bostanli suat taser' WHEN length(venue) = 7 THEN 'brand' ELSE lower(replace(venue, '#', ' ')) END), 1, 16) AS uid,
+        CASE source WHEN 'src0' THEN 90 WHEN 'src1' THEN 10 WHEN 'src2' THEN 50 END AS priority FROM e WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY source, uid ORDER BY idx) = 1""",
+    "source_report": _BUILT + """ SELECT k.source, count(e.idx) AS found, count(e.idx) FILTER (reason IS NULL) AS kept, count(e.idx) FILTER (reason IN ('junk', 'no_city')) AS filtered,
+        count(e.idx) FILTER (reason = 'other_city') AS other_city, count(e.idx) FILTER (reason = 'no_date') AS no_date, count(e.idx) FILTER (reason = 'past') AS past
+        FROM (SELECT unnest(['src0', 'src1', 'src2', 'src3', 'src9']) AS source) k LEFT JOIN e ON e.source = k.source GROUP BY 1""",
+    "extracted_events": _PAGES_SQL + " SELECT * FROM x",
+    "extracted_counts": _PAGES_SQL + " SELECT strategy, count(*) AS found, count(*) AS dated FROM x GROUP BY 1",
+    "stats_message": f"""WITH {EVENTS_SQL}, a AS (SELECT * FROM e WHERE "end" >= DATE '{REF}'), c AS (SELECT category, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, category LIMIT 10)
+        SELECT '<b>📊 Bot Durumu</b>' || chr(10) || chr(10) || 'Gelecek etkinlik: <b>' || (SELECT count(*) FROM a) || '</b>' || chr(10) || 'Bunlardan ücretsiz: <b>' || (SELECT count(*) FILTER (is_free) FROM a)
+        || '</b>' || chr(10) || 'Birden fazla kaynakta doğrulanan: <b>' || (SELECT count(*) FILTER (source_count > 1) FROM a) || '</b>' || chr(10) || 'Veritabanındaki toplam kayıt: ' || (SELECT count(*) FROM e)
+        || chr(10) || chr(10) || '<b>Kategoriler</b>' || chr(10) || (SELECT string_agg('• ' || category || ': ' || n, chr(10) ORDER BY n DESC, category) FROM c) AS message""",
+    "day_messages": f"""WITH {EVENTS_SQL} SELECT category, true AS fits, count(*) AS shown, count(DISTINCT start) AS days FROM e WHERE {_within('bu_hafta')} GROUP BY 1""",
+    "broken_sources": """WITH s AS (SELECT user_id, max(event_id) FILTER (event_type = 'purchase') AS ok FROM events GROUP BY 1)
+        SELECT s.user_id, count(e.event_id) AS failures FROM s JOIN events e ON e.user_id = s.user_id AND e.event_type <> 'purchase' AND (s.ok IS NULL OR e.event_id > s.ok) GROUP BY 1 HAVING count(e.event_id) >= 3""",
     "bucket_list": f"WITH {EVENTS_SQL} SELECT {_COLS} FROM e WHERE {_within('bu_hafta')}",
     "filtered_list": f"WITH {EVENTS_SQL} SELECT {_COLS} FROM e WHERE {_within('bu_ay')} AND is_free AND category IN ('economy', 'promo') AND source_count >= 2",
     "search_folded": f"""WITH {EVENTS_SQL}, f AS (SELECT * FROM e WHERE "end" >= DATE '{REF}' ORDER BY start, title, uid LIMIT 800)

@@ -186,3 +186,81 @@ def test_stream_in_two_batches(spark, tmp_path):
     t = store.Table(spark, str(tmp_path / "t"))
     ingest.upsert_stream(ingest.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), t, str(tmp_path / "c"), "user_id", ["ts", "event_id"])
     assert {(r.user_id, r.n, r.last.event_type) for r in t.read().collect()} == {(1, 2, "b"), (2, 1, "c")}
+
+
+def test_build_cleans_titles_and_finds_dates(spark):
+    from eventloom.operators import build
+
+    ref = date(2026, 8, 27)
+    sources = spark.createDataFrame([("a", False, None, False, 90), ("b", True, "konser", True, None)], "key string, city_filter boolean, default_category string, free_by_default boolean, priority int")
+    rows = [
+        (1, "a", "Kuş Sesleri 18 Eylül 2026 / Bostanlı Suat Taşer Tiyatrosu GÜNCEL", None, None, None, "100 TL"),
+        (2, "a", "Deniz Arena", "12.09.2026", "2026-09-10", "Deniz Arena", None),
+        (3, "a", "Uzun Sergi", "12.09.2026", "2026-10-01", None, None),
+        (4, "b", "İzmir buluşması", "yarın 20:00", None, None, None),
+        (5, "b", "Yersiz buluşma", "yarın 20:00", None, None, None),
+        (6, "a", "12 Ekim 2026", None, None, None, None),
+        (7, "a", None, "yarın", None, None, None),
+    ]
+    raw = spark.createDataFrame(rows, "idx long, source string, title string, date_text string, end_text string, venue string, price_text string")
+    got = {r.idx: r for r in build.judged(raw, sources, ref).collect()}
+    assert (got[1].title, got[1].venue, got[1].start, got[1].reason) == ("Kuş Sesleri", "Bostanlı Suat Taşer Tiyatrosu", date(2026, 9, 18), None)
+    assert got[1].price["min"] == 100 and not got[1].price["is_free"]
+    assert (got[2].title, got[2].end) == ("Deniz Arena", date(2026, 9, 12))  # an earlier end is none
+    assert (got[3].start, got[3].end, got[3].category) == (date(2026, 9, 12), date(2026, 10, 1), "sergi")
+    assert (got[4].start, got[4].minute, got[4].category, got[4].price["is_free"]) == (date(2026, 8, 28), 1200, "konser", True)
+    assert got[5].reason == "no_city" and got[6].reason == "junk"
+    assert {r.idx: r.priority for r in build.with_priority(raw, sources).collect()} == {1: 90, 2: 90, 3: 90, 4: 50, 5: 50, 6: 90, 7: 90}
+
+
+def test_scrape_flow_reaches_the_store(spark, tmp_path):
+    from eventloom.operators import build, store
+
+    ref = date(2026, 8, 27)
+    sources = spark.createDataFrame([("a", False, None, False, 90), ("b", False, None, False, 10), ("c", False, None, False, 5)], "key string, city_filter boolean, default_category string, free_by_default boolean, priority int")
+    rows = [
+        (1, "a", "p1", "jsonld", 0, "Kuş Sesleri", "2026-09-01", "Deniz Arena"), (2, "b", "p2", "selectors", 2, "Kuş Sesleri Konseri", "2026-09-01", "Deniz Arena"),
+        (3, "b", "p2", "heuristic", 3, "Başka bir şey", "2026-09-02", None), (4, "b", "p2", "selectors", 2, "Geçmiş oyun", "2020-01-01", None),
+    ]
+    raw = spark.createDataFrame(rows, "idx long, source string, page string, strategy string, strategy_ord int, title string, date_text string, venue string")
+    judged, merged = build.scrape(raw, sources, ref)
+    assert [(r.records, r.source_count, r.start) for r in merged.collect()] == [(2, 2, date(2026, 9, 1))]
+    report = {r.source: (r.found, r.kept, r.past) for r in build.source_report(judged, sources).collect()}
+    assert report == {"a": (1, 1, 0), "b": (2, 1, 1), "c": (0, 0, 0)}
+    table = store.Table(spark, str(tmp_path / "events"))
+    from eventloom.functions import text as tx
+    from eventloom.operators import resolve
+
+    out = merged.withColumn("uid", resolve.event_uid(tx.normalize_title(F.col("title")), F.col("start"), tx.normalize_venue(F.col("venue")))).select("uid", "title", "start", "end")
+    first = build.store_events(table, out, datetime(2026, 8, 27)).collect()
+    again = build.store_events(table, out, datetime(2026, 8, 28)).collect()
+    assert len(first) == len(again) == 1 and again[0].first_seen == datetime(2026, 8, 27) and again[0].last_seen == datetime(2026, 8, 28)
+
+
+def test_day_messages_repeat_header_and_heading(spark):
+    from eventloom.operators import render
+
+    rows = [("k", i, f"Event {i:03d} " + "x" * 60, date(2026, 8, 27 + i % 2)) for i in range(150)] + [("j", 0, "y" * 5000, date(2026, 8, 27))]
+    df = spark.createDataFrame(rows, "k string, uid long, title string, start date").withColumns({
+        "end": F.col("start"), "minute": F.lit(None).cast("int"), "url": F.lit(""), "category": F.lit("konser"), "venue": F.lit("Arena"), "price_label": F.lit("1 ₺"), "is_free": F.lit(False), "source_count": F.lit(1),
+    })
+    got = {}
+    for r in render.by_day(df, "k", F.lit("<b>H</b>"), date(2026, 8, 27)).collect():
+        got.setdefault(r.k, []).append((r.n, r.message))
+    texts = [m for _, m in sorted(got["k"])]
+    assert all(len(m) <= 4096 for m in texts) and len(got["j"]) == 1
+    assert texts[0].startswith("<b>H</b>\n\n<b>📅 Bugün — 27 Ağustos Perşembe</b>\n🎵 ")
+    assert all(m.startswith("<b>H</b> <i>(devam)</i>\n\n<b>📅 ") for m in texts[1:])
+    whole = "\n".join(texts)
+    assert whole.count("📍 Arena") == 150 and whole.count("<b>📅 Yarın — 28 Ağustos Cuma</b>\n") == 1
+
+
+def test_embedded_json_dates_and_synonyms(spark):
+    from eventloom.sources import extract as ex
+
+    body = '[{"title":"Good one","startDate":"2026-09-01","x":1},{"title":"Bad day","startDate":"2026-99-99","x":1},{"name":{},"title":"Second name","date":"yarın 20:00"}]'
+    page = spark.createDataFrame([(1, f'<script type="application/json">{body}</script>'), (2, None), (3, "")], "page_id long, html string")
+    rows = ex.extract(page, ref=date(2026, 8, 27))
+    assert sorted((r.page, r.title, r.date_text) for r in rows.collect()) == [(1, "Good one", "2026-09-01"), (1, "Second name", "yarın 20:00")]
+    counts = ex.strategy_counts(rows, date(2026, 8, 27))
+    assert [(r.page, r.strategy, r.dated) for r in ex.best_by_dates(counts).collect()] == [(1, "nextdata", 2)]

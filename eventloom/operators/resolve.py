@@ -41,11 +41,13 @@ def block_keys(start: Column, end: Column) -> Column:
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
     """(l_*, r_*) of records that share a block key and whose dates lie within the tolerance, each pair once."""
-    keyed = records.withColumn("block_key", F.explode(block_keys(F.col("start"), F.col("end"))))
-    left = keyed.select("block_key", *[F.col(c).alias(f"l_{c}") for c in records.columns])
-    right = keyed.select("block_key", *[F.col(c).alias(f"r_{c}") for c in records.columns])
+    keyed = records.withColumn("__keys", block_keys(F.col("start"), F.col("end"))).withColumn("block_key", F.explode("__keys"))
+    left = keyed.select("block_key", F.col("__keys").alias("__l"), *[F.col(c).alias(f"l_{c}") for c in records.columns])
+    right = keyed.select("block_key", F.col("__keys").alias("__r"), *[F.col(c).alias(f"r_{c}") for c in records.columns])
     near = (F.date_sub("l_start", TOLERANCE) <= F.col("r_end")) & (F.date_sub("r_start", TOLERANCE) <= F.col("l_end"))
-    return left.join(right, "block_key").filter((F.col("l_idx") < F.col("r_idx")) & near).drop("block_key").dropDuplicates(["l_idx", "r_idx"])
+    # a pair counts at the least key that both have, so none is made twice and no pair is shuffled
+    once = F.col("block_key") == F.array_min(F.array_intersect("__l", "__r"))
+    return left.join(right, "block_key").filter((F.col("l_idx") < F.col("r_idx")) & near & once).drop("block_key", "__l", "__r")
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -165,9 +167,9 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             return label
 
 
-def clusters(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(idx, root) of all records."""
-    edges = match_scores(records).filter(F.col("score") >= threshold).select("l_idx", "r_idx")
+def clusters(records: DataFrame, threshold: float = THRESHOLD, scores: DataFrame | None = None) -> DataFrame:
+    """(idx, root) of all records; ``scores`` if they are known."""
+    edges = (match_scores(records) if scores is None else scores).filter(F.col("score") >= threshold).select("l_idx", "r_idx")
     return components(edges, records.select("idx"))
 
 
@@ -245,3 +247,8 @@ def merge_clusters(records: DataFrame, roots: DataFrame) -> DataFrame:
 def event_uid(title_key: Column, start: Column, venue_key: Column) -> Column:
     """The first 16 hex digits of sha1 over title key, first day and venue key."""
     return F.substring(F.sha1(F.concat_ws("|", title_key, start.cast("string"), venue_key).cast("binary")), 1, 16)
+
+
+def final_order(events: DataFrame) -> DataFrame:
+    """Merged events by first day, most sources first, then title."""
+    return events.orderBy("start", F.desc("source_count"), "title")

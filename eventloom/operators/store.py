@@ -114,10 +114,12 @@ def consecutive_failures(history: DataFrame, key: str, order: str, failed: str)
 
 
 def run_log(results: DataFrame) -> DataFrame:
-    """One row of counters from results(source, kept, errors array)."""
+    """One row of counters from results(source, kept, errors array), with the first 20 errors by source."""
+    told = results.select(*(["source"] if "source" in results.columns else []), F.posexplode("errors").alias("at", "error"))
+    first = told.orderBy(*[c for c in ("source", "at", "error") if c in told.columns]).limit(20)
+    first = first.agg(F.collect_list("error").alias("errors"))
     return results.agg(
         F.sum("kept").alias("kept"),
         F.count(F.lit(1)).alias("sources"),
         F.count_if(F.size("errors") > 0).alias("failed"),
-        F.slice(F.flatten(F.collect_list("errors")), 1, 20).alias("errors"),
-    )
+    ).join(first, F.lit(True))

@@ -157,13 +157,14 @@ def clusters(spark, sf_dir):
 
 def merged_events(spark, sf_dir):
     x = listings(spark, sf_dir)
-    return resolve.merge_clusters(x, resolve.clusters(x))
+    return resolve.final_order(resolve.merge_clusters(x, resolve.clusters(x)))
 
 
 def dedup_stats(spark, sf_dir):
     x = listings(spark, sf_dir)
-    pairs = resolve.match_scores(x).agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(F.col("score") >= resolve.THRESHOLD).alias("matches"))
-    sizes = resolve.clusters(x).agg(F.count(F.lit(1)).alias("before"), F.countDistinct("root").alias("after"))
+    scores = resolve.checkpointed(resolve.match_scores(x), "er-scores")
+    pairs = scores.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(F.col("score") >= resolve.THRESHOLD).alias("matches"))
+    sizes = resolve.clusters(x, scores=scores).agg(F.count(F.lit(1)).alias("before"), F.countDistinct("root").alias("after"))
     return sizes.join(pairs, F.lit(True)).withColumn("merged", F.col("before") - F.col("after"))
 
 

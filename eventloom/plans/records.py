@@ -68,7 +68,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LISTINGS_SQL = f"""l AS (
-  SELECT p_partkey AS idx, p_name AS name, p_brand AS venue, (DATE '{ER_REF}' + p_size) AS start,
+  SELECT p_partkey AS idx, p_name AS name, p_brand AS venue, p_type, p_retailprice, (DATE '{ER_REF}' + p_size) AS start,
     (DATE '{ER_REF}' + p_size + (p_partkey % 5)::INTEGER) AS "end", p_partkey % 4 AS kind FROM part)"""
 
 

@@ -1,7 +1,7 @@
 """Queries of the engine by name, and their SQL equivalents.
 
 Each query takes (spark, sf_dir) and reads its whole tables. Queries without SQL
-(extraction, fuzzy scores, clusters, packing) are held against brute force in tests.
+(extraction from ``pages``) are held against fixtures in tests.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..operators import build, filters, notify, read, render, resolve, store
 from ..sources import extract as ex
 from ..sources import pages as pg
 from ..streaming import ingest
+from .matching_sql import CLUSTERS, MERGE, SCORES
 from .records import ER_REF, EVENTS_SQL, LISTINGS_SQL, RAW_SQL, REF, events, listings, raw_rows, source_list, table
 
 ORDER = ["start", "title", "uid"]
@@ -156,8 +157,11 @@ def clusters(spark, sf_dir):
 
 
 def merged_events(spark, sf_dir):
+    """Merged listings in their final order; sources and their titles are told as text."""
     x = listings(spark, sf_dir)
-    return resolve.final_order(resolve.merge_clusters(x, resolve.clusters(x)))
+    m = resolve.final_order(resolve.merge_clusters(x, resolve.clusters(x)))
+    told = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("=", s["source"], s[name])), ";") for c, name in (("sources", "url"), ("source_titles", "title"))}
+    return m.withColumns(told)
 
 
 def dedup_stats(spark, sf_dir):
@@ -396,6 +400,42 @@ _BUILT = f"""WITH {RAW_SQL}, e AS (SELECT idx, source, reason, CASE kind WHEN 4
     CASE WHEN s = 2 THEN 'konser' WHEN kind = 2 THEN 'tiyatro' WHEN kind = 7 THEN 'diger' ELSE 'diger' END AS category,
     CASE WHEN kind = 0 THEN 150.0::DOUBLE END AS low, is_free, kind, name FROM b)"""
 
+_PLACE = "CASE WHEN length({0}) = 7 THEN 'brand' ELSE lower(replace({0}, '#', ' ')) END"
+
+_NAMED = f"""WITH RECURSIVE {LISTINGS_SQL}, n AS (SELECT idx, name AS key, {_PLACE.format('venue')} AS place, start, "end" FROM l), """
+
+_TOLD = """string_agg(source || '=' || {0}, ';' ORDER BY first)"""
+
+_MERGED = f"""{_NAMED} r AS (SELECT idx, kind, name, venue, start, "end", CASE WHEN kind > 0 THEN (idx % 24)::INTEGER * 60 END AS minute, CASE WHEN kind = 3 THEN 'diger' ELSE lower(p_type) END AS category,
+      CASE WHEN kind = 1 THEN 'about ' || name END AS description, 'src' || kind AS source, 'https://www.example.com/e/' || idx || '/' AS url, kind * 10 AS priority, kind IN (0, 2) AS tidy,
+      CASE kind WHEN 0 THEN name || ' Konseri' WHEN 1 THEN 'İzmir | ' || name WHEN 2 THEN name || ' (Bilet) 2026' ELSE upper(name) END AS listed,
+      idx % 7 = 0 AS free, CASE WHEN idx % 7 > 1 THEN p_retailprice END AS low, p_retailprice || ' TL' AS raw FROM l),
+  {MERGE}, tops AS (SELECT root, min(start) FILTER (ord = 1) AS start, greatest(max("end"), min(start) FILTER (ord = 1)) AS "end", min(venue) FILTER (ord = 1) AS venue,
+      arg_min(minute, ord) FILTER (minute IS NOT NULL) AS minute, arg_min(description, ord) FILTER (description IS NOT NULL) AS description,
+      coalesce(arg_min(category, fold) FILTER (category <> 'diger'), 'diger') AS category, count(*) AS records,
+      min(CASE kind WHEN 3 THEN array_to_string(list_transform(string_split(translate(upper(name), 'I', 'ı'), ' '), lambda w: translate(substr(w, 1, 1), 'ıi', 'Iİ') || lower(substr(w, 2))), ' ') ELSE listed END) FILTER (ord = 1) AS title,
+      count(low) AS paid, count(*) FILTER (free OR low IS NOT NULL) AS known, min(low) AS price_min, max(low) AS high,
+      arg_min(raw, fold) FILTER (low IS NOT NULL) AS paid_raw, arg_min(raw, fold) FILTER (free) AS free_raw, arg_max(raw, fold) AS last_raw FROM o GROUP BY 1),
+  told AS (SELECT root, count(*)::INTEGER AS source_count, {_TOLD.format('url')} AS sources, {_TOLD.format('listed')} AS source_titles FROM by_source GROUP BY 1)
+  SELECT root, title, start, "end", minute, venue, description, NULL::VARCHAR AS image, category, NULL::TIMESTAMP AS first_seen, records, known > 0 AND paid = 0 AS is_free, price_min,
+    CASE WHEN paid > 1 AND high <> price_min THEN high END AS price_max, CASE WHEN paid > 0 THEN paid_raw WHEN known > 0 THEN free_raw ELSE last_raw END AS price_raw, false AS needs_registration,
+    sources, source_titles, source_count FROM tops JOIN told USING (root)"""
+
+# kinds that stay hold the name as their title: the date and the venue go
+_SCRAPED = _BUILT.replace("WITH r", "WITH RECURSIVE raw_r", 1).replace("FROM r)", "FROM raw_r)", 1) + f""", r AS (
+    SELECT e.*, name AS listed, CASE source WHEN 'src0' THEN 90 WHEN 'src1' THEN 10 ELSE 50 END AS priority, true AS tidy, 'https://example.com/' || idx AS url,
+      CASE WHEN kind = 2 THEN 'bostanli suat taser' ELSE {_PLACE.format('venue')} END AS place FROM e WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY source, name, start, place ORDER BY idx) = 1),
+  n AS (SELECT idx, name AS key, place, start, "end" FROM r), {MERGE}
+  SELECT root, min(name) FILTER (ord = 1) AS title, min(venue) FILTER (ord = 1) AS venue, min(start) FILTER (ord = 1) AS start, max("end") AS "end",
+    coalesce(arg_min(category, fold) FILTER (category <> 'diger'), 'diger') AS category, count(DISTINCT source)::INTEGER AS source_count, count(*) AS records FROM o GROUP BY 1"""
+
+_PACKED = """WITH RECURSIVE l AS (SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS i, '<b>' || n_name || '</b>' AS header,
+      '🎵 <b>' || c_name || '</b>' || chr(10) || '   bugün · 📍 ' || c_mktsegment || chr(10) || '   100 ₺ · 🔗 2 kaynak' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  pack AS (SELECT n_name, i, 1::BIGINT AS n, length(header) + 1 + length(line) AS size FROM l WHERE i = 1
+    UNION ALL SELECT l.n_name, l.i, CASE WHEN p.size + length(line) + 1 > 3800 THEN p.n + 1 ELSE p.n END,
+      CASE WHEN p.size + length(line) + 1 > 3800 THEN length(header || ' <i>(devam)</i>') + 1 + length(line) ELSE p.size + length(line) + 1 END FROM pack p JOIN l ON l.n_name = p.n_name AND l.i = p.i + 1)
+  SELECT n_name, n, min(header) || CASE WHEN n > 1 THEN ' <i>(devam)</i>' ELSE '' END || chr(10) || string_agg(line, chr(10) ORDER BY i) AS message FROM pack JOIN l USING (n_name, i) GROUP BY 1, 2"""
+
 _PAGES_SQL = f"""WITH p AS (SELECT p_partkey AS page, p_partkey % 3 AS kind, p_name AS name, p_brand AS brand, p_size AS size, strftime(DATE '{ER_REF}' + p_size, '%Y-%m-%d') AS iso FROM part),
     x AS (SELECT page, 'jsonld' AS strategy, 0 AS card_ord, name AS title, iso || 'T21:00' AS date_text, brand AS venue, size || '.0 TL - 900.0 TL' AS price_text, '' AS url FROM p WHERE kind = 0
       UNION ALL SELECT page, 'nextdata', 0, name, iso, brand, size || ' TL', '' FROM p WHERE kind = 1
@@ -403,6 +443,13 @@ _PAGES_SQL = f"""WITH p AS (SELECT p_partkey AS page, p_partkey % 3 AS kind, p_n
       UNION ALL SELECT page, 'selectors', i, name || ' no' || i, iso, brand, '', '/e/' || i FROM p, range(4) t(i) WHERE kind = 2)"""
 
 ORACLES = {
+    "match_scores": f"{_NAMED}{SCORES} SELECT l_idx, r_idx, round(title_score, 9) AS title_score, round(venue_score, 9) AS venue_score, round(score, 9) AS score FROM m",
+    "clusters": f"{_NAMED}{CLUSTERS} SELECT idx, root FROM c",
+    "dedup_stats": f"""{_NAMED}{CLUSTERS} SELECT (SELECT count(*) FROM n) AS before, (SELECT count(DISTINCT root) FROM c) AS after, (SELECT count(*) FROM m) AS comparisons,
+        (SELECT count(*) FILTER (score >= 0.82) FROM m) AS matches, (SELECT count(*) - count(DISTINCT root) FROM c) AS merged""",
+    "merged_events": _MERGED,
+    "scraped_events": _SCRAPED,
+    "packed_messages": _PACKED,
     "build_event": _BUILT + ' SELECT idx, source, reason, title, venue, start, "end", minute, category, low, is_free FROM e',
     "kept_events": _BUILT + """ SELECT idx, source, substr(sha1(name || '|' || start || '|' || CASE WHEN kind = 2 THEN 'bostanli suat taser' WHEN length(venue) = 7 THEN 'brand' ELSE lower(replace(venue, '#', ' ')) END), 1, 16) AS uid,
         CASE source WHEN 'src0' THEN 90 WHEN 'src1' THEN 10 WHEN 'src2' THEN 50 END AS priority FROM e WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY source, uid ORDER BY idx) = 1""",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,11 +23,18 @@ TITLE_WEIGHT, VENUE_WEIGHT = 0.72, 0.28
 VENUE_CONFLICT, CONFLICT_FACTOR, NO_VENUE_FACTOR = 0.4, 0.75, 0.97
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (root or "/tmp/checkpoints").rstrip("/")
+
+
 def checkpointed(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared checkpoint folder and read back."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/eventloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/eventloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -40,10 +40,15 @@ class Table:
         return any(v.endswith(f"-{tag}") for v in self._versions())
 
     def replace(self, df: DataFrame, tag: str | None = None) -> DataFrame:
-        """A new version; with a tag, what an interrupted write of it left is overwritten."""
+        """A new version; with a tag, what an interrupted write of it left is overwritten.
+
+        The last version stays for its readers, rows of those before go; their marks stay and tell finished tags.
+        """
         name = f"{len(self._versions()):08d}-{tag or uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         self._fs.create(self._Path(f"{self.path}/_versions/{name}")).close()
+        for old in self._versions()[-3:-2]:
+            self._fs.delete(self._Path(f"{self.path}/{old}"), True)
         return self.read()
 
 
@@ -89,6 +94,16 @@ def prune_old(events: DataFrame, ref: date, days: int = 30) -> DataFrame:
     return events.filter(F.col("end") >= F.lit(ref - timedelta(days=days)))
 
 
+def prune_all(events: DataFrame) -> DataFrame:
+    """No rows, for a full new scan."""
+    return events.limit(0)
+
+
+def pruned(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: how many of the rows ``before`` are not in ``after``."""
+    return before.select(key).join(after.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("deleted"))
+
+
 def mark_announced(events: DataFrame, uids: DataFrame) -> DataFrame:
     hit = uids.select("uid").distinct().withColumn("__hit", F.lit(True))
     return events.join(hit, "uid", "left").withColumn("announced", F.col("announced") | F.coalesce("__hit", F.lit(False))).drop("__hit")

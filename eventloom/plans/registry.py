@@ -15,7 +15,7 @@ from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import money as mn
 from ..functions import text as tx
-from ..operators import build, filters, notify, read, render, resolve, store
+from ..operators import build, filters, notify, read, render, resolve, store, subscribers
 from ..sources import extract as ex
 from ..sources import pages as pg
 from ..streaming import ingest
@@ -338,6 +338,38 @@ def digest_topk(spark, sf_dir):
     return d.select("chat_id", F.array_join("uids", ",").alias("uids"), "more", "free")
 
 
+def _chats(spark, sf_dir):
+    """Suppliers as stored subscribers; changes for every third of them and for chats from 1,000,000 on, one per customer."""
+    s = _subscribers(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chat_id"), F.col("s_name").alias("title")), "chat_id")
+    stored = s.withColumns({"active": F.lit(True), "digest_enabled": F.pmod("chat_id", F.lit(5)) > 0, "notify_new": F.pmod("chat_id", F.lit(2)) == 0})
+    again = stored.filter("chat_id % 3 = 0").select("chat_id", F.when(F.pmod("chat_id", F.lit(2)) == 0, "").otherwise("renamed").alias("title"), F.lit(True).alias("notify_new"), F.lit(None).cast("boolean").alias("free_only"))
+    new = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000).alias("chat_id"), F.col("c_name").alias("title"), F.lit(None).cast("boolean").alias("notify_new"), (F.pmod("c_custkey", F.lit(2)) == 0).alias("free_only"))
+    return subscribers.upsert(stored, again.unionByName(new))
+
+
+def subscriber_upsert(spark, sf_dir):
+    return _chats(spark, sf_dir).select("chat_id", "title", "active", "digest_enabled", "notify_new", "free_only", F.array_join("categories", ",").alias("categories"), F.array_join("keywords", ",").alias("keywords"))
+
+
+def subscriber_list(spark, sf_dir):
+    """Active subscribers who want digests and news, after those of the nations' keys were deactivated."""
+    gone = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("chat_id"))
+    return subscribers.listed(subscribers.deactivate(_chats(spark, sf_dir), gone), digest_only=True, notify_only=True).select("chat_id", "title")
+
+
+def bucket_replies(spark, sf_dir):
+    """What each subscriber sees of tomorrow: the first uid, the last, and how many."""
+    r = subscribers.bucket_replies(events(spark, sf_dir), _chats(spark, sf_dir), "yarin", REF, ORDER)
+    return r.groupBy("chat_id").agg(F.count(F.lit(1)).alias("shown"), F.min_by("uid", "n").alias("first_uid"), F.max_by("uid", "n").alias("last_uid"))
+
+
+def pruned_rows(spark, sf_dir):
+    """How many stored rows the two prunings remove."""
+    old, _ = _stored(spark, sf_dir)
+    old = old.withColumn("end", F.col("last_seen").cast("date"))
+    return store.pruned(old, store.prune_old(store.prune_stale(old, datetime(1999, 1, 1), 400), date(1999, 1, 1), 200), "o_orderkey")
+
+
 def packed_messages(spark, sf_dir):
     """Customers of each nation as lines of messages."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -348,8 +380,7 @@ def packed_messages(spark, sf_dir):
 
 def stream_upsert(spark, sf_dir):
     """The events table as a file stream, upserted by user."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    base = f"{root}/eventloom-stream-{uuid.uuid4().hex}"
+    base = f"{resolve.shared_root(spark)}/eventloom-stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events*.parquet"
     target = store.Table(spark, f"{base}/table")
     stream = ingest.event_stream(spark, path, table(spark, sf_dir, "events").schema)
@@ -370,7 +401,8 @@ QUERIES = {
         display_titles, event_uids, price_roundtrip, date_roundtrip, date_labels, category_guess, city_filter, drop_reasons, first_per_source, block_keys,
         candidate_pairs, match_scores, clusters, merged_events, dedup_stats, upsert_merge, upsert_split, prune, health_counter, run_counters, mode_per_user,
         html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
-        kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, stream_upsert, daily_windows,
+        kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, subscriber_upsert,
+        subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows,
     )
 }
 
@@ -442,7 +474,21 @@ _PAGES_SQL = f"""WITH p AS (SELECT p_partkey AS page, p_partkey % 3 AS kind, p_n
       UNION ALL SELECT page, 'nextdata', 2, 'second name', 'yarın 20:00', '', '', '' FROM p WHERE kind = 1
       UNION ALL SELECT page, 'selectors', i, name || ' no' || i, iso, brand, '', '/e/' || i FROM p, range(4) t(i) WHERE kind = 2)"""
 
+_CHATS = """chats AS (
+    SELECT s_suppkey AS chat_id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 <> 0 THEN 'renamed' ELSE s_name END AS title, true AS active, s_suppkey % 5 > 0 AS digest_enabled,
+      s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 AS notify_new, s_suppkey % 4 = 0 AS free_only, CASE WHEN s_suppkey % 4 = 1 THEN 'economy,promo' ELSE '' END AS categories,
+      CASE WHEN s_suppkey % 4 = 2 THEN 'ring' ELSE '' END AS keywords FROM supplier
+    UNION ALL SELECT c_custkey + 1000000, c_name, true, true, true, c_custkey % 2 = 0, '', '' FROM customer)"""
+
 ORACLES = {
+    "subscriber_upsert": f"WITH {_CHATS} SELECT * FROM chats",
+    "subscriber_list": f"WITH {_CHATS} SELECT chat_id, title FROM chats WHERE digest_enabled AND notify_new AND chat_id NOT IN (SELECT n_nationkey FROM nation)",
+    "bucket_replies": f"""WITH {EVENTS_SQL}, {_CHATS}, g AS (SELECT DISTINCT free_only, categories FROM chats), m AS (
+        SELECT g.*, e.uid, row_number() OVER (PARTITION BY free_only, categories ORDER BY start, title, uid) AS n FROM e JOIN g ON (NOT free_only OR is_free)
+          AND (categories = '' OR list_contains(string_split(categories, ','), category)) WHERE {_within('yarin')} QUALIFY n <= 40)
+        SELECT chat_id, count(*) AS shown, arg_min(uid, n) AS first_uid, arg_max(uid, n) AS last_uid FROM chats JOIN m USING (free_only, categories) GROUP BY 1""",
+    "pruned_rows": """SELECT count(*) AS deleted FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'
+        AND (o_orderdate < TIMESTAMP '1999-01-01' - INTERVAL 400 DAY OR o_orderdate::DATE < DATE '1999-01-01' - 200)""",
     "match_scores": f"{_NAMED}{SCORES} SELECT l_idx, r_idx, round(title_score, 9) AS title_score, round(venue_score, 9) AS venue_score, round(score, 9) AS score FROM m",
     "clusters": f"{_NAMED}{CLUSTERS} SELECT idx, root FROM c",
     "dedup_stats": f"""{_NAMED}{CLUSTERS} SELECT (SELECT count(*) FROM n) AS before, (SELECT count(DISTINCT root) FROM c) AS after, (SELECT count(*) FROM m) AS comparisons,

@@ -264,3 +264,36 @@ def test_embedded_json_dates_and_synonyms(spark):
     assert sorted((r.page, r.title, r.date_text) for r in rows.collect()) == [(1, "Good one", "2026-09-01"), (1, "Second name", "yarın 20:00")]
     counts = ex.strategy_counts(rows, date(2026, 8, 27))
     assert [(r.page, r.strategy, r.dated) for r in ex.best_by_dates(counts).collect()] == [(1, "nextdata", 2)]
+
+
+def test_subscribers(spark):
+    from eventloom.operators import subscribers as sb
+
+    kind = "chat_id long, title string, active boolean, digest_enabled boolean, notify_new boolean, free_only boolean, categories array<string>, keywords array<string>"
+    stored = spark.createDataFrame([(1, "a", True, True, False, True, ["konser"], []), (2, None, True, False, True, False, None, None)], kind)
+    changes = spark.createDataFrame([(1, "", True), (3, "c", None)], "chat_id long, title string, notify_new boolean")
+    after = sb.upsert(stored, changes)
+    assert after.columns == stored.columns
+    got = {r.chat_id: r for r in after.collect()}
+    assert (got[1].title, got[1].notify_new, got[1].free_only, got[1].categories) == ("a", True, True, ["konser"])
+    assert tuple(got[3]) == (3, "c", True, True, True, False, [], []) and got[2].categories == []
+    off = sb.deactivate(after, spark.createDataFrame([(3,), (3,), (9,)], "chat_id long"))
+    assert [r.chat_id for r in sb.listed(off).orderBy("chat_id").collect()] == [1, 2]
+    assert [r.chat_id for r in sb.listed(off, digest_only=True, notify_only=True).collect()] == [1]
+    day = date(2026, 8, 27)
+    rows = [("x", "t1", "", day, day, "konser", True), ("y", "t2", None, day, day, "konser", False), ("z", None, "v", day, day, "spor", True)]
+    events = spark.createDataFrame(rows, "uid string, title string, venue string, start date, end date, category string, is_free boolean")
+    shown = sb.bucket_replies(events, stored, "bugun", day, ["uid"], 2).select("chat_id", "n", "uid").collect()
+    assert sorted(map(tuple, shown)) == [(1, 1, "x"), (2, 1, "x"), (2, 2, "y")]
+    assert sb.bucket_replies(events.limit(0), stored, "bugun", day, ["uid"]).isEmpty()
+
+
+def test_store_keeps_two_versions_and_their_tags(spark, tmp_path):
+    from eventloom.operators import store
+
+    t = store.Table(spark, str(tmp_path / "t"))
+    for k in range(4):
+        assert t.replace(spark.range(k + 1), f"tag{k}").count() == k + 1
+    folders = [p.name for p in (tmp_path / "t").iterdir() if p.name != "_versions"]
+    assert len(folders) == 2 and all(t.has(f"tag{k}") for k in range(4)) and t.read().count() == 4
+    assert store.pruned(spark.range(5), spark.range(2), "id").first().deleted == 3 and store.prune_all(spark.range(3)).count() == 0

@@ -25,3 +25,33 @@ def test_stages_and_run(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and clashing columns: every stage gives the columns it got and keeps a row of each clean text."""
+    rows = corpus(60, 5)
+    width = len(rows[0])
+    names = [c.split()[0] for c in DOCS.split(", ")]
+    at = names.index("text")
+    odd = [tuple(None for _ in range(width)), rows[0], rows[0], tuple("" if i == at else v for i, v in enumerate(rows[1])), tuple(None if i not in (0, at) else v for i, v in enumerate(rows[2]))]
+    docs = spark.createDataFrame(rows + odd, DOCS)
+    for name in ("score", "predicted", "digest", "component_id", "shard", "row", "bucket", "size", "sequence_id"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+        assert docs.filter("score <> 'mine' OR shard <> 'mine'").isEmpty() and not docs.isEmpty(), name
+    assert not corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).isEmpty()
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], DOCS)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.isEmpty(), name

@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -30,7 +30,11 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v): every vertex but its component's least, with that least vertex. Edges are longs u, v."""
+    """(u, v): every vertex but its component's least, with that least vertex. Edges are longs u, v.
+
+    Defined cases: edges from a vertex to itself, repeated edges and edges with a null end
+    count for nothing; other columns are ignored; no edges give no rows.
+    """
     now = staged(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:

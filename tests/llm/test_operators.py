@@ -447,6 +447,14 @@ def test_components(spark):
     assert got == {v: find(v) for v in root if find(v) != v}
 
 
+def test_components_of_odd_edges(spark):
+    from eventloom.llm.components import components
+
+    edges = spark.createDataFrame([(1, 1, "x"), (5, 3, "x"), (3, 5, "x"), (5, 3, None), (None, 3, "x"), (7, None, "x")], "u long, v long, comp string")
+    assert sorted(map(tuple, components(edges).collect())) == [(5, 3)]
+    assert components(edges.limit(0)).isEmpty()
+
+
 def test_quality_and_toxicity(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices(["an", "re", "tion", "the", "of"], k=rng.randint(1, 3))) for _ in range(200)]

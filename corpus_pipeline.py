@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept. Between stages the rows are written as Parquet to the folder that driver and
 executors share, and read again, so a lost executor repeats at most a stage's tasks.
+
+Defined cases, for every stage: null texts count as empty; null ids, sources and other
+columns pass unchanged (in ties of equal or linked texts a known id stays before a null
+one); rows that repeat id and text are rows of their own, and copies where a stage looks
+for copies; an empty table gives an empty one; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lattice_lm, licenses, mixing, near_join, packing, quality, repeats, toxicity, vptree
+from . import exact_dedup, importance, lattice_lm, licenses, mixing, near_join, packing, quality, repeats, spelling, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_repeated_strings": repeats.op10_repeated_strings,
+    "op12_importance_draw": importance.op12_importance_draw,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op12_importance_draw": importance.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }

@@ -8,9 +8,10 @@ pass adds them up along each whole text. A Gumbel term from a hash of the id mak
 greatest scores a draw without replacement.
 
 Which scores are drawn is found from the histogram of the integer scores alone. A
-score is read as four digits of 16 bits; within each prefix of digits the counts are
-summed from the greatest downwards, so that no window holds more than 65,536 rows, and
-the four sums together are the score's rank offset. Scores whose offset is below the
+score is read as digits of 16 or 8 bits; within each prefix of digits the counts are
+summed from the greatest downwards, so that no window holds more than 65,536 rows (256
+at the last digits, where most scores share the first ones), and these sums together
+are the score's rank offset. Scores whose offset is below the
 number to draw survive; only their rows are numbered, by id within each score. Rows
 that repeat id and score are numbered as one with its count and laid out afterwards.
 
@@ -40,8 +41,8 @@ NGRAM = 1
 SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
-#: Digits of a score, greatest first: how far each is shifted, and its width.
-SHIFTS, DIGIT = (48, 32, 16, 0), 16
+#: Digits of a score, greatest first: how far each is shifted, and how many bits it has.
+SHIFTS, BITS = (48, 32, 16, 8, 0), (16, 16, 16, 8, 8)
 #: Copies of one (score, id) that one row of the first layout stands for.
 COPIES = 4096
 #: A task forgets hashed features when it holds so many.
@@ -152,8 +153,7 @@ def rank_offsets(histogram: DataFrame) -> DataFrame:
     Level by level: a prefix of digits has its parent's offset and the counts of greater
     prefixes below that parent, of which there are at most 65,536.
     """
-    mask = (1 << DIGIT) - 1
-    digits = [F.shiftright("score", s) if s == SHIFTS[0] else F.shiftright("score", s).bitwiseAND(mask) for s in SHIFTS]
+    digits = [F.shiftright("score", s) if s == SHIFTS[0] else F.shiftright("score", s).bitwiseAND((1 << b) - 1) for s, b in zip(SHIFTS, BITS)]
     names = [f"d{k}" for k in range(len(SHIFTS))]
     rows = histogram.select("score", "n", *[d.alias(name) for d, name in zip(digits, names)])
     out = None

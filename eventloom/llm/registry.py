@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, importance, lattice_lm, licenses, mixing, near_join, packing, quality, repeats, spelling, toxicity, vptree
+from . import exact_dedup, importance, lattice_lm, licenses, mixing, near_join, packing, pii, quality, repeats, spelling, toxicity, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_repeated_strings": repeats.op10_repeated_strings,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_importance_draw": importance.op12_importance_draw,
     "op13_spelling": spelling.op13_spelling,
 }

@@ -33,6 +33,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,8 @@ LEAST_LETTERS, LEAST_COUNT, TIMES = 5, 3, 2
 HELD = 200_000
 #: Entries (words of near lengths) that may share a segment before they are cut again.
 HOT = 1000
+#: Pairs that are compared one by one, and letters that are compared at once.
+FEW, CELLS = 24, 4_000_000
 #: Entries of a shard, about.
 SHARD_ENTRIES = 50_000
 
@@ -151,37 +154,69 @@ def refined(entries: DataFrame, hot: int = HOT) -> DataFrame:
         entries = staged(_keyed(again), "segments")
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+
+
+def one_edit_pairs(owners: list[str], scanned: list[str]) -> Iterator[tuple[str, str]]:
+    """(scanned, owner) pairs that are one edit apart; the owners have one length."""
+    if len(owners) * len(scanned) <= FEW:
+        yield from ((x, y) for x in scanned for y in owners if one_edit(x, y))
+        return
+    own, size = _letters(owners), len(owners[0])
+    by_length = defaultdict(list)
+    for w in scanned:
+        by_length[len(w)].append(w)
+    for length, words in by_length.items():
+        step = max(1, CELLS // (len(owners) * max(size, length)))
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            other = _letters(part)
+            if length == size:
+                fits = (other[:, None, :] != own[None, :, :]).sum(axis=2) == 1
+            else:
+                short, long = (other[:, None, :], own[None, :, :]) if length < size else (own[None, :, :], other[:, None, :])
+                # what is equal from the front and from the back together covers the shorter word
+                front = np.minimum.accumulate(short == long[..., :-1], axis=2).sum(axis=2)
+                back = np.minimum.accumulate((short == long[..., 1:])[..., ::-1], axis=2).sum(axis=2)
+                fits = front + back >= min(length, size)
+            yield from ((part[i], owners[k]) for i, k in zip(*np.nonzero(fits)))
+
+
 def scan_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """(word, near) of one shard: an automaton of the owners' segments runs over all words of the shard."""
     import ahocorasick
 
-    owners: dict[str, dict[tuple[int, int, int, bool], list[str]]] = defaultdict(lambda: defaultdict(list))
+    # segment -> places of its owners: (front, size, head, tail) -> what stands at the other end -> number of the group
+    places: dict[str, dict[tuple[bool, int, int, int], dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
+    owners: list[list[str]] = []
     mine = rows[rows.own]
-    for word, size, head, tail, front in zip(mine.word, mine["size"], mine["head"], mine["tail"], mine.front):
-        owners[word[:head] if front else word[size - tail :]][size, head, tail, front].append(word)
+    for word, size, head, tail, front in zip(mine.word, mine["size"].tolist(), mine["head"].tolist(), mine["tail"].tolist(), mine.front.tolist()):
+        segment, rest = (word[:head], word[size - tail :]) if front else (word[size - tail :], word[:head])
+        groups = places[segment][front, size, head, tail]
+        if rest not in groups:
+            groups[rest] = len(owners)
+            owners.append([])
+        owners[groups[rest]].append(word)
+    if not owners:
+        return pd.DataFrame({"word": [], "near": []}, dtype=object)
     automaton = ahocorasick.Automaton()
-    for segment, roles in owners.items():
-        # the words under a role, by the end that the automaton does not see
-        filed_at = {r: defaultdict(list) for r in roles}
-        for (size, head, tail, front), words in roles.items():
-            for w in words:
-                filed_at[size, head, tail, front][w[size - tail :] if front else w[:head]].append(w)
-        automaton.add_word(segment, (len(segment), filed_at))
-    found: set[tuple[str, str]] = set()
-    if len(automaton):
-        automaton.make_automaton()
-        for scanned in rows.word.unique():
-            length = len(scanned)
-            for end, (n, roles) in automaton.iter(scanned):
-                first, last = end == n - 1, end == length - 1
-                if not (first or last):
-                    continue
-                for (size, head, tail, front), by_rest in roles.items():
-                    if not (first if front else last) or abs(size - length) > 1 or head + tail > length:
-                        continue
-                    for other in by_rest.get(scanned[length - tail :] if front else scanned[:head], ()):
-                        if one_edit(scanned, other):
-                            found.add((scanned, other))
+    for segment, at in places.items():
+        automaton.add_word(segment, (len(segment), [(*role, groups) for role, groups in at.items()]))
+    automaton.make_automaton()
+    hits: list[list[str]] = [[] for _ in owners]
+    for word in rows.word.unique():
+        length = len(word)
+        for end, (n, roles) in automaton.iter(word):
+            first, last = end == n - 1, end == length - 1
+            if first or last:
+                for front, size, head, tail, groups in roles:
+                    if (first if front else last) and -2 < size - length < 2 and head + tail <= length:
+                        group = groups.get(word[length - tail :] if front else word[:head])
+                        if group is not None:
+                            hits[group].append(word)
+    found = {pair for own, scanned in zip(owners, hits) if len(scanned) > 1 or scanned != own for pair in one_edit_pairs(own, scanned)}
     return pd.DataFrame(sorted(found), columns=["word", "near"])
 
 

@@ -288,3 +288,12 @@ def test_one_edit():
         cuts = lambda w: {(k, w[:k] + w[k + 1 :]) for k in range(len(w))}
         want = a != b and bool(cuts(a) & cuts(b) if len(a) == len(b) else a in {c for _, c in cuts(b)} or b in {c for _, c in cuts(a)})
         assert spelling.one_edit(a, b) == want, (a, b)
+
+
+def test_one_edit_of_many_words():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abÿ", k=rng.randint(3, 6))) for _ in range(300)})
+    for size in (3, 4, 5):
+        owners = [w for w in words if len(w) == size]
+        near = [w for w in words if abs(len(w) - size) < 2]
+        assert set(spelling.one_edit_pairs(owners, near)) == {(x, y) for x in near for y in owners if spelling.one_edit(x, y)}

@@ -1,7 +1,7 @@
 """Queries of the engine by name, and their SQL equivalents.
 
 Each query takes (spark, sf_dir) and reads its whole tables. Queries without SQL
-(extraction from ``pages``) are held against fixtures in tests.
+(extraction by look-alike cards) are held against fixtures in tests.
 """
 
 from __future__ import annotations
@@ -235,12 +235,21 @@ def page_urls(spark, sf_dir):
     return pg.paged_urls(n)
 
 
+_NAV = {"item": "nav li > a", "title": "a", "date": "a@href"}
+
+
+def _nav_rows(spark, sf_dir):
+    """The navigation links of all pages as rows: pages hold no events, but cards that selectors with child steps find."""
+    sources = spark.createDataFrame([("nav", ["selectors"], _NAV)], "key string, strategies array<string>, selectors map<string,string>")
+    return ex.extract(table(spark, sf_dir, "pages").withColumn("source", F.lit("nav")), sources, ER_REF)
+
+
 def extracted_rows(spark, sf_dir):
-    return ex.extract(table(spark, sf_dir, "pages"))
+    return _nav_rows(spark, sf_dir).select("page", "source", "strategy", "strategy_ord", "card_ord", "title", "date_text", "url")
 
 
 def strategy_counts(spark, sf_dir):
-    return ex.strategy_counts(ex.extract(table(spark, sf_dir, "pages")))
+    return ex.strategy_counts(_nav_rows(spark, sf_dir), ER_REF)
 
 
 def build_event(spark, sf_dir):
@@ -281,18 +290,24 @@ def _inline_pages(spark, sf_dir):
         F.lit('},{"title":"wrong day","startDate":"2026-99-99"},{"name":{},"title":"second name","date":"yarın 20:00"}]}}</script>'),
     )
     card = [F.concat(F.lit('<div class="ev"><h3>'), "p_name", F.lit(f' no{i}</h3><span class="d">'), iso, F.lit('</span><b class="v">'), "p_brand", F.lit(f'</b><a href="/e/{i}">go</a></div>')) for i in range(4)]
-    return p.select(F.col("p_partkey").alias("page_id"), F.when(kind == 0, ld).when(kind == 1, nd).otherwise(F.concat(*card)).alias("html"))
+    return p.select(F.col("p_partkey").alias("page_id"), F.lit("https://site.example/list?page=2").alias("url"), F.lit("inline").alias("source"), F.when(kind == 0, ld).when(kind == 1, nd).otherwise(F.concat(*card)).alias("html"))
+
+
+def _inline_rows(spark, sf_dir):
+    selectors = {"item": ".ev", "title": "h3", "date": ".d", "venue": ".v", "url": "a@href"}
+    sources = spark.createDataFrame([("inline", ["jsonld", "nextdata", "selectors"], selectors)], "key string, strategies array<string>, selectors map<string,string>")
+    return ex.extract(_inline_pages(spark, sf_dir), sources, ER_REF)
 
 
 def extracted_events(spark, sf_dir):
     """All rows of the strategies for JSON-LD, embedded JSON and selectors."""
-    x = ex.extract(_inline_pages(spark, sf_dir), ("jsonld", "nextdata", "selectors"), {"item": ".ev", "title": "h3", "date": ".d", "venue": ".v", "link": "a@href"}, ER_REF)
-    return x.select("page", "strategy", "card_ord", "title", "date_text", "venue", "price_text", "url")
+    x = _inline_rows(spark, sf_dir)
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("venue", "price_text", "url")]
+    return x.select("page", "strategy", "card_ord", "title", F.coalesce("start_text", "date_text").alias("date_text"), *blank)
 
 
 def extracted_counts(spark, sf_dir):
-    x = ex.extract(_inline_pages(spark, sf_dir), ("jsonld", "nextdata", "selectors"), {"item": ".ev", "title": "h3", "date": ".d"}, ER_REF)
-    return ex.strategy_counts(x, ER_REF).groupBy("strategy").agg(F.sum("found").alias("found"), F.sum("dated").alias("dated"))
+    return ex.strategy_counts(_inline_rows(spark, sf_dir), ER_REF).groupBy("strategy").agg(F.sum("found").alias("found"), F.sum("dated").alias("dated"))
 
 
 def day_messages(spark, sf_dir):
@@ -471,8 +486,8 @@ _PACKED = """WITH RECURSIVE l AS (SELECT n_name, row_number() OVER (PARTITION BY
 _PAGES_SQL = f"""WITH p AS (SELECT p_partkey AS page, p_partkey % 3 AS kind, p_name AS name, p_brand AS brand, p_size AS size, strftime(DATE '{ER_REF}' + p_size, '%Y-%m-%d') AS iso FROM part),
     x AS (SELECT page, 'jsonld' AS strategy, 0 AS card_ord, name AS title, iso || 'T21:00' AS date_text, brand AS venue, size || '.0 TL - 900.0 TL' AS price_text, '' AS url FROM p WHERE kind = 0
       UNION ALL SELECT page, 'nextdata', 0, name, iso, brand, size || ' TL', '' FROM p WHERE kind = 1
-      UNION ALL SELECT page, 'nextdata', 2, 'second name', 'yarın 20:00', '', '', '' FROM p WHERE kind = 1
-      UNION ALL SELECT page, 'selectors', i, name || ' no' || i, iso, brand, '', '/e/' || i FROM p, range(4) t(i) WHERE kind = 2)"""
+      UNION ALL SELECT page, 'nextdata', 1, 'second name', 'yarın 20:00', '', '', '' FROM p WHERE kind = 1
+      UNION ALL SELECT page, 'selectors', i, name || ' no' || i, iso, brand, '', 'https://site.example/e/' || i FROM p, range(4) t(i) WHERE kind = 2)"""
 
 _CHATS = """chats AS (
     SELECT s_suppkey AS chat_id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 <> 0 THEN 'renamed' ELSE s_name END AS title, true AS active, s_suppkey % 5 > 0 AS digest_enabled,
@@ -480,7 +495,15 @@ _CHATS = """chats AS (
       CASE WHEN s_suppkey % 4 = 2 THEN 'ring' ELSE '' END AS keywords FROM supplier
     UNION ALL SELECT c_custkey + 1000000, c_name, true, true, true, c_custkey % 2 = 0, '', '' FROM customer)"""
 
+_NAV_SQL = """WITH nav AS (SELECT page_id AS page, url AS base, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages),
+    a AS (SELECT page, base, unnest(list_transform(list_zip(regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a>', 2), range(0, 1000)), lambda z: {'href': z[1], 'title': z[2], 'k': z[3]})) AS z FROM nav),
+    t AS (SELECT page, base, z.href, trim(z.title) AS title, z.k FROM a WHERE z.href IS NOT NULL),
+    x AS (SELECT page, 'nav' AS source, 'selectors' AS strategy, 0 AS strategy_ord, row_number() OVER (PARTITION BY page ORDER BY k) - 1 AS card_ord, title, href AS date_text,
+      regexp_extract(base, '^([a-z]+://[^/?#]+)', 1) || href AS url FROM (SELECT * FROM t WHERE length(regexp_replace(title, '\\P{L}', '', 'g')) >= 3 QUALIFY row_number() OVER (PARTITION BY page, title, href ORDER BY k) = 1))"""
+
 ORACLES = {
+    "extracted_rows": _NAV_SQL + " SELECT * FROM x",
+    "strategy_counts": _NAV_SQL + " SELECT page, strategy, count(*) AS found, 0::BIGINT AS dated FROM x GROUP BY 1, 2",
     "subscriber_upsert": f"WITH {_CHATS} SELECT * FROM chats",
     "subscriber_list": f"WITH {_CHATS} SELECT chat_id, title FROM chats WHERE digest_enabled AND notify_new AND chat_id NOT IN (SELECT n_nationkey FROM nation)",
     "bucket_replies": f"""WITH {EVENTS_SQL}, {_CHATS}, g AS (SELECT DISTINCT free_only, categories FROM chats), m AS (

@@ -142,7 +142,7 @@ def test_messages_fit(spark):
     assert all(f"line {i} " in joined for i in range(120)) and rows[1].message.startswith("<b>head</b> <i>(devam)</i>")
 
 
-def test_subscribers(spark):
+def test_matches_of_subscribers(spark):
     e = spark.createDataFrame([("u1", "Rock Gecesi", "Arena", "konser", False), ("u2", "Hamlet", "AKM", "tiyatro", True)], "uid string, title string, venue string, category string, is_free boolean")
     s = spark.createDataFrame([(1, True, [], []), (2, False, ["konser"], []), (3, False, [], ["hamlet"]), (4, False, [], [])], "chat_id int, free_only boolean, categories array<string>, keywords array<string>")
     got = {(r.chat_id, r.uid) for r in notify.matches(e, s).collect()}
@@ -156,7 +156,8 @@ CARDS = "".join(f'<div class="ListCard_root__x{i}"><a href="/e/{i}"><h3>Etkinlik
 
 def test_extraction(spark):
     html = f"<html><nav><ul><li><a href=/>Ana</a></li></ul></nav>{JSONLD}{NEXT}{CARDS}<footer>2026</footer></html>"
-    rows = ex.extract(spark.createDataFrame([(1, html), (2, None), (3, "<p><b>x")], "page_id long, html string"), spec={"item": "div", "title": "h3"})
+    sources = spark.createDataFrame([("s", list(ex.STRATEGIES), {"item": "div", "title": "h3"})], "key string, strategies array<string>, selectors map<string,string>")
+    rows = ex.extract(spark.createDataFrame([(1, "s", html), (2, "s", None), (3, None, "<p><b>x")], "page_id long, source string, html string"), sources, date(2026, 8, 27))
     by = {}
     for r in rows.orderBy("strategy", "card_ord").collect():
         by.setdefault(r.strategy, []).append(r)
@@ -164,7 +165,7 @@ def test_extraction(spark):
     assert [(r.title, r.venue, r.price_text) for r in by["nextdata"]] == [("Caz Gecesi", "Sahne", "300 TL")]
     assert {r.title for r in by["heuristic"]} == {"Etkinlik Bir", "Etkinlik İki", "Etkinlik Üç"}
     assert len(by["selectors"]) == 3
-    best = read.best_strategy(rows.select("page", "strategy", F.when(F.col("strategy") == "jsonld", 0).otherwise(1).alias("strategy_ord")), list(ex.STRUCTURED))
+    best = read.best_strategy(rows, ["jsonld", "nextdata"])
     assert best.filter("page = 1").first().n == 3
 
 
@@ -261,7 +262,7 @@ def test_embedded_json_dates_and_synonyms(spark):
     body = '[{"title":"Good one","startDate":"2026-09-01","x":1},{"title":"Bad day","startDate":"2026-99-99","x":1},{"name":{},"title":"Second name","date":"yarın 20:00"}]'
     page = spark.createDataFrame([(1, f'<script type="application/json">{body}</script>'), (2, None), (3, "")], "page_id long, html string")
     rows = ex.extract(page, ref=date(2026, 8, 27))
-    assert sorted((r.page, r.title, r.date_text) for r in rows.collect()) == [(1, "Good one", "2026-09-01"), (1, "Second name", "yarın 20:00")]
+    assert sorted((r.page, r.title, r.start_text) for r in rows.collect()) == [(1, "Good one", "2026-09-01"), (1, "Second name", "yarın 20:00")]
     counts = ex.strategy_counts(rows, date(2026, 8, 27))
     assert [(r.page, r.strategy, r.dated) for r in ex.best_by_dates(counts).collect()] == [(1, "nextdata", 2)]
 

@@ -9,18 +9,23 @@ distinct pair of normalised titles.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.similarity import pairs_within, title_similarity, venue_similarity
 
 LONG_SPAN = 3
 TOLERANCE = 1
 THRESHOLD, FLOOR, CEILING = 0.82, 0.55, 0.97
 TITLE_WEIGHT, VENUE_WEIGHT = 0.72, 0.28
 VENUE_CONFLICT, CONFLICT_FACTOR, NO_VENUE_FACTOR = 0.4, 0.75, 0.97
+#: Titles of one day that a task compares with as many others.
+TITLES = 2000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -57,62 +62,6 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
     return left.join(right, "block_key").filter((F.col("l_idx") < F.col("r_idx")) & near & once).drop("block_key", "__l", "__r")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence by rows of the usual table, inside the JVM."""
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-    size = F.length(b)
-    width = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    empty = F.transform(F.sequence(F.lit(0), size), lambda i: F.lit(0))
-
-    def row(before: Column, char: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            here = F.when(F.substr(b, j, F.lit(1)) == char, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(before, j + 1), F.element_at(done, -1)))
-            return F.concat(done, F.array(here))
-
-        return F.aggregate(width, F.array(F.lit(0)), cell)
-
-    return F.when((size == 0) | (F.length(a) == 0), 0).otherwise(F.element_at(F.aggregate(chars, empty, row), -1))
-
-
-def ratio(a: Column, b: Column) -> Column:
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).otherwise(2.0 * lcs_length(a, b) / total)
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    def tidy(c: Column) -> Column:
-        return F.array_join(F.array_sort(F.split(c, " ")), " ")
-
-    return ratio(tidy(a), tidy(b))
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
-    ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    both, x, y = F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)
-
-    def joined(c: Column) -> Column:
-        return F.array_join(F.array_sort(c), " ")
-
-    s, jx, jy = F.length(joined(both)), joined(x), joined(y)
-    gap = F.when(s > 0, 1).otherwise(0)
-    la, lb = s + gap + F.length(jx), s + gap + F.length(jy)
-    apart = F.length(jx) + F.length(jy) - 2 * lcs_length(jx, jy)
-    plain = 1 - apart / (la + lb)
-    with_x = F.when(s > 0, 1 - (gap + F.length(jx)) / (s + la)).otherwise(0.0)
-    with_y = F.when(s > 0, 1 - (gap + F.length(jy)) / (s + lb)).otherwise(0.0)
-    inside = (F.size(both) > 0) & ((F.size(x) == 0) | (F.size(y) == 0))
-    return F.when(inside, 1.0).otherwise(F.greatest(plain, with_x, with_y))
-
-
-def title_similarity(a: Column, b: Column) -> Column:
-    """Of normalised titles: mean of the token-set and the token-sort ratio; 0 if either is empty."""
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise((token_set_ratio(a, b) + token_sort_ratio(a, b)) / 2)
-
-
-def venue_similarity(a: Column, b: Column) -> Column:
-    return F.when((a == "") | (b == ""), F.lit(None).cast("double")).when(a == b, 1.0).otherwise(token_set_ratio(a, b))
-
-
 def distinct_scores(pairs: DataFrame, left: str, right: str, score, name: str) -> DataFrame:
     """``pairs`` with ``score`` of two text columns, computed once per distinct pair."""
     both = pairs.select(F.col(left).alias("__a"), F.col(right).alias("__b")).distinct()
@@ -174,9 +123,78 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             return label
 
 
+def least_title_score(threshold: float) -> float:
+    """The title score below which no pair reaches the threshold: with the best venue, or with none."""
+    return min((threshold - VENUE_WEIGHT) / TITLE_WEIGHT, threshold / NO_VENUE_FACTOR)
+
+
+def similar_titles(titles: DataFrame, least: float) -> DataFrame:
+    """(a, b, title_score) of different titles of (block_key, key) that share a block and score ``least``, each pair once, a < b.
+
+    Titles of a block are dealt to chunks of about TITLES, and two chunks meet in a task,
+    which hands on only pairs that its bounds do not exclude; those are scored once.
+    """
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        at, other = group["i"].iloc[0], group["j"].iloc[0]
+        left, right = (group.loc[group["chunk"] == c, "key"].tolist() for c in (at, other))
+        return pd.DataFrame(sorted(set(pairs_within(left, right, least))), columns=["a", "b"])
+
+    known = titles.filter("key <> ''").distinct()
+    sizes = known.groupBy("block_key").agg(F.ceil(F.count(F.lit(1)) / TITLES).cast("int").alias("chunks"))
+    dealt = known.join(sizes, "block_key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("block_key", "key", "chunk", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
+    found = met.groupBy("block_key", "i", "j").applyInPandas(compare, "a string, b string").distinct()
+    # the pairs are dealt anew, so that scoring is spread
+    return found.withColumn("title_score", title_similarity(F.col("a"), F.col("b"))).filter(F.col("title_score") >= least)
+
+
+def same_link(records: DataFrame) -> DataFrame:
+    """(l_idx, r_idx): records with one link to the first with the same link and days, and these firsts with each other where they share a block."""
+    linked = records.filter("link IS NOT NULL")
+    firsts = linked.groupBy("link", "start", "end").agg(F.min("idx").alias("idx"))
+    stars = linked.join(firsts.withColumnRenamed("idx", "first"), ["link", "start", "end"]).filter("idx <> first").select(F.col("first").alias("l_idx"), F.col("idx").alias("r_idx"))
+    keyed = firsts.withColumn("keys", block_keys(F.col("start"), F.col("end"))).withColumn("block_key", F.explode("keys"))
+    return stars.unionByName(_met(keyed, keyed, ["block_key", "link"]).filter("l_idx < r_idx").select("l_idx", "r_idx"))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """l_* and r_* of rows (idx, start, end, keys, ...) that agree in ``on`` and whose days lie within the tolerance, at the least block that both have."""
+    l, r = (df.select(*on, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in on or c == "block_key"]) for df, side in ((left, "l"), (right, "r")))
+    near = (F.date_sub("l_start", TOLERANCE) <= F.col("r_end")) & (F.date_sub("r_start", TOLERANCE) <= F.col("l_end"))
+    once = F.col("block_key") == F.array_min(F.array_intersect("l_keys", "r_keys"))
+    return l.join(r, on).filter(near & once)
+
+
+def links(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(l_idx, r_idx): enough pairs of records with the threshold's score to connect all that such pairs connect.
+
+    Records with one title, venue and days are one profile: they are all alike, so each is tied to
+    its profile's first. Profiles meet where their titles are equal or similar.
+    """
+    if threshold <= CONFLICT_FACTOR:
+        raise ValueError(f"thresholds of {CONFLICT_FACTOR} and less are not supported: pairs with a venue conflict could reach them")
+    ready = checkpointed(prepared(records).fillna("", ["key", "place"]), "er-prepared")
+    same = ["key", "place", "start", "end"]
+    named = ready.filter("key <> ''")
+    profiles = checkpointed(named.groupBy(*same).agg(F.min("idx").alias("idx")), "er-profiles")
+    stars = named.join(profiles.withColumnRenamed("idx", "first"), same).filter("idx <> first").select(F.col("first").alias("l_idx"), F.col("idx").alias("r_idx"))
+    keyed = profiles.withColumn("keys", block_keys(F.col("start"), F.col("end"))).withColumn("block_key", F.explode("keys"))
+    titles = checkpointed(similar_titles(keyed.select("block_key", "key"), least_title_score(threshold)), "er-titles")
+    equal = _met(keyed, keyed, ["block_key", "key"]).filter("l_idx < r_idx").withColumns({"l_key": F.col("key"), "r_key": F.col("key"), "title_score": F.lit(1.0)}).drop("key")
+    turned = keyed.join(titles, keyed["key"] == titles["a"]).drop("a")
+    alike = _met(turned.withColumnRenamed("b", "wanted").withColumnRenamed("key", "l_title"), keyed.withColumnRenamed("key", "wanted"), ["block_key", "wanted"])
+    alike = alike.withColumns({"l_key": F.col("l_l_title"), "r_key": F.col("wanted"), "title_score": F.col("l_title_score")})
+    kept = ["l_idx", "r_idx", "l_key", "r_key", "l_place", "r_place", "title_score"]
+    pairs = distinct_scores(equal.select(*kept).unionByName(alike.select(*kept)), "l_place", "r_place", venue_similarity, "venue_score")
+    score = combined_score(F.col("title_score"), F.col("venue_score"), F.array_distinct(F.split("l_key", " ")), F.array_distinct(F.split("r_key", " ")), F.lit(False))
+    strong = pairs.filter(score >= threshold).select("l_idx", "r_idx")
+    return stars.unionByName(strong).unionByName(same_link(ready))
+
+
 def clusters(records: DataFrame, threshold: float = THRESHOLD, scores: DataFrame | None = None) -> DataFrame:
-    """(idx, root) of all records; ``scores`` if they are known."""
-    edges = (match_scores(records) if scores is None else scores).filter(F.col("score") >= threshold).select("l_idx", "r_idx")
+    """(idx, root) of all records; ``scores`` if they are known, else only pairs that can matter are made."""
+    edges = links(records, threshold) if scores is None else scores.filter(F.col("score") >= threshold).select("l_idx", "r_idx")
     return components(edges, records.select("idx"))
 
 

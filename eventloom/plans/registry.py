@@ -7,7 +7,7 @@ Each query takes (spark, sf_dir) and reads its whole tables. Queries without SQL
 from __future__ import annotations
 
 import uuid
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from ..functions import text as tx
 from ..operators import build, filters, notify, read, render, resolve, store, subscribers
 from ..sources import extract as ex
 from ..sources import pages as pg
-from ..streaming import ingest
+from ..streaming import announce, ingest
 from .matching_sql import CLUSTERS, MERGE, SCORES
 from .records import ER_REF, EVENTS_SQL, LISTINGS_SQL, RAW_SQL, REF, events, listings, raw_rows, source_list, table
 
@@ -409,6 +409,23 @@ def daily_windows(spark, sf_dir):
     return w.select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def _streamed(spark, sf_dir, make):
+    """What ``make`` tells of the events table as a stream, in folders of its own."""
+    base = f"{resolve.shared_root(spark)}/eventloom-stream-{uuid.uuid4().hex}"
+    stream = ingest.event_stream(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
+    return announce.run_available(make(stream), f"{base}/out", f"{base}/checkpoint")
+
+
+def announced_once(spark, sf_dir):
+    """Users announced when they are first seen, and again after an absence of two days: keyed state with time to live."""
+    return _streamed(spark, sf_dir, lambda s: announce.announced(s, "user_id", keep=timedelta(days=2)))
+
+
+def settled_windows(spark, sf_dir):
+    """Daily counts on a stream, each event once, of the days that the watermark has passed."""
+    return _streamed(spark, sf_dir, announce.settled_windows).withColumn("total", F.round("total", 2))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -417,7 +434,7 @@ QUERIES = {
         candidate_pairs, match_scores, clusters, merged_events, dedup_stats, upsert_merge, upsert_split, prune, health_counter, run_counters, mode_per_user,
         html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
         kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, subscriber_upsert,
-        subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows,
+        subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows, announced_once, settled_windows,
     )
 }
 
@@ -612,5 +629,9 @@ ORACLES = {
         JOIN s ON (k <> 0 OR is_free) AND (k <> 1 OR category IN ('economy', 'promo')) AND (k <> 2 OR contains(title, 'ring')) WHERE {_within('yarin')})
         SELECT chat_id, string_agg(uid, ',' ORDER BY r) FILTER (r <= 12) AS uids, greatest(count(*) - 12, 0) AS more, count(*) FILTER (is_free) AS free FROM m GROUP BY 1""",
     "stream_upsert": """SELECT user_id, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1""",
+    "announced_once": """SELECT user_id, ts AS announced_at FROM events WHERE user_id IS NOT NULL
+        QUALIFY coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY, true) AND row_number() OVER (PARTITION BY user_id, ts) = 1""",
+    "settled_windows": """SELECT date_trunc('day', ts) AS start, event_type, count(DISTINCT event_id) AS n, round(sum(value), 2) AS total FROM events
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
     "daily_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }

@@ -47,7 +47,7 @@ def upsert_stream(stream: DataFrame, target: Table, checkpoint: str, key: str, o
 
 def windowed_counts(df: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts by type and tumbling window; on a stream, rows later than ``late`` are dropped."""
-    marked = df.withWatermark("ts", late) if df.isStreaming else df
+    marked = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if df.isStreaming else df
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("start"), "event_type", "n", "total"
     )

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import text as tx
+from ..functions.keywords import found_in
 
 SAFE_LIMIT = 3800
 FIRST = 12
@@ -19,22 +20,20 @@ BROADCAST_SUBSCRIBERS = 100_000
 
 
 def matches(events: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """events x subscribers(chat_id, free_only, categories array, keywords array) where all filters pass; empty lists pass all.
+    """events x subscribers(chat_id, free_only, categories array, keywords array) where all filters pass; empty lists and null flags pass all.
 
-    Subscribers with keywords meet events by the distinct names that hold a word, those
-    with a category list by an equi-join on the category; only subscribers who ask for
+    Subscribers with keywords meet events by the distinct names that hold a word (an
+    automaton of all keywords passes over each name once), those with a category list by an equi-join on the category; only subscribers who ask for
     everything meet all events.
     """
     # the text that keywords are looked up in: once per distinct title and venue, only where someone asks for words
-    words = subscribers.select(F.explode("keywords").alias("asked")).distinct()
-    if words.count() <= BROADCAST_SUBSCRIBERS:
-        words = F.broadcast(words)
+    words = subscribers.select(F.explode("keywords").alias("asked"))
     wished = F.coalesce(F.size("keywords"), F.lit(0)) > 0
     # contained texts need no equality of nulls: names are made whole first
     named = events.withColumns({"__title": F.coalesce("title", F.lit("")), "__venue": F.coalesce("venue", F.lit(""))})
     text = F.concat_ws(" ", tx.normalize_title(F.col("__title")), tx.normalize_venue(F.col("__venue")))
     names = named.select("__title", "__venue").distinct().withColumn("__text", text)
-    said = names.join(words, F.contains("__text", F.lower("asked"))).select("__title", "__venue", "asked")
+    said = found_in(names, "__text", words, "asked")
     speakers = subscribers.filter(wished).withColumn("asked", F.explode(F.array_distinct("keywords")))
     # each subscriber's pair of names once, however many of the words it holds
     heard = said.join(speakers, "asked").drop("asked").dropDuplicates(["chat_id", "__title", "__venue"])
@@ -47,7 +46,7 @@ def matches(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     if open_.count() <= BROADCAST_SUBSCRIBERS:
         open_ = F.broadcast(open_)
     rest = named.join(picky, "category").unionByName(named.join(open_, F.lit(True)))
-    free = ~F.col("free_only") | F.col("is_free")
+    free = ~F.coalesce("free_only", F.lit(False)) | F.col("is_free")
     return rest.unionByName(by_word.select(*rest.columns)).filter(free).drop("__title", "__venue")
 
 

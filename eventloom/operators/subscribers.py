@@ -58,7 +58,8 @@ def bucket_replies(events: DataFrame, subscribers: DataFrame, bucket: str, ref:
     Subscribers with the same filters get the same reply, so a reply is made once per
     distinct setting and then joined to its subscribers.
     """
-    wish = F.concat_ws("|", F.coalesce("free_only", F.lit(False)).cast("string"), F.array_sort(F.array_distinct("categories")))
+    wanted = F.array_sort(F.array_distinct(F.coalesce("categories", F.array().cast("array<string>"))))
+    wish = F.struct(F.coalesce("free_only", F.lit(False)).alias("free"), wanted.alias("kinds"))
     asked = subscribers.select("chat_id", wish.alias("__wish"), "free_only", "categories")
     settings = asked.groupBy("__wish").agg(F.first("free_only").alias("free_only"), F.first("categories").alias("categories"))
     settings = settings.select(F.col("__wish").alias("chat_id"), F.coalesce("free_only", F.lit(False)).alias("free_only"), "categories", F.array().cast("array<string>").alias("keywords"))

@@ -310,6 +310,58 @@ def extracted_counts(spark, sf_dir):
     return ex.strategy_counts(_inline_rows(spark, sf_dir), ER_REF).groupBy("strategy").agg(F.sum("found").alias("found"), F.sum("dated").alias("dated"))
 
 
+def _mixed_pages(spark, sf_dir):
+    """One page per part, every one with rows of two strategies: a featured JSON-LD event beside two cards; five JSON-LD events beside six
+    cards; embedded JSON beside three cards that only look alike. Of what counts on a page one row is not past."""
+    p = table(spark, sf_dir, "part")
+    kind = F.pmod("p_partkey", F.lit(3))
+    iso, page = F.date_format(F.expr(f"date_add(DATE '{ER_REF}', p_size)"), "yyyy-MM-dd"), F.col("p_partkey").cast("string")
+
+    def ld(name, day, link):
+        return [F.lit('{"@type":"Event","name":"'), name, F.lit('","startDate":"'), day, F.lit('","location":{"name":"'), F.col("p_brand"), F.lit('"},"url":"'), link, F.lit('"}')]
+
+    def card(name, day, link, shape="ev"):
+        return [F.lit(f'<div class="{shape}"><h3>'), name, F.lit('</h3><p class="d">'), day, F.lit('</p><b class="v">'), F.col("p_brand"), F.lit('</b><a href="'), link, F.lit('">more of it</a></div>')]
+
+    link = F.concat(F.lit("/e/"), page)
+    script, end = F.lit('<script type="application/ld+json">['), F.lit("]</script>")
+    past = [(F.lit(f"old event {k}"), F.lit(f"2020-01-0{k}"), F.lit(f"/old/{k}")) for k in range(1, 5)]
+    featured = [script, *ld(F.lit("Featured alone"), iso, F.lit("/featured")), end, F.lit("<div class='list'>"), *card(F.col("p_name"), iso, link), *card(*past[0]), F.lit("</div>")]
+    enough = [script, *ld(F.col("p_name"), iso, link), *[x for e in past for x in (F.lit(","), *ld(*e))], end, F.lit("<div class='list'>")]
+    enough += [x for k in range(6) for x in card(F.lit(f"Card number {k}"), iso, F.lit(f"/c/{k}"))] + [F.lit("</div>")]
+    state = [F.lit('<script id="__NEXT_DATA__">{"props":{"items":[{"title":"In the state alone","startDate":"'), iso, F.lit('","x":[]}]}}</script>')]
+    alike = [*state, *card(F.col("p_name"), iso, link, "item__a1b2c"), *card(*past[1], "item__d3e4f"), *card(*past[2], "item__g5h6i")]
+    html = F.when(kind == 0, F.concat(*featured)).when(kind == 1, F.concat(*enough)).otherwise(F.concat(*alike))
+    return p.select(F.col("p_partkey").alias("page_id"), F.lit("https://site.example/list/").alias("url"), F.concat(F.lit("src"), F.expr("p_partkey div 3 % 3").cast("string")).alias("source"), html.alias("html"))
+
+
+def pages_to_events(spark, sf_dir):
+    """From pages to merged events in one flow: every strategy, the best of each page, building, resolution, merge."""
+    rules = {"item": ".list > .ev", "title": "h3", "date": ".d", "venue": ".v"}
+    rows = [(f"src{k}", False, None, False, priority, ["jsonld", "nextdata", "selectors", "heuristic"], rules) for k, priority in enumerate((90, 10, 50))]
+    sources = spark.createDataFrame(rows, "key string, city_filter boolean, default_category string, free_by_default boolean, priority int, strategies array<string>, selectors map<string,string>")
+    _, merged = build.scrape(ex.extract(_mixed_pages(spark, sf_dir), sources, ER_REF), sources, ER_REF)
+    return merged.select("title", "venue", "start", "end", "category", "source_count", "records")
+
+
+def marked_announced(spark, sf_dir):
+    """Events after every second line item was announced."""
+    e = events(spark, sf_dir)
+    return store.mark_announced(e.select("uid", "announced"), e.filter("source_count % 2 = 0").select("uid")).select("uid", "announced")
+
+
+def updated_health(spark, sf_dir):
+    """Health of the users as sources after a run in which some took part, some of them without success."""
+    e = table(spark, sf_dir, "events").withColumn("source", F.col("user_id").cast("string"))
+    old = e.filter("user_id % 3 <> 0").groupBy("source").agg(F.count_if(F.col("event_type") == "error").cast("int").alias("failures"), F.max("ts").alias("last_success"), F.lit("before").alias("last_error"))
+    ran = e.filter("user_id % 4 <> 1").groupBy("source", (F.col("user_id") % 2 == 0).alias("ok")).agg(F.array(*[F.concat(F.lit(f"e{k} of "), F.count(F.lit(1))) for k in range(4)]).alias("errors"))
+    return store.update_health(old.withColumn("last_success", F.col("last_success").cast("timestamp")), ran, NOW).withColumn("last_success", F.col("last_success").cast("timestamp_ntz"))
+
+
+def last_run(spark, sf_dir):
+    return build.last_run(table(spark, sf_dir, "events").withColumnRenamed("event_id", "id")).select("id", "user_id", "event_type")
+
+
 def day_messages(spark, sf_dir):
     """The week's events of each category by day, as messages: whether all fit, the events and the days shown."""
     e = read.in_bucket(events(spark, sf_dir), "bu_hafta", REF).withColumns({"minute": F.lit(None).cast("int"), "url": F.lit(""), "price_label": F.lit("1 ₺")})
@@ -435,6 +487,7 @@ QUERIES = {
         html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
         kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, subscriber_upsert,
         subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows, announced_once, settled_windows,
+        pages_to_events, marked_announced, updated_health, last_run,
     )
 }
 
@@ -493,6 +546,14 @@ _SCRAPED = _BUILT.replace("WITH r", "WITH RECURSIVE raw_r", 1).replace("FROM r)"
   SELECT root, min(name) FILTER (ord = 1) AS title, min(venue) FILTER (ord = 1) AS venue, min(start) FILTER (ord = 1) AS start, max("end") AS "end",
     coalesce(arg_min(category, fold) FILTER (category <> 'diger'), 'diger') AS category, count(DISTINCT source)::INTEGER AS source_count, count(*) AS records FROM o GROUP BY 1"""
 
+# what stays of a page is the row with the part's name, found without a venue where cards only look alike
+_FROM_PAGES = f"""WITH RECURSIVE b AS (SELECT p_partkey AS idx, p_name AS name, 'src' || (p_partkey // 3) % 3 AS source, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS venue, DATE '{ER_REF}' + p_size AS start FROM part),
+  r AS (SELECT *, start AS "end", name AS listed, 'diger' AS category, true AS tidy, 'https://site.example/e/' || idx AS url, CASE source WHEN 'src0' THEN 90 WHEN 'src1' THEN 10 ELSE 50 END AS priority,
+      CASE WHEN venue IS NULL THEN '' ELSE {_PLACE.format('venue')} END AS place FROM b QUALIFY row_number() OVER (PARTITION BY source, name, start, CASE WHEN venue IS NULL THEN '' ELSE {_PLACE.format('venue')} END ORDER BY idx) = 1),
+  n AS (SELECT idx, name AS key, place, start, "end" FROM r), {MERGE}
+  SELECT min(name) FILTER (ord = 1) AS title, coalesce(min(venue) FILTER (ord = 1), arg_min(venue, ord)) AS venue, min(start) FILTER (ord = 1) AS start, max("end") AS "end", 'diger' AS category,
+    count(DISTINCT source)::INTEGER AS source_count, count(*) AS records FROM o GROUP BY root"""
+
 _PACKED = """WITH RECURSIVE l AS (SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS i, '<b>' || n_name || '</b>' AS header,
       '🎵 <b>' || c_name || '</b>' || chr(10) || '   bugün · 📍 ' || c_mktsegment || chr(10) || '   100 ₺ · 🔗 2 kaynak' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
   pack AS (SELECT n_name, i, 1::BIGINT AS n, length(header) + 1 + length(line) AS size FROM l WHERE i = 1
@@ -633,5 +694,13 @@ ORACLES = {
         QUALIFY coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY, true) AND row_number() OVER (PARTITION BY user_id, ts) = 1""",
     "settled_windows": """SELECT date_trunc('day', ts) AS start, event_type, count(DISTINCT event_id) AS n, round(sum(value), 2) AS total FROM events
         WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+    "pages_to_events": _FROM_PAGES,
+    "marked_announced": f"WITH {EVENTS_SQL} SELECT uid, announced OR source_count % 2 = 0 AS announced FROM e",
+    "updated_health": """WITH o AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures, max(ts) AS last_success FROM events WHERE user_id % 3 <> 0 GROUP BY 1),
+        r AS (SELECT user_id, user_id % 2 = 0 AS ok, count(*) AS n FROM events WHERE user_id % 4 <> 1 GROUP BY ALL)
+        SELECT coalesce(o.user_id, r.user_id)::VARCHAR AS source, (CASE WHEN ok IS NULL THEN failures WHEN ok THEN 0 ELSE coalesce(failures, 0) + 1 END)::INTEGER AS failures,
+        CASE WHEN ok THEN TIMESTAMP '2000-01-01' ELSE last_success END AS last_success,
+        CASE WHEN ok IS NULL THEN 'before' WHEN NOT ok THEN 'e0 of ' || n || '; e1 of ' || n || '; e2 of ' || n END AS last_error FROM o FULL JOIN r USING (user_id)""",
+    "last_run": "SELECT event_id AS id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 1",
     "daily_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }

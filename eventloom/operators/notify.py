@@ -12,6 +12,7 @@ from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import text as tx
 from ..functions.keywords import found_in
+from .long_lists import packed
 
 SAFE_LIMIT = 3800
 FIRST = 12
@@ -103,7 +104,7 @@ def pack_lines(lines: Column, header: Column, limit: int = SAFE_LIMIT) -> Column
 
 
 def messages(df: DataFrame, key: str, line: str, order: list[str], header: str) -> DataFrame:
-    """(key, n, message): one row per message, from one line per row of ``df``."""
-    per = df.groupBy(key).agg(F.first(header).alias("__h"), F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("__line")))).alias("__l"))
-    packed = per.select(key, F.posexplode(pack_lines(F.transform("__l", lambda x: x["__line"]), F.col("__h"))).alias("n", "message"))
-    return packed.withColumn("n", F.col("n").cast("long") + 1)
+    """(key, n, message): one row per message, from one line per row of ``df``, for lists of any length; the same messages as ``pack_lines``."""
+    text = F.col(line)
+    cut = F.when(F.length(text) <= SAFE_LIMIT - 200, text).otherwise(F.concat(F.substring(text, 1, SAFE_LIMIT - 201), F.lit("…")))
+    return packed(df, key, order, cut, F.lit(""), F.col(header), SAFE_LIMIT)

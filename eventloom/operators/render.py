@@ -11,6 +11,7 @@ from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import text as tx
 from . import notify
+from .long_lists import packed
 
 AGAIN = " <i>(devam)</i>"
 
@@ -51,13 +52,12 @@ def line_of(ref: date, with_date: Column) -> Column:
 
 def by_day(events: DataFrame, key: str, header: Column, ref: date) -> DataFrame:
     """(key, n, message): the events of each key by day, then time and title, under day headings."""
-    row = F.struct(
-        "start", F.coalesce("minute", F.lit(0)).alias("at"), "title", "uid", notify.day_heading(F.col("start"), ref).alias("heading"),
-        line_of(ref, F.col("end") > F.col("start")).alias("line"),
+    line = line_of(ref, F.col("end") > F.col("start"))
+    rows = events.select(
+        key, "start", F.coalesce("minute", F.lit(0)).alias("at"), "title", "uid", notify.day_heading(F.col("start"), ref).alias("heading"),
+        F.when(F.length(line) <= notify.SAFE_LIMIT - 200, line).otherwise(F.concat(F.substring(line, 1, notify.SAFE_LIMIT - 200), F.lit("…"))).alias("line"), header.alias("header"),
     )
-    per = events.select(key, row.alias("__row"), header.alias("__header")).groupBy(key).agg(F.first("__header").alias("__header"), F.array_sort(F.collect_list("__row")).alias("__rows"))
-    packed = per.select(key, F.posexplode(pack_blocks(F.col("__header"), F.col("__rows"))).alias("n", "message"))
-    return packed.withColumn("n", F.col("n").cast("long") + 1)
+    return packed(rows, key, ["start", "at", "title", "uid"], F.col("line"), F.col("heading"), F.col("header"), notify.SAFE_LIMIT)
 
 
 def detail(ref: date) -> Column:

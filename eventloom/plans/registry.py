@@ -15,7 +15,7 @@ from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import money as mn
 from ..functions import text as tx
-from ..operators import build, filters, notify, read, render, resolve, store, subscribers
+from ..operators import build, dated_store as ds, filters, notify, read, render, resolve, store, subscribers
 from ..sources import extract as ex
 from ..sources import pages as pg
 from ..streaming import announce, ingest
@@ -445,6 +445,21 @@ def packed_messages(spark, sf_dir):
     return notify.messages(rows, "n_name", "line", ["c_custkey"], "header")
 
 
+def dated_store(spark, sf_dir):
+    """Orders in a store by month and slice of keys: the orders before 1999, a batch that changes every fifth and moves
+    some of them to other months, a prune, then what overlaps six months."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 3).alias("end"))
+    shape = "o_orderkey long, o_totalprice double, start date, end date, first_seen timestamp, last_seen timestamp, announced boolean"
+    t = ds.DatedTable(spark, f"{resolve.shared_root(spark)}/eventloom-dated-{uuid.uuid4().hex}", "o_orderkey", shape, "month", 2)
+    t.upsert(o.filter(F.col("start") < F.lit(date(1999, 1, 1))), datetime(1999, 1, 1))
+    k = F.pmod("o_orderkey", F.lit(3)).cast("int") * 20
+    changed = o.filter("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.date_add("start", k).alias("start"), F.date_add("end", k).alias("end"))
+    t.upsert(changed, NOW)
+    t.drop(F.col("end") < F.lit(date(1998, 9, 1)))
+    seen = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")]
+    return t.between(date(1998, 8, 1), date(1999, 1, 31)).select("o_orderkey", "o_totalprice", "start", "end", *seen)
+
+
 def stream_upsert(spark, sf_dir):
     """The events table as a file stream, upserted by user."""
     base = f"{resolve.shared_root(spark)}/eventloom-stream-{uuid.uuid4().hex}"
@@ -487,7 +502,7 @@ QUERIES = {
         html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
         kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, subscriber_upsert,
         subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows, announced_once, settled_windows,
-        pages_to_events, marked_announced, updated_health, last_run,
+        pages_to_events, marked_announced, updated_health, last_run, dated_store,
     )
 }
 
@@ -689,6 +704,11 @@ ORACLES = {
         SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY start, title, uid) AS r FROM e
         JOIN s ON (k <> 0 OR is_free) AND (k <> 1 OR category IN ('economy', 'promo')) AND (k <> 2 OR contains(title, 'ring')) WHERE {_within('yarin')})
         SELECT chat_id, string_agg(uid, ',' ORDER BY r) FILTER (r <= 12) AS uids, greatest(count(*) - 12, 0) AS more, count(*) FILTER (is_free) AS free FROM m GROUP BY 1""",
+    "dated_store": """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS start, o_orderdate::DATE + 3 AS "end", o_orderdate < TIMESTAMP '1999-01-01' AS known, o_orderkey % 5 = 0 AS changed,
+          ((o_orderkey % 3) * 20)::INTEGER AS k FROM orders),
+        s AS (SELECT o_orderkey, CASE WHEN changed THEN 2 * o_totalprice ELSE o_totalprice END AS o_totalprice, CASE WHEN changed THEN start + k ELSE start END AS start, CASE WHEN changed THEN "end" + k ELSE "end" END AS "end",
+          CASE WHEN known THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '2000-01-01' END AS first_seen, CASE WHEN changed THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '1999-01-01' END AS last_seen FROM o WHERE known OR changed)
+        SELECT * FROM s WHERE "end" >= DATE '1998-09-01' AND start <= DATE '1999-01-31'""",
     "stream_upsert": """SELECT user_id, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1""",
     "announced_once": """SELECT user_id, ts AS announced_at FROM events WHERE user_id IS NOT NULL
         QUALIFY coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY, true) AND row_number() OVER (PARTITION BY user_id, ts) = 1""",

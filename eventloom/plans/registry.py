@@ -15,7 +15,7 @@ from ..functions import categories as ct
 from ..functions import dates as dt
 from ..functions import money as mn
 from ..functions import text as tx
-from ..operators import build, dated_store as ds, filters, notify, read, render, resolve, store, subscribers
+from ..operators import build, dated_store as ds, filters, notify, read, render, replies, resolve, store, subscribers
 from ..sources import extract as ex
 from ..sources import pages as pg
 from ..streaming import announce, ingest
@@ -445,6 +445,25 @@ def packed_messages(spark, sf_dir):
     return notify.messages(rows, "n_name", "line", ["c_custkey"], "header")
 
 
+def _told(spark, sf_dir):
+    return events(spark, sf_dir).withColumns({"minute": F.lit(None).cast("int"), "url": F.lit(""), "price_label": F.lit("1 ₺")})
+
+
+def bucket_texts(spark, sf_dir):
+    """What each supplier as a chat is told of the week."""
+    return replies.bucket_texts(_told(spark, sf_dir), _subscribers(spark, sf_dir), "bu_hafta", REF, ORDER)
+
+
+def digest_texts(spark, sf_dir):
+    """The morning's messages to each supplier as a chat."""
+    return replies.digest_texts(_told(spark, sf_dir), _subscribers(spark, sf_dir), REF, ORDER)
+
+
+def news_texts(spark, sf_dir):
+    """The news to each supplier as a chat."""
+    return replies.news_texts(_told(spark, sf_dir), _subscribers(spark, sf_dir), REF, ORDER)
+
+
 def dated_store(spark, sf_dir):
     """Orders in a store by month and slice of keys: the orders before 1999, a batch that changes every fifth and moves
     some of them to other months, a prune, then what overlaps six months."""
@@ -502,7 +521,7 @@ QUERIES = {
         html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
         kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, subscriber_upsert,
         subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows, announced_once, settled_windows,
-        pages_to_events, marked_announced, updated_health, last_run, dated_store,
+        pages_to_events, marked_announced, updated_health, last_run, dated_store, bucket_texts, digest_texts, news_texts,
     )
 }
 
@@ -576,6 +595,41 @@ _PACKED = """WITH RECURSIVE l AS (SELECT n_name, row_number() OVER (PARTITION BY
       CASE WHEN p.size + length(line) + 1 > 3800 THEN length(header || ' <i>(devam)</i>') + 1 + length(line) ELSE p.size + length(line) + 1 END FROM pack p JOIN l ON l.n_name = p.n_name AND l.i = p.i + 1)
   SELECT n_name, n, min(header) || CASE WHEN n > 1 THEN ' <i>(devam)</i>' ELSE '' END || chr(10) || string_agg(line, chr(10) ORDER BY i) AS message FROM pack JOIN l USING (n_name, i) GROUP BY 1, 2"""
 
+# Texts to suppliers as chats of four kinds: t has the records with the label of their dates, u those shown to a kind in order (k, i).
+_ASKED = "(k <> 0 OR is_free) AND (k <> 1 OR category IN ('economy', 'promo'))"
+_WORD = " AND (k <> 2 OR contains(title, 'ring'))"
+_LABELLED = f"""WITH RECURSIVE {EVENTS_SQL}, t AS (SELECT *, CASE WHEN "end" > start THEN
+      (CASE WHEN date_trunc('month', start) = date_trunc('month', "end") THEN day(start) || '-' || day("end") || ' ' || {_MONTHS}[month("end")] ||
+        CASE WHEN year(start) <> {REF.year} THEN ' ' || year("end") ELSE '' END
+       ELSE {_ONE.format('start')} || ' – ' || {_ONE.format('"end"')} END) || CASE WHEN DATE '{REF}' BETWEEN start AND "end" THEN ' (devam ediyor)' ELSE '' END
+      WHEN start = DATE '{REF}' THEN 'Bugün (' || {_ONE.format('start')} || ' ' || {_DAYS}[isodow(start)] || ')'
+      WHEN start = DATE '{REF}' + 1 THEN 'Yarın (' || {_ONE.format('start')} || ' ' || {_DAYS}[isodow(start)] || ')'
+      ELSE {_ONE.format('start')} || ' ' || {_DAYS}[isodow(start)] END AS label FROM e), kinds AS (SELECT unnest(range(4)) AS k)"""
+_DAY_NAME = "day({0}) || ' ' || " + _MONTHS + "[month({0})] || ' ' || " + _DAYS + "[isodow({0})]"
+
+
+def _message_sql(header, heading="''", label="label"):
+    """m(k, n, message, last): the events u of each kind in greedy messages."""
+    return f"""l AS (SELECT k, i, '<b>' || {header} || '</b>' AS header, {heading} AS heading, '📌 <b>' || title || '</b>' || chr(10) || '   ' || concat_ws(' · ', {label}, '📍 ' || venue) || chr(10) || '   ' ||
+        concat_ws(' · ', CASE WHEN is_free THEN '🆓 <b>Ücretsiz</b>' ELSE '🎟 1 ₺' END, CASE WHEN source_count > 1 THEN '🔗 ' || source_count || ' kaynak' END) AS line FROM u),
+      f AS (SELECT *, heading <> coalesce(lag(heading) OVER (PARTITION BY k ORDER BY i), '') AS fresh FROM l),
+      g AS (SELECT k, i, header, CASE WHEN fresh THEN chr(10) || chr(10) || heading ELSE '' END || chr(10) || line AS goes_on, header || ' <i>(devam)</i>' ||
+        CASE WHEN heading = '' THEN '' WHEN fresh THEN chr(10) || chr(10) || heading ELSE chr(10) || chr(10) || heading || ' <i>(devam)</i>' END || chr(10) || line AS begins FROM f),
+      pack AS (SELECT k, i, 1::BIGINT AS n, header || goes_on AS open FROM g WHERE i = 1
+        UNION ALL SELECT g.k, g.i, CASE WHEN length(open) + length(goes_on) > 3800 THEN n + 1 ELSE n END, CASE WHEN length(open) + length(goes_on) > 3800 THEN begins ELSE open || goes_on END
+        FROM pack p JOIN g ON g.k = p.k AND g.i = p.i + 1),
+      m AS (SELECT k, n, arg_max(open, i) AS message, max(n) OVER (PARTITION BY k) AS last FROM pack GROUP BY 1, 2)"""
+
+
+_DIGEST_FOOT = "'Bugünkü ' || (SELECT count(*) FILTER (is_free) FROM d) || ' etkinlik ücretsiz. Tümü için: /ucretsiz'"
+_NOTHING_SQL = "SELECT k, 1 AS n, '<b>' || {0} || '</b>' || chr(10) || chr(10) || {1} AS message FROM kinds WHERE k NOT IN (SELECT k FROM u)"
+_DIGEST_HEAD = f"CASE k WHEN 0 THEN '🆓 Bugün İzmir''de ücretsiz' ELSE '🌅 Günaydın! ' || {_DAY_NAME.format(f"DATE '{REF}'")} || ' — İzmir''de bugün' END"
+_BUCKET_HEAD = "CASE k WHEN 0 THEN 'Bu Hafta — Ücretsiz Etkinlikler' ELSE 'Bu Hafta İzmir''de' END"
+_BUCKET_NONE = "CASE k WHEN 0 THEN 'Bu aralıkta ücretsiz etkinlik bulunamadı.' ELSE 'Bu aralıkta etkinlik bulunamadı.' END"
+_DIGEST_NONE = "CASE k WHEN 0 THEN 'Bugün için kayıtlı ücretsiz etkinlik yok.' ELSE 'Bugün için kayıtlı etkinlik yok. Yarına bakmak için /yarin.' END"
+_HEADING = f"""'<b>📅 ' || CASE WHEN start = DATE '{REF}' THEN 'Bugün — ' WHEN start = DATE '{REF}' + 1 THEN 'Yarın — ' WHEN start < DATE '{REF}' THEN 'Devam eden — ' ELSE '' END
+        || {_DAY_NAME.format('start')} || CASE WHEN start < DATE '{REF}' THEN ' başlangıçlı' ELSE '' END || '</b>'"""
+
 _PAGES_SQL = f"""WITH p AS (SELECT p_partkey AS page, p_partkey % 3 AS kind, p_name AS name, p_brand AS brand, p_size AS size, strftime(DATE '{ER_REF}' + p_size, '%Y-%m-%d') AS iso FROM part),
     x AS (SELECT page, 'jsonld' AS strategy, 0 AS card_ord, name AS title, iso || 'T21:00' AS date_text, brand AS venue, size || '.0 TL - 900.0 TL' AS price_text, '' AS url FROM p WHERE kind = 0
       UNION ALL SELECT page, 'nextdata', 0, name, iso, brand, size || ' TL', '' FROM p WHERE kind = 1
@@ -704,6 +758,20 @@ ORACLES = {
         SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY start, title, uid) AS r FROM e
         JOIN s ON (k <> 0 OR is_free) AND (k <> 1 OR category IN ('economy', 'promo')) AND (k <> 2 OR contains(title, 'ring')) WHERE {_within('yarin')})
         SELECT chat_id, string_agg(uid, ',' ORDER BY r) FILTER (r <= 12) AS uids, greatest(count(*) - 12, 0) AS more, count(*) FILTER (is_free) AS free FROM m GROUP BY 1""",
+    "bucket_texts": f"""{_LABELLED}, u AS (SELECT k, t.*, row_number() OVER (PARTITION BY k ORDER BY start, title, uid) AS i FROM t JOIN kinds ON {_ASKED} WHERE {_within('bu_hafta')} QUALIFY i <= 40),
+        {_message_sql(_BUCKET_HEAD, _HEADING, 'CASE WHEN "end" > start THEN label END')}, x AS (SELECT k, n, message FROM m UNION ALL {_NOTHING_SQL.format(_BUCKET_HEAD, _BUCKET_NONE)})
+        SELECT s_suppkey AS chat_id, n, message FROM supplier JOIN x ON k = s_suppkey % 4""",
+    "digest_texts": f"""{_LABELLED}, d AS (SELECT * FROM t WHERE {_within('bugun')} ORDER BY start, title, uid LIMIT 40),
+        u AS (SELECT k, d.*, row_number() OVER (PARTITION BY k ORDER BY start, title, uid) AS i FROM d JOIN kinds ON {_ASKED}{_WORD}), {_message_sql(_DIGEST_HEAD)},
+        w AS (SELECT *, n = last AND k <> 0 AND (SELECT count(*) FILTER (is_free) FROM d) > 0 AS footed, {_DIGEST_FOOT} AS foot FROM m),
+        x AS (SELECT k, n, CASE WHEN footed AND length(message) + length(foot) + 2 <= 3800 THEN message || chr(10) || chr(10) || foot ELSE message END AS message FROM w
+          UNION ALL SELECT k, n + 1, foot FROM w WHERE footed AND length(message) + length(foot) + 2 > 3800 UNION ALL {_NOTHING_SQL.format(_DIGEST_HEAD, _DIGEST_NONE)})
+        SELECT s_suppkey AS chat_id, n, message FROM supplier JOIN x ON k = s_suppkey % 4""",
+    "news_texts": f"""{_LABELLED}, d AS (SELECT * FROM t WHERE NOT announced AND "end" >= DATE '{REF}' ORDER BY start, title, uid LIMIT 30),
+        a AS (SELECT k, d.*, row_number() OVER (PARTITION BY k ORDER BY start, title, uid) AS i, count(*) OVER (PARTITION BY k) AS passed FROM d JOIN kinds ON {_ASKED}{_WORD}), u AS (SELECT * FROM a WHERE i <= 12),
+        {_message_sql("'✨ ' || least(passed, 12) || ' yeni etkinlik eklendi'")}
+        SELECT s_suppkey AS chat_id, n, message || CASE WHEN n = last AND passed > 12 THEN chr(10) || chr(10) || '<i>…ve ' || (passed - 12) || ' etkinlik daha. /hafta</i>' ELSE '' END AS message
+        FROM supplier JOIN m ON m.k = s_suppkey % 4 JOIN (SELECT DISTINCT k, passed FROM a) z ON z.k = m.k""",
     "dated_store": """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS start, o_orderdate::DATE + 3 AS "end", o_orderdate < TIMESTAMP '1999-01-01' AS known, o_orderkey % 5 = 0 AS changed,
           ((o_orderkey % 3) * 20)::INTEGER AS k FROM orders),
         s AS (SELECT o_orderkey, CASE WHEN changed THEN 2 * o_totalprice ELSE o_totalprice END AS o_totalprice, CASE WHEN changed THEN start + k ELSE start END AS start, CASE WHEN changed THEN "end" + k ELSE "end" END AS "end",

@@ -18,6 +18,7 @@ from ..functions import text as tx
 from ..operators import build, dated_store as ds, filters, notify, read, render, replies, resolve, store, subscribers
 from ..sources import extract as ex
 from ..sources import pages as pg
+from ..sources import saved_pages as sp
 from ..streaming import announce, ingest
 from .matching_sql import CLUSTERS, MERGE, SCORES
 from .records import ER_REF, EVENTS_SQL, LISTINGS_SQL, RAW_SQL, REF, events, listings, raw_rows, source_list, table
@@ -464,6 +465,18 @@ def news_texts(spark, sf_dir):
     return replies.news_texts(_told(spark, sf_dir), _subscribers(spark, sf_dir), REF, ORDER)
 
 
+def saved_pages(spark, sf_dir):
+    """Pages saved as they were fetched, every third once more; those of the last half hour, the last of each address."""
+    sp.register(spark)
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{resolve.shared_root(spark)}/eventloom-bronze-{uuid.uuid4().hex}"
+    fetched = F.lit(NOW).cast("timestamp") - F.make_dt_interval(mins=F.pmod("page_id", F.lit(50)).cast("int"))
+    sp.save(p.select("url", fetched.alias("fetched_at"), "html"), path)
+    sp.save(p.filter("page_id % 3 = 0").select("url", F.lit(NOW).cast("timestamp").alias("fetched_at"), F.concat("html", F.lit("again")).alias("html")), path)
+    kept = sp.latest(spark, path, NOW + timedelta(minutes=1), 30)
+    return kept.select("host", "url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), F.sha2("html", 256).alias("html_sha256"))
+
+
 def dated_store(spark, sf_dir):
     """Orders in a store by month and slice of keys: the orders before 1999, a batch that changes every fifth and moves
     some of them to other months, a prune, then what overlaps six months."""
@@ -521,7 +534,7 @@ QUERIES = {
         html_titles, page_links, json_props, page_urls, extracted_rows, strategy_counts, subscriber_match, digest_topk, packed_messages, build_event,
         kept_events, source_report, scraped_events, extracted_events, extracted_counts, day_messages, stats_message, broken_sources, subscriber_upsert,
         subscriber_list, bucket_replies, pruned_rows, stream_upsert, daily_windows, announced_once, settled_windows,
-        pages_to_events, marked_announced, updated_health, last_run, dated_store, bucket_texts, digest_texts, news_texts,
+        pages_to_events, marked_announced, updated_health, last_run, dated_store, bucket_texts, digest_texts, news_texts, saved_pages,
     )
 }
 
@@ -772,6 +785,9 @@ ORACLES = {
         {_message_sql("'✨ ' || least(passed, 12) || ' yeni etkinlik eklendi'")}
         SELECT s_suppkey AS chat_id, n, message || CASE WHEN n = last AND passed > 12 THEN chr(10) || chr(10) || '<i>…ve ' || (passed - 12) || ' etkinlik daha. /hafta</i>' ELSE '' END AS message
         FROM supplier JOIN m ON m.k = s_suppkey % 4 JOIN (SELECT DISTINCT k, passed FROM a) z ON z.k = m.k""",
+    "saved_pages": """WITH s AS (SELECT url, TIMESTAMP '2000-01-01' - to_minutes(page_id % 50) AS fetched_at, html FROM pages UNION ALL SELECT url, TIMESTAMP '2000-01-01', html || 'again' FROM pages WHERE page_id % 3 = 0)
+        SELECT lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host, url, fetched_at, sha256(html) AS html_sha256 FROM s WHERE fetched_at > TIMESTAMP '1999-12-31 23:31:00'
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, html DESC) = 1""",
     "dated_store": """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS start, o_orderdate::DATE + 3 AS "end", o_orderdate < TIMESTAMP '1999-01-01' AS known, o_orderkey % 5 = 0 AS changed,
           ((o_orderkey % 3) * 20)::INTEGER AS k FROM orders),
         s AS (SELECT o_orderkey, CASE WHEN changed THEN 2 * o_totalprice ELSE o_totalprice END AS o_totalprice, CASE WHEN changed THEN start + k ELSE start END AS start, CASE WHEN changed THEN "end" + k ELSE "end" END AS "end",

@@ -1,6 +1,6 @@
 """Saved pages as a data source: ``spark.read.format("saved_pages")`` and ``df.write.format("saved_pages")``.
 
-Under ``path`` lie JSON lines by host and a mark per finished write. A write's files count once its mark is there, an
+Under ``path`` lie compressed JSON lines by host and a mark per finished write. A write's files count once its mark is there, an
 aborted one removes them. A read has a partition per host, several for a host with many files. ``path`` may be any file
 system that tasks and driver share. Call ``register(spark)`` once per session.
 """
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 SCHEMA = "host string, url string, fetched_at timestamp, html string, error string"
 #: Bytes of files that one task reads (a larger file is a partition by itself).
-TASK_BYTES = 128 << 20
+TASK_BYTES = 32 << 20
 #: Open files of a writing task: beyond, the hosts so far are closed and go on in another file.
 OPEN_HOSTS = 64
 
@@ -83,7 +83,7 @@ class PageReader(DataSourceReader):
     def read(self, partition):
         system, _ = _files(self.path)
         for name in partition.names:
-            with system.open_input_stream(name) as raw:
+            with system.open_input_stream(name, compression="gzip") as raw:
                 for line in _lines(raw):
                     try:
                         page = json.loads(line)
@@ -137,7 +137,7 @@ class PageWriter(DataSourceWriter):
                     close()
                 system.create_dir(f"{root}/pages/host={host}", recursive=True)
                 names.append(f"{root}/pages/host={host}/{self.batch}.{task}.{len(names)}")
-                open_[host] = system.open_output_stream(names[-1])
+                open_[host] = system.open_output_stream(names[-1], compression="gzip")
             open_[host].write(line + b"\n")
             pages += 1
         close()
@@ -185,7 +185,9 @@ def register(spark: SparkSession) -> None:
 
 def save(pages: DataFrame, path: str) -> None:
     """Add pages(url, fetched_at, html); rows without a usable address are counted in the write's mark and left out."""
-    pages.select("url", "fetched_at", "html").write.format("saved_pages").mode("append").option("path", path).save()
+    # a host's pages together, so that there are few files; a large host in several tasks
+    by_host = pages.select("url", "fetched_at", "html", F.regexp_extract("url", "://([^/?#]*)", 1).alias("__host"))
+    by_host.hint("rebalance", "__host").drop("__host").write.format("saved_pages").mode("append").option("path", path).save()
 
 
 def latest(spark: SparkSession, path: str, now: datetime | None = None, minutes: float | None = None) -> DataFrame:

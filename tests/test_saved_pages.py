@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -7,7 +8,7 @@ SHAPE = "url string, fetched_at timestamp, html string"
 OLD, NOW = datetime(2026, 8, 1, 10, 0, tzinfo=timezone.utc), datetime(2026, 8, 1, 12, 0, tzinfo=timezone.utc)
 
 
-def test_pages_round_trip_with_ttl_and_bad_rows(spark, tmp_path, monkeypatch):
+def test_pages_round_trip_with_ttl_and_bad_rows(spark, tmp_path):
     from eventloom.sources import saved_pages as sp
 
     sp.register(spark)
@@ -25,8 +26,8 @@ def test_pages_round_trip_with_ttl_and_bad_rows(spark, tmp_path, monkeypatch):
     assert marks == ['{"pages": 1, "failed": 0}', '{"pages": 31, "failed": 2}']
     # a broken line is a row with its error, files without a mark are not read
     mark = next(Path(path, "_written").iterdir()).name
-    Path(path, "pages/host=h0.example", f"{mark}.broken.0").write_text("{oops\n")
-    Path(path, "pages/host=h0.example", "unfinished.task.0").write_text('{"url": "https://h0.example/u", "fetched_at": null, "html": ""}\n')
+    Path(path, "pages/host=h0.example", f"{mark}.broken.0").write_bytes(gzip.compress(b"{oops\n"))
+    Path(path, "pages/host=h0.example", "unfinished.task.0").write_bytes(gzip.compress(b'{"url": "https://h0.example/u", "fetched_at": null, "html": ""}\n'))
     told = spark.read.format("saved_pages").option("path", path).load()
     assert told.filter("error IS NOT NULL").count() == 1 and sp.latest(spark, path).count() == 31
     assert told.rdd.getNumPartitions() == 3

@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept. Between stages the rows are written as Parquet to the folder that driver and
-executors share, and read again, so a lost executor repeats at most a stage's tasks.
+executors share, and read again, so a lost executor repeats at most a stage's tasks;
+then what the stage staged, and the rows it read, are deleted.
 
 Defined cases, for every stage: null texts count as empty; null ids, sources and other
 columns pass unchanged (in ties of equal or linked texts a known id stays before a null
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import exact_dedup, mixing, near_join, packing, toxicity
-from eventloom.llm.common import staged, table
+from eventloom.llm.common import scratch, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # once a stage's rows are written, nothing reads what it staged or the rows before it
+        with scratch(spark) as made:
+            made += before
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            before = [made.pop()]
     return STAGES[-1][1](spark, docs, sf_dir)

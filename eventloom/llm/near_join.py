@@ -29,7 +29,8 @@ to meet in. Links are decided on the whole shingle sets.
 
 Documents with equal shingle sets are one vertex. Signatures travel as packed blocks
 of (signature, row), a few bytes each; sets are built once, for documents that share
-a region with another. A pivot with many members is split into chunks.
+a region with another, and hardly any other text is shuffled: a bitmap of fixed size says
+which rows may be asked for. A pivot with many members is split into chunks.
 
 Defined cases: null, empty and blank texts have no shingles, are their own component
 and link with nothing; texts of fewer than five words are one shingle; null ids are
@@ -50,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import arrow_rows, shuffle_width, staged, table
+from .common import arrow_rows, likely, scratch, shuffle_width, staged, table, with_likely
 from .components import components
 
 WORDS = 5
@@ -439,7 +440,7 @@ def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = staged(cut.select("key", "sid", "n", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "near-cells")
     tasks = max(1, -(-int(cut.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
-    full = cut.drop("n").join(sets.select("sid", "members"), "sid").withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
+    full = cut.drop("n").join(likely(sets.select("sid", "members"), "sid", cut, "sid"), "sid").withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
     return full.groupBy("task").applyInPandas(forest, "u long, v long")
 
 
@@ -526,11 +527,11 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     # the documents that share a region, each set once: their sketches and sets
     known = staged(members.select("sid").distinct(), "near-known")
-    first = docs.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    first = staged(docs.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row")).select("row"), "near-first")
     sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", F.col("block").alias("members"))
-    sketched = staged(sole.join(first.select("row"), "row", "left_semi").drop("row"), "near-sketched")
+    sketched = staged(likely(sole, "row", first, "row").join(first, "row", "left_semi").drop("row"), "near-sketched")
     wanted = sketched.select(F.col("id").alias("wanted_id")).distinct()
-    asked = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    asked = likely(texts, "id", wanted, "wanted_id").join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = staged(asked.mapInArrow(build_sets, "sid long, n long, members binary"), "near-sets")
 
     sizes = members.select("sid", "n").distinct()
@@ -567,11 +568,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = df.columns
     rows = staged(df.select(F.monotonically_increasing_id().alias("__el_row"), F.struct(*names).alias("__el_all")), "near-rows")
     keyed = rows.select("__el_row", F.col(f"__el_all.`{id_col}`").alias("__el_id"), F.col(f"__el_all.`{text_col}`").alias("__el_text"))
-    groups = near_groups(keyed, "__el_row", "__el_text").join(keyed.select("__el_row", "__el_id"), "__el_row")
-    order = F.struct(F.col("__el_id").isNull().alias("none"), "__el_id", "__el_row")
-    leads = groups.groupBy("component_id").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    gone = groups.join(leads, "component_id").filter(F.col("__el_row") != F.col("lead.__el_row")).select("__el_row")
-    return rows.join(staged(gone, "near-gone"), "__el_row", "left_anti").select("__el_all.*")
+    with scratch(df.sparkSession) as made:
+        groups = near_groups(keyed, "__el_row", "__el_text").join(keyed.select("__el_row", "__el_id"), "__el_row")
+        order = F.struct(F.col("__el_id").isNull().alias("none"), "__el_id", "__el_row")
+        leads = groups.groupBy("component_id").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        gone = staged(groups.join(leads, "component_id").filter(F.col("__el_row") != F.col("lead.__el_row")).select("__el_row"), "near-gone")
+        made.pop()
+    marked = with_likely(rows, "__el_row", gone, "__el_row")
+    stay = marked.filter("NOT __el_likely").unionByName(marked.filter("__el_likely").join(gone, "__el_row", "left_anti"))
+    return stay.select("__el_all.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from eventloom.llm.common import likely
 
 from .test_operators import DOCS, corpus
 
@@ -55,3 +58,46 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.isEmpty(), name
+
+
+def staged_folders(spark):
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("eventloom-*")}
+
+
+def test_near_copies_leave_two_folders_and_run_one(spark, tmp_path):
+    """What the near join staged goes once the rows to drop are known; a whole run leaves the rows before packing."""
+
+    def labels(before):
+        return sorted(name.rsplit("-", 1)[0] for name in staged_folders(spark) - before)
+
+    docs = spark.createDataFrame(corpus(90, 3), DOCS)
+    before = staged_folders(spark)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert labels(before) == ["eventloom-near-gone", "eventloom-near-rows"]
+    assert 0 < kept.count() < 90
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = staged_folders(spark)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert labels(before) == ["eventloom-pipeline-mix_sources"]
+    assert not packed.isEmpty()
+
+
+def test_near_copies_by_likely_rows(spark):
+    """Only rows whose key may be asked for go on to a join; the near join drops the same rows without broadcasts by size."""
+    far = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(400)]
+    near = [(1000 + i, " ".join(f"n{j}" for j in range(60)) + f" t{i}") for i in range(6)]
+    docs = spark.createDataFrame(far + near, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus_pipeline.drop_near_copies(spark, docs, "")
+        keys = spark.createDataFrame([(1001,), (None,)], "key long")
+        odd = docs.unionByName(spark.createDataFrame([(None, "none")], docs.schema))
+        some = likely(odd, "doc_id", keys, "key").collect()
+        assert {1001, None} <= {r.doc_id for r in some} and len(some) < 10
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "bitmap_construct_agg" in plan
+        assert sorted(r.doc_id for r in rows.collect()) == [*range(400), 1000]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

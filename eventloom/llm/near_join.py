@@ -454,7 +454,8 @@ def meet(pairs: DataFrame, sets: DataFrame, judge, schema: str) -> DataFrame:
     chunk = F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / CHUNK_MEMBERS))
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b", chunk), F.lit(tasks)).alias("task"))
     left = dealt.join(sets.select(F.col("sid").alias("a"), "n", "members"), "a")
-    pivots = sets.select(F.col("sid").alias("p"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
+    asked = likely(sets.select("sid", "n", "members"), "sid", dealt, "b")
+    pivots = asked.select(F.col("sid").alias("p"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
     right = dealt.select(F.col("b").alias("p"), F.col("task").alias("at")).distinct().join(pivots, "p")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -526,12 +527,12 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = staged(members.join(several, "region"), "near-members")
 
     # the documents that share a region, each set once: their sketches and sets
-    known = staged(members.select("sid").distinct(), "near-known")
+    known = members.select("sid").distinct()
     first = staged(docs.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row")).select("row"), "near-first")
     sole = packed.filter("bucket = -1").select("sid", "id", "row", "n", F.col("block").alias("members"))
     sketched = staged(likely(sole, "row", first, "row").join(first, "row", "left_semi").drop("row"), "near-sketched")
-    wanted = sketched.select(F.col("id").alias("wanted_id")).distinct()
-    asked = likely(texts, "id", wanted, "wanted_id").join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    # a set that nobody asks for, of a text that was only likely, meets nothing in the joins by sid
+    asked = likely(texts, "id", sketched, "id")
     sets = staged(asked.mapInArrow(build_sets, "sid long, n long, members binary"), "near-sets")
 
     sizes = members.select("sid", "n").distinct()
@@ -548,7 +549,7 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = open_.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("pivot").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("pivot")
     more = staged(cell_links(staged(named.join(mixed, "pivot"), "near-open"), sets), "near-more")
-    label = components(links.unionByName(more))
+    label = components(label.unionByName(more))
 
     per_set = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     named = per_set.join(label.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

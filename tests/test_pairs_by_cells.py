@@ -1,10 +1,12 @@
-"""Candidate pairs by cells, held against all pairs in plain Python."""
+"""Candidate pairs and their scores by cells, held against all pairs in plain Python."""
 
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 
+from eventloom.functions import similarity as sm
 from eventloom.operators import resolve
 
 FIELDS = "idx long, title string, venue string, start date, end date, url string"
@@ -53,4 +55,42 @@ def test_candidate_pairs_are_all_pairs(spark, monkeypatch, cell):
 
 def test_no_pairs_of_nothing(spark):
     none = spark.createDataFrame([], FIELDS)
-    assert resolve.candidate_pairs(none).isEmpty()
+    assert resolve.candidate_pairs(none).isEmpty() and resolve.match_scores(none).isEmpty()
+
+
+def expected_scores(spark, df):
+    ready = {r.idx: r for r in resolve.prepared(df).collect()}
+    out = {}
+    for a, b in candidates(df.collect()):
+        x, y = ready[a.idx], ready[b.idx]
+        title, venue = sm.title_score(x.key, y.key), sm.venue_score(x.place, y.place)
+        one, two = set(x.key.split(" ")), set(y.key.split(" "))
+        mixed = None if venue is None else 0.72 * title + 0.28 * venue
+        if x.link is not None and x.link == y.link:
+            score = 1.0
+        elif min(len(one), len(two)) <= 1 and one != two or title < 0.55:
+            score = 0.0
+        elif venue is not None and venue < 0.4:
+            score = 0.75 * mixed
+        elif title >= 0.97:
+            score = 1.0
+        else:
+            score = 0.97 * title if venue is None else mixed
+        out[a.idx, b.idx] = (title, venue, score)
+    return out
+
+
+@pytest.mark.parametrize("cell", [700, 5])
+def test_scores_of_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(resolve, "CELL", cell)
+    df = records(spark)
+    made = resolve.match_scores(df)
+    assert {(r[0], r[1]): tuple(r)[2:] for r in made.collect()} == expected_scores(spark, df)
+    # the scores are made where the pairs are: pairs are not joined to them
+    assert plan(made).lstrip().startswith("FlatMapGroupsInArrow")
+
+
+def test_scores_round_half_up_as_spark_does(spark):
+    values = [0.1234567895, 0.0009765625, 3 / 1024, 0.28 * 7 / 1024, 2 / 3, 0.9999999995, 1.0, 0.0, 0.8200000000000001]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 9)").collect()]
+    assert sm.half_up(np.array([*values, np.nan]), 9)[:-1].tolist() == want

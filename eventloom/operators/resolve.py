@@ -245,30 +245,82 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return l.join(r, on).filter(near & once)
 
 
-def links(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(l_idx, r_idx): enough pairs of records with the threshold's score to connect all that such pairs connect.
+def profiles_of(ready: DataFrame) -> DataFrame:
+    """(key, place, start, end, idx, n): records with one title, venue and days, their first and their number; staged."""
+    named = ready.filter("key <> ''").groupBy("key", "place", "start", "end")
+    return checkpointed(named.agg(F.min("idx").alias("idx"), F.count("idx").alias("n")), "er-profiles")
 
-    Records with one title, venue and days are one profile: they are all alike, so each is tied to
-    its profile's first. Profiles meet where their titles are equal or similar.
-    """
-    if threshold <= CONFLICT_FACTOR:
-        raise ValueError(f"thresholds of {CONFLICT_FACTOR} and less are not supported: pairs with a venue conflict could reach them")
-    ready = checkpointed(prepared(records).fillna("", ["key", "place"]), "er-prepared")
-    same = ["key", "place", "start", "end"]
-    named = ready.filter("key <> ''")
-    profiles = checkpointed(named.groupBy(*same).agg(F.min("idx").alias("idx")), "er-profiles")
-    stars = named.join(profiles.withColumnRenamed("idx", "first"), same).filter("idx <> first").select(F.col("first").alias("l_idx"), F.col("idx").alias("r_idx"))
+
+def strong_profiles(profiles: DataFrame, threshold: float) -> DataFrame:
+    """(l_idx, r_idx, l_n, r_n): two profiles with the threshold's score, links aside, each two once. Profiles meet where their titles are equal or similar."""
     keyed = profiles.withColumn("keys", block_keys(F.col("start"), F.col("end"))).withColumn("block_key", F.explode("keys"))
     titles = checkpointed(similar_titles(keyed.select("block_key", "key"), least_title_score(threshold)), "er-titles")
     equal = _met(keyed, keyed, ["block_key", "key"]).filter("l_idx < r_idx").withColumns({"l_key": F.col("key"), "r_key": F.col("key"), "title_score": F.lit(1.0)}).drop("key")
     turned = keyed.join(titles, keyed["key"] == titles["a"]).drop("a")
     alike = _met(turned.withColumnRenamed("b", "wanted").withColumnRenamed("key", "l_title"), keyed.withColumnRenamed("key", "wanted"), ["block_key", "wanted"])
     alike = alike.withColumns({"l_key": F.col("l_l_title"), "r_key": F.col("wanted"), "title_score": F.col("l_title_score")})
-    kept = ["l_idx", "r_idx", "l_key", "r_key", "l_place", "r_place", "title_score"]
-    pairs = distinct_scores(equal.select(*kept).unionByName(alike.select(*kept)), "l_place", "r_place", venue_similarity, "venue_score")
+    kept = ["l_idx", "r_idx", "l_n", "r_n", "l_key", "r_key", "l_place", "r_place", "title_score"]
+    return _scored_pairs(equal.select(*kept).unionByName(alike.select(*kept))).filter(F.col("score") >= threshold).select("l_idx", "r_idx", "l_n", "r_n")
+
+
+def _scored_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (keys, places, title_score) with their score, links aside."""
+    pairs = distinct_scores(pairs, "l_place", "r_place", venue_similarity, "venue_score")
     score = combined_score(F.col("title_score"), F.col("venue_score"), F.array_distinct(F.split("l_key", " ")), F.array_distinct(F.split("r_key", " ")), F.lit(False))
-    strong = pairs.filter(score >= threshold).select("l_idx", "r_idx")
-    return stars.unionByName(strong).unionByName(same_link(ready))
+    return pairs.withColumn("score", score)
+
+
+def _edges(ready: DataFrame, profiles: DataFrame, strong: DataFrame) -> DataFrame:
+    """Records tied to their profile's first, profiles to each other, and what has one link."""
+    same = ["key", "place", "start", "end"]
+    firsts = profiles.select(*same, F.col("idx").alias("first"))
+    stars = ready.filter("key <> ''").join(firsts, same).filter("idx <> first").select(F.col("first").alias("l_idx"), F.col("idx").alias("r_idx"))
+    return stars.unionByName(strong.select("l_idx", "r_idx")).unionByName(same_link(ready))
+
+
+def _supported(threshold: float) -> None:
+    if threshold <= CONFLICT_FACTOR:
+        raise ValueError(f"thresholds of {CONFLICT_FACTOR} and less are not supported: pairs with a venue conflict could reach them")
+
+
+def links(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(l_idx, r_idx): enough pairs of records with the threshold's score to connect all that such pairs connect.
+
+    Records with one title, venue and days are one profile: they are all alike, so each is tied to
+    its profile's first. Profiles meet where their titles are equal or similar.
+    """
+    _supported(threshold)
+    ready = checkpointed(prepared(records).fillna("", ["key", "place"]), "er-prepared")
+    profiles = profiles_of(ready)
+    return _edges(ready, profiles, strong_profiles(profiles, threshold))
+
+
+def linked_matches(ready: DataFrame, threshold: float) -> DataFrame:
+    """One row, n: candidate pairs of records that have one link and would miss the threshold without it."""
+    same = ["link", "key", "place", "start", "end"]
+    alike = ready.filter("link IS NOT NULL AND idx IS NOT NULL").groupBy(*same).agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n"))
+    keyed = alike.withColumn("keys", block_keys(F.col("start"), F.col("end"))).withColumn("block_key", F.explode("keys"))
+    met = _met(keyed, keyed, ["block_key", "link"]).filter("l_idx <= r_idx")
+    scored = _scored_pairs(distinct_scores(met, "l_key", "r_key", title_similarity, "title_score"))
+    pairs = F.when(F.col("l_idx") < F.col("r_idx"), F.col("l_n") * F.col("r_n")).otherwise(F.expr("l_n * (l_n - 1) div 2"))
+    return scored.filter(F.col("score") < threshold).agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("n"))
+
+
+def stats(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: records before, clusters after, how many are merged, and how many candidate pairs there are (comparisons) and reach the threshold (matches).
+
+    Pairs are counted, not made: all of them by spans of days, those that reach the threshold by profiles, as in ``links``.
+    """
+    _supported(threshold)
+    ready = checkpointed(prepared(records).fillna("", ["key", "place"]), "er-prepared")
+    profiles = profiles_of(ready)
+    strong = checkpointed(strong_profiles(profiles, threshold), "er-strong")
+    roots = components(_edges(ready, profiles, strong), ready.select("idx"))
+    own = profiles.filter(F.date_sub("start", TOLERANCE) <= F.col("end")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n"))
+    across = strong.agg(F.coalesce(F.sum(F.col("l_n") * F.col("r_n")), F.lit(0)).alias("n"))
+    matches = own.unionByName(across).unionByName(linked_matches(ready, threshold)).agg(F.sum("n").alias("matches"))
+    sizes = roots.agg(F.count(F.lit(1)).alias("before"), F.countDistinct("root").alias("after")).withColumn("comparisons", F.lit(counted_pairs(met_spans(ready))).cast("long"))
+    return sizes.join(matches, F.lit(True)).withColumn("merged", F.col("before") - F.col("after"))
 
 
 def clusters(records: DataFrame, threshold: float = THRESHOLD, scores: DataFrame | None = None) -> DataFrame:

@@ -165,11 +165,7 @@ def merged_events(spark, sf_dir):
 
 
 def dedup_stats(spark, sf_dir):
-    x = listings(spark, sf_dir)
-    scores = resolve.checkpointed(resolve.match_scores(x), "er-scores")
-    pairs = scores.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(F.col("score") >= resolve.THRESHOLD).alias("matches"))
-    sizes = resolve.clusters(x, scores=scores).agg(F.count(F.lit(1)).alias("before"), F.countDistinct("root").alias("after"))
-    return sizes.join(pairs, F.lit(True)).withColumn("merged", F.col("before") - F.col("after"))
+    return resolve.stats(listings(spark, sf_dir))
 
 
 def _stored(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Candidate pairs and their scores by cells, held against all pairs in plain Python."""
+"""Candidate pairs and their scores by cells, held against all pairs in plain Python; counts of pairs that are not made."""
 
 import random
 from datetime import date, timedelta
@@ -56,6 +56,7 @@ def test_candidate_pairs_are_all_pairs(spark, monkeypatch, cell):
 def test_no_pairs_of_nothing(spark):
     none = spark.createDataFrame([], FIELDS)
     assert resolve.candidate_pairs(none).isEmpty() and resolve.match_scores(none).isEmpty()
+    assert resolve.stats(none).select("before", "after", "comparisons", "matches", "merged").first() == (0, 0, 0, 0, 0)
 
 
 def expected_scores(spark, df):
@@ -94,3 +95,14 @@ def test_scores_round_half_up_as_spark_does(spark):
     values = [0.1234567895, 0.0009765625, 3 / 1024, 0.28 * 7 / 1024, 2 / 3, 0.9999999995, 1.0, 0.0, 0.8200000000000001]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 9)").collect()]
     assert sm.half_up(np.array([*values, np.nan]), 9)[:-1].tolist() == want
+
+
+def test_counts_of_pairs_that_are_not_made(spark, monkeypatch):
+    df = records(spark, 220, 8).filter("start IS NOT NULL")
+    scores = expected_scores(spark, df)
+    roots = {r.idx: r.root for r in resolve.clusters(df, scores=resolve.match_scores(df)).collect()}
+    monkeypatch.setattr(resolve, "by_cells", None)
+    got = resolve.stats(df).first()
+    matches = sum(s >= resolve.THRESHOLD for *_, s in scores.values())
+    assert (got.comparisons, got.matches) == (len(scores), matches) and 0 < matches < len(scores)
+    assert (got.before, got.after, got.merged) == (220, len(set(roots.values())), 220 - len(set(roots.values())))

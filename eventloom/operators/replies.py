@@ -60,18 +60,6 @@ def texts(asked: DataFrame, found: DataFrame, key: str, order: list[str], ref: d
     return told.unionByName(silent).withColumnRenamed("__key", key)
 
 
-def _settings(subscribers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chat_id, wish), and the distinct wishes as subscribers whose chat_id is the wish."""
-    none = F.array().cast("array<string>")
-    wish = F.struct(
-        F.coalesce("free_only", F.lit(False)).alias("free_only"),
-        *[F.array_sort(F.array_distinct(F.coalesce(c, none))).alias(c) for c in ("categories", "keywords")],
-    )
-    of = subscribers.select("chat_id", wish.alias("wish"))
-    wishes = of.select("wish").distinct().select(F.col("wish").alias("chat_id"), "wish.*")
-    return of, wishes
-
-
 def _to_chats(of: DataFrame, made: DataFrame) -> DataFrame:
     return of.join(made.withColumnRenamed("chat_id", "wish"), "wish").select("chat_id", "n", "message")
 
@@ -82,7 +70,7 @@ def _text(value: str | None) -> Column:
 
 def bucket_texts(events: DataFrame, subscribers: DataFrame, bucket: str, ref: date, order: list[str]) -> DataFrame:
     """(chat_id, n, message): each chat's reply to a bucket by day, its first events in ``order`` under the saved filters."""
-    of, wishes = _settings(subscribers.withColumn("keywords", F.array().cast("array<string>")))
+    of, wishes = notify.settings(subscribers.withColumn("keywords", F.array().cast("array<string>")))
     found = subs.bucket_replies(events, wishes, bucket, ref, order).drop("n")
     free, name = F.col("free_only"), BUCKET_NAMES[bucket]
     asked = wishes.select(
@@ -94,7 +82,7 @@ def bucket_texts(events: DataFrame, subscribers: DataFrame, bucket: str, ref: da
 
 def digest_texts(events: DataFrame, subscribers: DataFrame, ref: date, order: list[str], limit: int = DIGEST) -> DataFrame:
     """(chat_id, n, message): the first ``limit`` events of the day that each chat's filters pass, and how many of the day's are free."""
-    of, wishes = _settings(subscribers)
+    of, wishes = notify.settings(subscribers)
     today = checkpointed(read.in_bucket(events, "bugun", ref).orderBy(*order).limit(limit), "today")
     free = today.agg(F.count_if("is_free").alias("free"))
     day, only = F.lit(ref), F.col("free_only")
@@ -110,7 +98,7 @@ def digest_texts(events: DataFrame, subscribers: DataFrame, ref: date, order: li
 
 def news_texts(events: DataFrame, subscribers: DataFrame, ref: date, order: list[str], limit: int = NEWS) -> DataFrame:
     """(chat_id, n, message): of the first ``limit`` unannounced events those that a chat's filters pass, twelve shown and the rest counted; nothing where none passes."""
-    of, wishes = _settings(subscribers)
+    of, wishes = notify.settings(subscribers)
     fresh = checkpointed(read.unannounced(events, ref, limit), "news")
     matched = checkpointed(notify.matches(fresh, wishes), "matched")
     by = Window.partitionBy("chat_id").orderBy(*order)

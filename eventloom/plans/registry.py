@@ -391,13 +391,19 @@ def _news(spark, sf_dir):
     return read.in_bucket(events(spark, sf_dir), "yarin", REF)
 
 
+def _staged_news(spark, sf_dir):
+    """Tomorrow's events, staged: filters read them several times, and their joins read whole tables."""
+    return resolve.checkpointed(_news(spark, sf_dir).select("uid", "title", "venue", "start", "category", "is_free"), "news")
+
+
 def subscriber_match(spark, sf_dir):
     m = notify.matches(_news(spark, sf_dir), _subscribers(spark, sf_dir))
     return m.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid"))
 
 
 def digest_topk(spark, sf_dir):
-    d = notify.digest(notify.matches(_news(spark, sf_dir), _subscribers(spark, sf_dir)), ["start", "title", "uid"])
+    news = _staged_news(spark, sf_dir)
+    d = notify.by_setting(_subscribers(spark, sf_dir), lambda wishes: notify.digest(notify.matches(news, wishes), ["start", "title", "uid"]))
     return d.select("chat_id", F.array_join("uids", ",").alias("uids"), "more", "free")
 
 

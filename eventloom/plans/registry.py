@@ -397,8 +397,9 @@ def _staged_news(spark, sf_dir):
 
 
 def subscriber_match(spark, sf_dir):
-    m = notify.matches(_news(spark, sf_dir), _subscribers(spark, sf_dir))
-    return m.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid"))
+    news = _staged_news(spark, sf_dir)
+    told = [F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid")]
+    return notify.by_setting(_subscribers(spark, sf_dir), lambda wishes: notify.matches(news, wishes).groupBy("chat_id").agg(*told))
 
 
 def digest_topk(spark, sf_dir):
